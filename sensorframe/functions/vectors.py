@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def as_double(v: Column) -> Column:
@@ -77,7 +78,7 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / length[:, None]
 
 
-@F.arrow_udf("double")
+@F.arrow_udf(T.DoubleType())
 def cosine_scores(vector: pa.Array, centroid: pa.Array) -> pa.Array:
     """Row-wise cosine distance of two vector columns."""
     if len(vector) == 0:
@@ -89,7 +90,7 @@ def cosine_scores(vector: pa.Array, centroid: pa.Array) -> pa.Array:
     return pa.array(1.0 - np.clip(cosine, -1.0, 1.0))
 
 
-@F.arrow_udf("array<double>")
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
 def unit_vectors(vector: pa.Array) -> pa.Array:
     """Row-wise L2 normalisation."""
     if len(vector) == 0:

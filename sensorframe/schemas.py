@@ -8,8 +8,22 @@ MODALITIES = ("EO", "IR", "OTHER")
 SEVERITIES = ("info", "warning", "critical")  # rank = position
 
 
+_TYPES = {
+    "string": T.StringType(),
+    "bigint": T.LongType(),
+    "int": T.IntegerType(),
+    "double": T.DoubleType(),
+    "boolean": T.BooleanType(),
+    "array<float>": T.ArrayType(T.FloatType()),
+    "array<double>": T.ArrayType(T.DoubleType()),
+    "labels": T.MapType(T.StringType(), T.StringType()),
+}
+
+
 def _s(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
+    """``"name type, name type"`` to a StructType, usable before a session exists."""
+    pairs = [part.split() for part in spec.split(",")]
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
 
 
 FRAMES = _s(
@@ -48,7 +62,7 @@ ALERTS = _s(
     "timestamp_s double, alert_type string, severity string, track_id bigint, label string, "
     "confidence double, source string, message string, metadata string"
 )
-BBOX = T.StructType.fromDDL("x1 double, y1 double, x2 double, y2 double")
+BBOX = _s("x1 double, y1 double, x2 double, y2 double")
 EVIDENCE = _s(
     "run_id string, run_dir string, sensor_id string, modality string, event_id string, frame_number bigint, "
     "timestamp_s double, event_type string, severity string, source string, track_id bigint, label string, "
@@ -73,7 +87,7 @@ RUN_MANIFEST = _s(
 )
 REFERENCE = _s(
     "format_version int, embedder_name string, centroid array<double>, embedding_dim int, threshold double, "
-    "sample_count bigint, quantile double, metadata map<string,string>"
+    "sample_count bigint, quantile double, metadata labels"
 )
 MATCH_COLUMNS = (
     "run_id", "frame_number", "shared_class", "status", "prediction_index", "prediction_label",
