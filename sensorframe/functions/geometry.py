@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Box = tuple[Column, Column, Column, Column]
@@ -160,7 +160,3 @@ def source_dimensions(frames: DataFrame) -> DataFrame:
         F.sum("changed").alias("normalized_frames"),
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("size", "n")))).alias("source_dimensions"),
     )
-
-
-# re-exported for callers that order frames themselves
-RUN_ORDER = Window.partitionBy("run_id").orderBy("frame_ordinal")
