@@ -7,7 +7,7 @@ alert policy is a boolean Column given to ``alerts_from_events(policy=...)``.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -79,15 +79,44 @@ def encode_with(
 
 
 def track_with(
-    detections: DataFrame, tracker: Callable[[pd.DataFrame], pd.DataFrame], schema: T.StructType,
-    keys: Iterable[str] = ("run_id", "label"),
+    detections: DataFrame,
+    make_tracker: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]],
+    schema: T.StructType,
+    keys: Sequence[str] = ("run_id", "label"),
 ) -> DataFrame:
-    """Run a user tracker per group of detections.
+    """Run a user tracker (X3) frame by frame, a fresh one per key.
 
-    The caller's function sees one whole group, so ``keys`` should be as fine
-    as the algorithm allows; the built-in tracker has no such limit.
+    ``make_tracker()`` returns ``update(frame_rows) -> rows``.  Partitions are
+    sorted and streamed, so only the tracker's own state and one frame are in
+    memory; keys should be as fine as the algorithm allows.
     """
-    return detections.groupBy(*keys).applyInPandas(tracker, schema)
+    keys = list(keys)
+    order = ["frame_ordinal", "detection_index"]
+
+    def run(batches: Frames) -> Frames:
+        tracker, current = None, None
+        rest: pd.DataFrame | None = None
+
+        def step(rows: pd.DataFrame) -> Frames:
+            nonlocal tracker, current
+            for key, frame in rows.groupby([*keys, "frame_ordinal"], sort=False, dropna=False):
+                if key[:-1] != current:
+                    tracker, current = make_tracker(), key[:-1]
+                yield tracker(frame)
+
+        for batch in batches:
+            rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            if rows.empty:
+                continue
+            tail = rows[[*keys, "frame_ordinal"]].eq(rows[[*keys, "frame_ordinal"]].iloc[-1]).all(axis=1)
+            cut = len(rows) - int(tail[::-1].cummin().sum())
+            rest = rows.iloc[cut:]
+            yield from step(rows.iloc[:cut])
+        if rest is not None and not rest.empty:
+            yield from step(rest)
+
+    laid_out = detections.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, *order)
+    return laid_out.mapInPandas(run, schema)
 
 
 def apply_rules(df: DataFrame, *rules: Callable[[DataFrame], DataFrame]) -> DataFrame:

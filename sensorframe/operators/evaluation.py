@@ -340,7 +340,7 @@ def classification_report(df: DataFrame, truth: str, predicted: str) -> DataFram
 def confusion_matrix(df: DataFrame, truth: str, predicted: str, labels: list | None = None) -> DataFrame:
     """Label by prediction counts; pass ``labels`` to skip the extra scan for them."""
     pivot = df.groupBy(F.col(truth).alias("label")).pivot(predicted, labels)
-    return pivot.agg(F.count("*")).na.fill(0)
+    return pivot.agg(F.count(F.lit(1))).na.fill(0)
 
 
 def accuracy(df: DataFrame, truth: str, predicted: str) -> DataFrame:

@@ -25,7 +25,7 @@ from ..functions.geometry import iou, struct_box
 from ..functions.text import sorted_json
 from ..schemas import EVENTS, EVIDENCE, FUSION_CONTRIBUTORS, SEVERITIES, conform
 from .events import alerts_from_events
-from .handoff import SUMMARY, SUMMARY_FIELDS, changes, run_chunks, settle
+from .handoff import SUMMARY, SUMMARY_FIELDS, changes, nullable, run_chunks, settle
 from .sequence import number_rows
 
 SOURCE = "temporal_consensus"
@@ -291,7 +291,7 @@ def fuse_contributors(
     rows = _with_margins(base, keys, width, warm + reach, reach)
     schema = T.StructType(
         [
-            *base.schema.fields,
+            *nullable(base.schema),
             T.StructField("_chunk", T.LongType()),
             T.StructField("kind", T.StringType()),
             T.StructField("anchor_run", T.StringType()),

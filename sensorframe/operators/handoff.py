@@ -42,6 +42,11 @@ SUMMARY_FIELDS = [
 ]
 
 
+def nullable(schema: T.StructType) -> list[T.StructField]:
+    """Kernel outputs mix row kinds, so every payload field may be null."""
+    return [T.StructField(f.name, f.dataType) for f in schema]
+
+
 def changes(table: pa.Table, keys: Sequence[str]) -> np.ndarray:
     """True where a row's key differs (null-safe) from the row above; True for row 0."""
     flags = np.zeros(table.num_rows, dtype=bool)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, OneVsRest
 from pyspark.ml.feature import StandardScaler, StringIndexer
 from pyspark.ml.functions import array_to_vector
@@ -90,9 +90,9 @@ def coco_subset(
 ) -> CocoSubset:
     """Seeded subset of eligible images with their annotations and categories (M1).
 
-    The order is a seeded 64-bit hash of the image id, so the choice is
-    repeatable on any cluster layout; ``limit`` keeps ``max_images`` per task
-    before the final merge.
+    The order is a seeded digest of the image id, so the choice is repeatable
+    on any cluster layout; ``limit`` keeps ``max_images`` per task before the
+    final merge.
     """
     if max_images <= 0:
         raise ValueError("max_images must be greater than zero")
@@ -107,7 +107,7 @@ def coco_subset(
         raise ValueError(f"categories absent from the annotations: {sorted(set(names) - known)}")
     picked = (
         eligible_images(images, annotations, chosen)
-        .orderBy(F.xxhash64(F.lit(seed), F.col("id")), "id")
+        .orderBy(*seeded_order(seed, "id"))
         .limit(max_images)
     )
     kept = annotations.join(chosen.select(F.col("id").alias("category_id")), "category_id", "left_semi").join(
@@ -117,11 +117,13 @@ def coco_subset(
 
 
 def seeded_order(seed: int, *ids: str) -> list[Column]:
-    return [F.xxhash64(F.lit(seed), *[F.col(c) for c in ids]), *[F.col(c) for c in ids]]
+    """Repeatable shuffle: MD5 text of ``seed:id``, then the ids themselves."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in ids])
+    return [F.md5(text.cast("binary")), *[F.col(c) for c in ids]]
 
 
 def stratified_split(
-    df: DataFrame, label: str, ids: Sequence[str], *, test_size: float = 0.30, seed: int = 42, order=None
+    df: DataFrame, label: str, ids: Sequence[str], *, test_size: float = 0.30, seed: int = 42
 ) -> DataFrame:
     """Adds boolean ``is_test``: an exact share of every class, in seeded hash order (M2).
 
@@ -133,8 +135,8 @@ def stratified_split(
     small = sizes.filter(F.col("_size") < 2).limit(1).collect()
     if small:
         raise ValueError(f"at least two samples per class are required, see class {small[0][0]!r}")
-    order = order or seeded_order(seed, *ids)
-    ranked = number_rows(df, [label], F.shiftright(order[0].cast("long"), 52), order, "_rank")
+    order = seeded_order(seed, *ids)
+    ranked = number_rows(df, [label], F.substring(order[0], 1, 3), order, "_rank")
     quota = F.greatest(F.lit(1), F.bround(F.col("_size") * test_size, 0).cast("long"))
     return ranked.join(sizes, label).withColumn("is_test", F.col("_rank") <= quota).drop("_rank", "_size")
 
@@ -148,23 +150,34 @@ def every_kth(df: DataFrame, keys: Sequence[str], position: str, k: int) -> Data
 
 
 def linear_probe(
-    train: DataFrame, *, label: str = "label", column: str = "embedding", c: float = 0.5, max_iter: int = 50
+    train: DataFrame, *, label: str = "label", column: str = "embedding", c: float = 0.5, max_iter: int = 50,
+    tolerance: float = 1e-4, parallelism: int = 8,
 ):
     """Standardised one-vs-rest linear SVM on stored vectors (M3); returns an ML pipeline model.
 
-    Regularisation follows the usual C form: ``1 / (C * rows)``.
+    Regularisation follows the usual C form, ``1 / (C * rows)``.  Standardised
+    vectors are stored once; the one-vs-rest fits run concurrently on them.
     """
-    features = train.withColumn("_raw", array_to_vector(as_double(F.col(column))))
-    rows = features.count()
-    stages = [
-        StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc"),
-        StandardScaler(inputCol="_raw", outputCol="_x", withMean=True, withStd=True),
-        OneVsRest(
-            classifier=LinearSVC(maxIter=max_iter, regParam=1.0 / (c * rows), standardization=False),
-            featuresCol="_x", labelCol="_y", predictionCol="_p",
-        ),
-    ]
-    return Pipeline(stages=stages).fit(features)
+    features = train.select(F.col(label), array_to_vector(as_double(F.col(column))).alias("_raw"))
+    front = Pipeline(
+        stages=[
+            StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc"),
+            StandardScaler(inputCol="_raw", outputCol="_x", withMean=True, withStd=True),
+        ]
+    ).fit(features)
+    ready = materialize(front.transform(features).select("_y", "_x"), "probe-features")
+    svm = LinearSVC(maxIter=max_iter, tol=tolerance, regParam=1.0 / (c * ready.count()), standardization=False)
+    rest = OneVsRest(
+        classifier=svm, featuresCol="_x", labelCol="_y", predictionCol="_p", parallelism=parallelism
+    ).fit(_with_class_count(ready, len(front.stages[0].labels)))
+    return PipelineModel(stages=[*front.stages, rest])
+
+
+def _with_class_count(ready: DataFrame, classes: int) -> DataFrame:
+    """Declare the number of classes in the column's metadata, saving a scan."""
+    values = [str(float(i)) for i in range(classes)]
+    meta = {"ml_attr": {"type": "nominal", "vals": values, "name": "_y"}}
+    return ready.withColumn("_y", F.col("_y").alias("_y", metadata=meta))
 
 
 def probe_predictions(model, df: DataFrame, *, column: str = "embedding") -> DataFrame:

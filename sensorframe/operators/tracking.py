@@ -25,7 +25,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..runtime import materialize
 from ..schemas import TRACKS, conform
-from .handoff import SUMMARY, SUMMARY_FIELDS, changes, replace_chunks, rerun, run_chunks, settle
+from .handoff import SUMMARY, SUMMARY_FIELDS, changes, nullable, replace_chunks, rerun, run_chunks, settle
 from .sequence import BUCKET, number_rows, with_halo
 
 KEYS = ["run_id", "label"]
@@ -368,7 +368,7 @@ def track_detections(
         F.col("frame_ordinal") % span >= span - warmup,
     ).withColumn("_init", F.lit(None).cast("string"))
     schema = T.StructType(
-        [f for f in base.schema]
+        nullable(base.schema)
         + [
             T.StructField("_chunk", T.LongType()),
             T.StructField("kind", T.StringType()),

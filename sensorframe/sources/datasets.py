@@ -166,17 +166,21 @@ def annotations_as_detections(
     return conform(typed, schema)
 
 
-def read_coco(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def read_coco(
+    spark: SparkSession, path: str, *, multi_line: bool = True
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """images, annotations, categories of COCO documents.
 
     Only the three required arrays are in the schema; a missing one is an error.
+    A document is read by one task, so very large sets should come as many
+    documents: one per file, or one per line with ``multi_line=False``.
     """
     schema = (
         "images array<struct<id:bigint,file_name:string,width:int,height:int>>, "
         "annotations array<struct<id:bigint,image_id:bigint,category_id:bigint,bbox:array<double>>>, "
         "categories array<struct<id:bigint,name:string>>"
     )
-    doc = spark.read.schema(schema).option("multiLine", True).json(path)
+    doc = spark.read.schema(schema).option("multiLine", multi_line).json(path)
     absent = doc.select(
         *[F.bool_or(F.col(c).isNull()).alias(c) for c in ("images", "annotations", "categories")]
     ).first().asDict()
@@ -189,6 +193,11 @@ def read_coco(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, Dat
 def inventory_reference_images(spark: SparkSession, root: str) -> DataFrame:
     """Recursive image listing with a content digest per file (S9); hashing runs on executors."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    return inventory_of(files)
+
+
+def inventory_of(files: DataFrame) -> DataFrame:
+    """``path, length, sha256`` of image rows in a ``path, length, content`` table."""
     return files.filter(suffix(F.col("path")).isin(*IMAGE_SUFFIXES)).select(
         "path", "length", F.sha2("content", 256).alias("sha256")
     )
