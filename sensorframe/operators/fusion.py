@@ -306,7 +306,7 @@ def fuse_contributors(
     )
     kernel = _kernel(config, keys, width, warm, reach, schema)
     args = (keys, ORDER, kernel, schema, "fusion")
-    results = settle(rows, run_chunks(rows, *args), *args)
+    results, _ = settle(rows, run_chunks(rows, *args), *args)
     return (
         results.filter(F.col("kind") == "row")
         .drop("kind", *[f.name for f in SUMMARY_FIELDS])

@@ -24,6 +24,7 @@ file read and the comparison reads only the small summary partition.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -124,15 +125,31 @@ def rerun(
     return run_chunks(fed, keys, order, kernel, schema, name)
 
 
+def outcome(results: DataFrame, keys: Sequence[str], also: dict[str, DataFrame] | None = None) -> set[str]:
+    """Which of the named follow-ups have work, found in one small job.
+
+    ``disagree`` is always checked; ``also`` names further tables to test for rows.
+    """
+    checks = {"disagree": disagreeing(results, keys), **(also or {})}
+    parts = [df.select(F.lit(name).alias("name")) for name, df in checks.items()]
+    found = reduce(DataFrame.unionAll, parts).groupBy("name").agg(F.count("*").alias("n"))
+    return {r["name"] for r in found.collect()}  # one row per check
+
+
 def settle(
-    rows: DataFrame, results: DataFrame, keys: Sequence[str], order, kernel, schema, name: str
-) -> DataFrame:
-    """Re-run disagreeing chunks until every chunk used its predecessor's end state."""
+    rows: DataFrame, results: DataFrame, keys: Sequence[str], order, kernel, schema, name: str,
+    also: Callable[[DataFrame], dict[str, DataFrame]] | None = None,
+) -> tuple[DataFrame, set[str]]:
+    """Re-run disagreeing chunks until every chunk used its predecessor's end state.
+
+    Returns the settled results and which of the ``also`` tables have rows.
+    """
     round_no = 0
     while True:
+        found = outcome(results, keys, also(results) if also else None)
+        if "disagree" not in found:
+            return results, found
         redo = materialize(disagreeing(results, keys), f"{name}-redo")
-        if redo.isEmpty():
-            return results
         round_no += 1
         again = rerun(rows, redo, keys, order, kernel, schema, f"{name}-round{round_no}")
         results = replace_chunks(results, again, redo, keys)

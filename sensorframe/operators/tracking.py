@@ -293,7 +293,7 @@ def _true_order(results: DataFrame, ends: DataFrame) -> DataFrame:
     )
 
 
-def _resolve(ends: DataFrame, span: int, name: str) -> DataFrame:
+def _resolve(ends: DataFrame, name: str) -> DataFrame:
     """Follow inherited segments to their births, doubling the reach each round."""
     ends = materialize(ends, f"{name}-ends")
     while not ends.filter("inherited").isEmpty():
@@ -333,7 +333,7 @@ def track_detections(
     *,
     iou_threshold: float = 0.30,
     max_missed_updates: int = 2,
-    chunk_frames: int = BUCKET,
+    chunk_frames: int = 2048,
     warmup_frames: int = 64,
 ) -> DataFrame:
     """Tracks (one row per observation) of all runs in ``detections``.
@@ -384,14 +384,19 @@ def track_detections(
     kernel = _kernel(float(iou_threshold), int(max_missed_updates), span, schema)
     args = (KEYS, ORDER, kernel, schema, "tracks")
 
+    def follow_ups(results: DataFrame) -> dict[str, DataFrame]:
+        return {
+            "inherited": results.filter((F.col("kind") == "end") & F.col("inherited")),
+            "ties": results.filter((F.col("kind") == SUMMARY) & F.col("order_mattered")),
+        }
+
     results = run_chunks(rows, *args)
     while True:
-        results = settle(rows, results, *args)
-        ends = _resolve(
-            results.filter(F.col("kind") == "end").select(*KEYS, "_chunk", *ORDER, *_ROOT), span, "tracks"
-        )
-        asked = results.filter((F.col("kind") == SUMMARY) & F.col("order_mattered"))
-        if asked.isEmpty():
+        results, found = settle(rows, results, *args, also=follow_ups)
+        ends = results.filter(F.col("kind") == "end").select(*KEYS, "_chunk", *ORDER, *_ROOT)
+        if "inherited" in found:
+            ends = _resolve(ends, "tracks")
+        if "ties" not in found:
             break
         redo = materialize(_true_order(results, ends), "tracks-ties")
         if redo.isEmpty():
