@@ -10,7 +10,7 @@ set of events near it that are already consumed.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -107,6 +107,37 @@ def chunk_width(evidence: DataFrame, keys: Sequence[str], delta: float, rows: in
     return width, 4.0 * reach
 
 
+def overlap(a: tuple | None, b: tuple | None) -> float:
+    """IoU of two boxes; -1.0 when either is missing."""
+    if a is None or b is None:
+        return -1.0
+    w = max(0.0, min(a[2], b[2]) - max(a[0], b[0]))
+    h = max(0.0, min(a[3], b[3]) - max(a[1], b[1]))
+    area = [max(0.0, c[2] - c[0]) * max(0.0, c[3] - c[1]) for c in (a, b)]
+    union = area[0] + area[1] - w * h
+    return w * h / union if union > 0 else 0.0
+
+
+def corroborating(i: int, window: Iterable[int], t, sensor, label, boxes, consumed, config: FusionConfig) -> list:
+    """Nearest free compatible event of every other sensor, as (gap, -iou, position), nearest first."""
+    best: dict[str, tuple[float, float, int]] = {}
+    gate = config.spatial_iou_threshold
+    for j in window:
+        if j == i or consumed[j] or sensor[j] == sensor[i]:
+            continue
+        gap = abs(t[i] - t[j])
+        if gap > config.max_time_delta_s or (config.require_matching_label and label[i] != label[j]):
+            continue
+        value = overlap(boxes[i], boxes[j])
+        if gate is not None and (value == -1.0 or value < gate):
+            continue
+        rank = (float(gap), -value, j)
+        known = best.get(sensor[j])
+        if known is None or rank < known:
+            best[sensor[j]] = rank
+    return sorted(best.values())
+
+
 class _Chunk:
     """All rows of one time chunk with its margins, as plain columns."""
 
@@ -117,7 +148,8 @@ class _Chunk:
         self.stop = (self.head["_chunk"] + 1) * width
         self.warm, self.margin = warm, margin
         cols = {c: table.column(c).to_pylist() for c in (*ORDER, "label", "_own", "_init", "bbox")}
-        self.t = np.array(cols["timestamp_s"], dtype=np.float64)
+        self.t = cols["timestamp_s"]
+        self.time = np.array(self.t, dtype=np.float64)
         self.sensor, self.label, self.own = cols["sensor_id"], cols["label"], cols["_own"]
         self.box = [None if b is None else (b["x1"], b["y1"], b["x2"], b["y2"]) for b in cols["bbox"]]
         self.name = [
@@ -126,31 +158,19 @@ class _Chunk:
         ]
         self.init = cols["_init"][0]
 
-    def _iou(self, i: int, j: int) -> float:
-        a, b = self.box[i], self.box[j]
-        if a is None or b is None:
-            return -1.0
-        w = max(0.0, min(a[2], b[2]) - max(a[0], b[0]))
-        h = max(0.0, min(a[3], b[3]) - max(a[1], b[1]))
-        area = [max(0.0, c[2] - c[0]) * max(0.0, c[3] - c[1]) for c in (a, b)]
-        union = area[0] + area[1] - w * h
-        return w * h / union if union > 0 else 0.0
-
     def _near(self, boundary: float, consumed: list[bool]) -> str:
-        near = np.flatnonzero(np.abs(self.t - boundary) <= self.margin)
+        near = np.flatnonzero(np.abs(self.time - boundary) <= self.margin)
         return ";".join(sorted(self.name[i] for i in near if consumed[i]))
 
     def run(self) -> tuple[list[tuple[list[int], list[float]]], str, str]:
         """Groups of row positions (anchor first) with anchor IoUs, and boundary states."""
         n, delta = len(self.t), self.config.max_time_delta_s
-        gate = self.config.spatial_iou_threshold
-        same_label = self.config.require_matching_label
         consumed = [False] * n
         if self.init is not None:
             taken = set(filter(None, self.init.split(";")))
             consumed = [name in taken for name in self.name]
-        lows = np.searchsorted(self.t, self.t - 1.000001 * delta - 1e-9)
-        highs = np.searchsorted(self.t, self.t + 1.000001 * delta + 1e-9, side="right")
+        lows = np.searchsorted(self.time, self.time - 1.000001 * delta - 1e-9).tolist()
+        highs = np.searchsorted(self.time, self.time + 1.000001 * delta + 1e-9, side="right").tolist()
         groups, used, entered = [], "", False
         for i in range(n):
             if self.own[i] and not entered:
@@ -163,23 +183,11 @@ class _Chunk:
                     continue
             if consumed[i]:
                 continue
-            best: dict[str, tuple[float, float, int]] = {}
-            for j in range(lows[i], highs[i]):
-                if j == i or consumed[j] or self.sensor[j] == self.sensor[i]:
-                    continue
-                gap = abs(self.t[i] - self.t[j])
-                if gap > delta or (same_label and self.label[i] != self.label[j]):
-                    continue
-                overlap = self._iou(i, j)
-                if gate is not None and (overlap == -1.0 or overlap < gate):
-                    continue
-                rank = (float(gap), -overlap, j)
-                known = best.get(self.sensor[j])
-                if known is None or rank < known:
-                    best[self.sensor[j]] = rank
-            if len(best) + 1 < self.config.min_sensors:
+            chosen = corroborating(
+                i, range(lows[i], highs[i]), self.t, self.sensor, self.label, self.box, consumed, self.config
+            )
+            if len(chosen) + 1 < self.config.min_sensors:
                 continue
-            chosen = sorted(best.values())
             members = [i, *[c[2] for c in chosen]]
             for k in members:
                 consumed[k] = True

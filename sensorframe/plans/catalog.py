@@ -34,6 +34,9 @@ from ..operators.sequence import previous
 from ..runtime import materialize, scratch_path
 from ..sources import datasets as D
 from ..sources import tables as IO
+from ..streaming import fusion as stream_fusion
+from ..streaming import runs as stream_runs
+from ..streaming import tracker as stream_tracker
 from .views import view, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1231,3 +1234,81 @@ def hook_rules_and_policy(spark, d):
     events = hooks.apply_rules(view(spark, d, "v_sensor_events").withColumn("frame_ordinal", F.col("frame_number"))
                                .withColumn("message", F.lit("")).withColumn("metadata", F.lit("{}")), *rules)
     return E.alerts_from_events(events, policy=F.col("confidence") > 0.1).select("event_id", "alert_type", "severity")
+
+
+# --------------------------------------------------------------------------
+# Streams.  The derived tables are stored in several files and replayed in
+# several micro-batches; results equal the batch definitions.
+
+def replay(spark: SparkSession, df: DataFrame, name: str, parts: int = 3) -> DataFrame:
+    """Store ``df`` as ``parts`` consecutive time slices and read them back as a stream, one slice per batch.
+
+    Slices are appended one after the other, so file age follows event time;
+    a slice is eight files, which is also the batch size.
+    """
+    stored = materialize(df, f"{name}-source")
+    cuts = stored.approxQuantile("timestamp_s", [i / parts for i in range(1, parts)], 0.01)
+    path = scratch_path(spark, name)
+    t = F.col("timestamp_s")
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        inside = (F.lit(True) if low is None else t > low) & (F.lit(True) if high is None else t <= high)
+        stored.filter(inside).repartition(8).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 8).parquet(path)
+
+
+def frame_stream(spark, d) -> DataFrame:
+    rows = stream_tracker.frame_rows(view(spark, d, "v_frames"), view(spark, d, "v_detections"))
+    return replay(spark, rows, "frame-stream")
+
+
+@query("streaming_tracks", TRACKS_SQL + """
+SELECT run_id, frame_ordinal, track_id, label, hits, first_frame_number, scenario_role, x1 FROM tracks""")
+def streaming_tracks(spark, d):
+    rows = stream_runs.drain(stream_tracker.track_stream(frame_stream(spark, d)), "stream-tracks")
+    return rows.filter("status = 'track'").select(
+        "run_id", "frame_ordinal", "track_id", "label", "hits", "first_frame_number", "scenario_role", "x1"
+    )
+
+
+@query("streaming_alerts", DWELL_SQL + ROLE_SQL + """
+SELECT run_id, concat('alert:', event_id) AS alert_id, frame_number, severity, message
+FROM (SELECT * FROM roles UNION ALL SELECT * FROM dwell) u WHERE severity <> 'info'""")
+def streaming_alerts(spark, d):
+    found = stream_tracker.track_stream(frame_stream(spark, d), min_hits=4, max_displacement_px=9)
+    events = stream_tracker.track_stream_events(found, max_displacement_px=9)
+    rows = stream_runs.drain(E.alerts_from_events(events), "stream-alerts")
+    return rows.select("run_id", "alert_id", "frame_number", "severity", "message")
+
+
+@query("streaming_anomaly_events", "WITH one AS (SELECT 1 AS one)" + STREAK_SQL + """
+SELECT run_id, event_id, frame_number, severity, message FROM persistent
+WHERE timestamp_s <= (SELECT max(timestamp_s) FROM v_anomalies)""")
+def streaming_anomaly_events(spark, d):
+    scores = view(spark, d, "v_anomalies")
+    stream = replay(spark, scores, "score-stream")
+    events = stream_tracker.persistence_stream(stream, severity="critical", lateness="0 seconds")
+    return stream_runs.drain(events, "stream-anomalies").select("run_id", "event_id", "frame_number", "severity", "message")
+
+
+@query("streaming_scores", REFERENCE_SQL + """, s AS (
+  SELECT run_id, track_id, frame_ordinal, 1 - list_cosine_similarity(CAST(embedding AS DOUBLE[]), centroid) AS score, threshold
+  FROM v_reps, c, ref WHERE hits >= 3 AND least(400, x2 + 6) - greatest(0, x1 - 6) >= 12 AND least(60, y2 + 6) - greatest(0, y1 - 6) >= 12
+)
+SELECT run_id, track_id, frame_ordinal, round(score, 6) AS score, score > threshold AS is_anomaly FROM s""")
+def streaming_scores(spark, d):
+    stream = replay(spark, view(spark, d, "v_reps"), "rep-stream")
+    scored = anomaly.score_anomalies(stream, reference_of(spark, d), embedder_name="given")
+    return stream_runs.drain(scored, "stream-scores").select(
+        "run_id", "track_id", "frame_ordinal", r6("score").alias("score"), "is_anomaly"
+    )
+
+
+@query("streaming_fusion", FUSE_SQL + """
+SELECT a.event_id AS anchor_event, CAST(r.member_order AS INT) AS member_order, r.event_id, r.sensor_id
+FROM full_rows r JOIN full_rows a ON r.n = a.n AND a.member_order = 0
+WHERE a.timestamp_s + 1800 < (SELECT max(timestamp_s) FROM v_evidence) - 1""")
+def streaming_fusion(spark, d):
+    evidence = view(spark, d, "v_evidence")
+    stream = replay(spark, evidence, "evidence-stream")
+    rows = stream_runs.drain(stream_fusion.fusion_stream(stream, CONFIG, lateness="1 second"), "stream-fusion")
+    return rows.select("anchor_event", "member_order", "event_id", "sensor_id")
