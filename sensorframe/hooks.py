@@ -97,23 +97,35 @@ def track_with(
         tracker, current = None, None
         rest: pd.DataFrame | None = None
 
-        def step(rows: pd.DataFrame) -> Frames:
+        def frames_of(rows: pd.DataFrame) -> list[int]:
+            """Start positions of the frames in sorted rows."""
+            starts = np.zeros(len(rows), dtype=bool)
+            starts[:1] = True
+            for c in [*keys, "frame_ordinal"]:
+                v = rows[c].to_numpy(dtype=object)
+                starts[1:] |= v[1:] != v[:-1]
+            return np.flatnonzero(starts).tolist()
+
+        def step(rows: pd.DataFrame, edges: list[int]) -> Frames:
             nonlocal tracker, current
-            for key, frame in rows.groupby([*keys, "frame_ordinal"], sort=False, dropna=False):
-                if key[:-1] != current:
-                    tracker, current = make_tracker(), key[:-1]
-                yield tracker(frame)
+            heads = list(zip(*[rows[k].to_numpy(dtype=object)[edges[:-1]] for k in keys]))
+            out = []
+            for head, lo, hi in zip(heads, edges[:-1], edges[1:]):
+                if head != current:
+                    tracker, current = make_tracker(), head
+                out.append(tracker(rows.iloc[lo:hi]))
+            if out:
+                yield pd.concat(out, ignore_index=True)
 
         for batch in batches:
             rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
             if rows.empty:
                 continue
-            tail = rows[[*keys, "frame_ordinal"]].eq(rows[[*keys, "frame_ordinal"]].iloc[-1]).all(axis=1)
-            cut = len(rows) - int(tail[::-1].cummin().sum())
-            rest = rows.iloc[cut:]
-            yield from step(rows.iloc[:cut])
+            edges = frames_of(rows)
+            yield from step(rows, edges)
+            rest = rows.iloc[edges[-1]:]
         if rest is not None and not rest.empty:
-            yield from step(rest)
+            yield from step(rest, [0, len(rest)])
 
     laid_out = detections.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, *order)
     return laid_out.mapInPandas(run, schema)

@@ -705,31 +705,37 @@ def invalid_boxes(spark, d):
 
 CONFIG = fusion.FusionConfig(max_time_delta_s=1800.0)
 
-FUSE_SQL = """WITH RECURSIVE ev AS (
-  SELECT *, coalesce(label, '-') AS lab, row_number() OVER (ORDER BY timestamp_s, sensor_id, event_id) AS pos,
-         row_number() OVER (PARTITION BY event_type, coalesce(label, '-') ORDER BY timestamp_s, sensor_id, event_id) AS rn
-  FROM v_evidence
+FUSE_SQL = """WITH RECURSIVE gap AS (
+  SELECT *, coalesce(label, '-') AS lab,
+         CASE WHEN timestamp_s - lag(timestamp_s) OVER (PARTITION BY event_type, coalesce(label, '-') ORDER BY timestamp_s, sensor_id, event_id) <= 1800
+              THEN 0 ELSE 1 END AS cut FROM v_evidence
+), ses AS (
+  SELECT *, sum(cut) OVER (PARTITION BY event_type, lab ORDER BY timestamp_s, sensor_id, event_id) AS session FROM gap
+), ev AS (
+  SELECT *, row_number() OVER (ORDER BY timestamp_s, sensor_id, event_id) AS pos,
+         row_number() OVER (PARTITION BY event_type, lab, session ORDER BY timestamp_s, sensor_id, event_id) AS rn
+  FROM ses
 ), pairs AS (
-  SELECT a.pos, a.event_type, a.lab, a.rn, c.sensor_id, c.pos AS cpos, abs(a.timestamp_s - c.timestamp_s) AS gap
-  FROM ev a JOIN ev c ON a.event_type = c.event_type AND a.lab = c.lab AND a.sensor_id <> c.sensor_id
+  SELECT a.pos, c.sensor_id, c.pos AS cpos, abs(a.timestamp_s - c.timestamp_s) AS gap
+  FROM ev a JOIN ev c ON a.event_type = c.event_type AND a.lab = c.lab AND a.session = c.session AND a.sensor_id <> c.sensor_id
    AND abs(a.timestamp_s - c.timestamp_s) <= 1800
 ), cand AS (
-  SELECT e.event_type, e.lab, e.rn, e.pos,
+  SELECT e.event_type, e.lab, e.session, e.rn, e.pos,
          list({'sensor': p.sensor_id, 'pos': p.cpos} ORDER BY p.gap, p.cpos) FILTER (WHERE p.cpos IS NOT NULL) AS c
-  FROM ev e LEFT JOIN pairs p ON e.pos = p.pos GROUP BY e.event_type, e.lab, e.rn, e.pos
+  FROM ev e LEFT JOIN pairs p ON e.pos = p.pos GROUP BY e.event_type, e.lab, e.session, e.rn, e.pos
 ), step AS (
-  SELECT event_type, lab, CAST(0 AS BIGINT) AS rn, CAST([] AS BIGINT[]) AS used, CAST([] AS BIGINT[]) AS members
-  FROM (SELECT DISTINCT event_type, lab FROM ev) groups
+  SELECT event_type, lab, session, CAST(0 AS BIGINT) AS rn, CAST([] AS BIGINT[]) AS used, CAST([] AS BIGINT[]) AS members
+  FROM (SELECT DISTINCT event_type, lab, session FROM ev) groups
   UNION ALL
-  SELECT event_type, lab, rn, CASE WHEN len(members) > 1 THEN list_concat(used, members) ELSE used END, members
+  SELECT event_type, lab, session, rn, CASE WHEN len(members) > 1 THEN list_concat(used, members) ELSE used END, members
   FROM (
-    SELECT q.event_type, q.lab, q.rn, q.used,
+    SELECT q.event_type, q.lab, q.session, q.rn, q.used,
            CASE WHEN list_contains(q.used, q.pos) OR q.free IS NULL OR len(q.free) = 0 THEN CAST([] AS BIGINT[])
                 WHEN list_filter(q.free, lambda x: x.sensor <> q.free[1].sensor)[1] IS NULL THEN [q.pos, q.free[1].pos]
                 ELSE [q.pos, q.free[1].pos, list_filter(q.free, lambda x: x.sensor <> q.free[1].sensor)[1].pos] END AS members
     FROM (
       SELECT cand.*, step.used, list_filter(cand.c, lambda x: NOT list_contains(step.used, x.pos)) AS free
-      FROM step JOIN cand ON cand.event_type = step.event_type AND cand.lab = step.lab AND cand.rn = step.rn + 1
+      FROM step JOIN cand ON cand.event_type = step.event_type AND cand.lab = step.lab AND cand.session = step.session AND cand.rn = step.rn + 1
     ) q
   ) s
 ), grp AS (
