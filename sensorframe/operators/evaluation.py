@@ -1,32 +1,41 @@
 """Detector evaluation against ground truth at one fixed IoU threshold.
 
-Matching is greedy per ``(run, frame, class)``.  Boxes of one frame that do not
-overlap cannot influence each other, so a group is first cut into connected
-clumps along x (a sweep over interval ends): one clump is one small array pair
-and the greedy choice is a JVM ``aggregate`` over it.
+Matching is greedy per ``(run, frame, class)``.  Rows of both populations are
+sorted into these groups by one shuffle and matched from Arrow batches; the
+metrics on top are ordinary aggregates.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..functions.geometry import Box, box, invalid_box, iou
+from ..functions.geometry import Box, box, invalid_box
 from ..functions.ontology import (
     SHARED_CLASSES,
     shared_class_of_ground_truth,
     shared_class_of_prediction,
 )
 from ..functions.text import truthy
+from ..runtime import materialize
 from ..schemas import MATCH_COLUMNS
 from .contracts import require_columns
+from .handoff import changes
 from .sequence import number_rows
 
 PREDICTION_COLUMNS = ("frame_number", "label", "confidence", "x1", "y1", "x2", "y2")
 GROUND_TRUTH_COLUMNS = ("frame_index", "label", "ignored", "x1", "y1", "x2", "y2")
 _GROUP = ["run_id", "frame_number", "shared_class"]
+_BOX = ["x1", "y1", "x2", "y2"]
+CROWD = 50_000
 
 
 @dataclass(frozen=True)
@@ -94,108 +103,188 @@ def restrict_to_frames(ground_truth: DataFrame, frames: DataFrame) -> DataFrame:
     return ground_truth.join(chosen, ["run_id", "frame_index"], "left_semi")
 
 
-def _boxes_as_struct(side: str) -> Column:
-    fields = {
-        "p": ["prediction_index", "label", "confidence", "x1", "y1", "x2", "y2"],
-        "g": ["ground_truth_index", "label", "target_id", "x1", "y1", "x2", "y2"],
-    }[side]
-    return F.struct(*fields)
+def _sides(predictions: DataFrame, ground_truth: DataFrame) -> DataFrame:
+    """Both populations in one table: ``side`` 0 predictions, 1 truth, with the order each is visited in."""
+    p = predictions.select(
+        *_GROUP, F.lit(0).alias("side"), (-F.col("confidence")).alias("rank"), F.col("prediction_index").alias("index"),
+        F.col("label"), F.col("confidence"), F.lit(None).cast("long").alias("target_id"), *_BOX,
+    )
+    g = ground_truth.select(
+        *_GROUP, F.lit(1).alias("side"), F.lit(0.0).alias("rank"), F.col("ground_truth_index").alias("index"),
+        F.col("label"), F.lit(None).cast("double").alias("confidence"), F.col("target_id").cast("long"), *_BOX,
+    )
+    return p.unionByName(g)
 
 
-def _clumps(rows: DataFrame) -> DataFrame:
-    """Number the overlapping-in-x clumps of each frame and class.
+def _with_piles(rows: DataFrame, cell: float = 256.0) -> DataFrame:
+    """Split frames into piles of boxes that overlap along x.
 
-    A row starts a clump when no earlier row (by x1) of the group reaches past
-    its left edge; rows of different clumps have IoU 0.
+    A row opens a pile when no row left of it reaches past its left edge, so
+    boxes of different piles have IoU 0.  The running maximum is two-level over
+    x cells, so one crowded frame is spread over tasks.
     """
-    by_left = Window.partitionBy(*_GROUP).orderBy("x1", "x2")
-    reach = F.max("x2").over(by_left.rowsBetween(Window.unboundedPreceding, -1))
-    opened = rows.withColumn("_new", F.when(reach.isNull() | (reach <= F.col("x1")), 1).otherwise(0))
-    return opened.withColumn(
-        "_clump", F.sum("_new").over(by_left.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ).drop("_new")
-
-
-def match_predictions(predictions: DataFrame, ground_truth: DataFrame, *, iou_threshold: float = 0.50) -> DataFrame:
+    key = [*_GROUP, "_cell"]
+    cut = rows.withColumn("_cell", F.floor(F.col("x1") / cell))
+    inside = Window.partitionBy(*key).orderBy("x1", "x2").rowsBetween(Window.unboundedPreceding, -1)
+    across = Window.partitionBy(*_GROUP).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    ends = cut.groupBy(*key).agg(F.max("x2").alias("_end"))
+    ends = ends.select(*key, F.max("_end").over(across).alias("_before"))
+    reach = F.greatest(F.max("x2").over(inside), F.col("_before"))
+    opened = cut.join(ends, key).withColumn("_reach", reach).withColumn(
+        "_open", F.when(F.col("_reach").isNull() | (F.col("_reach") <= F.col("x1")), F.col("x1"))
+    ).drop("_reach", "_before")
+    last = opened.groupBy(*key).agg(F.max("_open").alias("_last"))
+    last = last.select(*key, F.max("_last").over(across).alias("_carried"))
+    upto = Window.partitionBy(*key).orderBy("x1", "x2").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return opened.join(last, key).withColumn(
+        "_pile", F.coalesce(F.max("_open").over(upto), F.col("_carried"))
+    ).drop("_cell", "_open", "_carried")
+
+
+def _pair_up(boxes: np.ndarray, n: int, threshold: float) -> list[tuple[int, int, float, bool]]:
+    """Greedy choice in one pile: the first ``n`` boxes are predictions in visiting order, the rest truth by index.
+
+    Returns (prediction, truth or -1, IoU, hit) with positions in ``boxes``.
+    """
+    p, g = boxes[:n], boxes[n:]
+    if len(g) == 0:
+        return [(i, -1, 0.0, False) for i in range(n)]
+    area_p = (p[:, 2] - p[:, 0]) * (p[:, 3] - p[:, 1])
+    area_g = (g[:, 2] - g[:, 0]) * (g[:, 3] - g[:, 1])
+    out = []
+    if len(p) * len(g) <= 64:
+        free = list(range(len(g)))
+        rows_p, rows_g = p.tolist(), g.tolist()
+        sizes_p, sizes_g = area_p.tolist(), area_g.tolist()
+        for i, (x1, y1, x2, y2) in enumerate(rows_p):
+            best, value = -1, 0.0
+            for k in free:
+                q = rows_g[k]
+                w = min(x2, q[2]) - max(x1, q[0])
+                h = min(y2, q[3]) - max(y1, q[1])
+                if w > 0 and h > 0:
+                    v = w * h / (sizes_p[i] + sizes_g[k] - w * h)
+                    if v > value:
+                        best, value = k, v
+            hit = best >= 0 and value >= threshold
+            if hit:
+                free.remove(best)
+            out.append((i, n + best if best >= 0 else -1, value, hit))
+        return out
+    by_left = np.argsort(g[:, 0], kind="stable")
+    lefts, widest = g[by_left, 0], float((g[:, 2] - g[:, 0]).max())
+    free = np.ones(len(g), dtype=bool)
+    lows = np.searchsorted(lefts, p[:, 0] - widest)
+    highs = np.searchsorted(lefts, p[:, 2], side="right")
+    for i in range(n):
+        near = by_left[lows[i]:highs[i]]
+        near = np.sort(near[free[near]])
+        q = g[near]
+        w = np.minimum(p[i, 2], q[:, 2]) - np.maximum(p[i, 0], q[:, 0])
+        h = np.minimum(p[i, 3], q[:, 3]) - np.maximum(p[i, 1], q[:, 1])
+        inter = np.clip(w, 0, None) * np.clip(h, 0, None)
+        value = inter / (area_p[i] + area_g[near] - inter)
+        k = int(value.argmax()) if len(near) else -1
+        if k < 0 or value[k] <= 0:
+            out.append((i, -1, 0.0, False))
+            continue
+        hit = bool(value[k] >= threshold)
+        if hit:
+            free[near[k]] = False
+        out.append((i, n + int(near[k]), float(value[k]), hit))
+    return out
+
+
+def _match_kernel(threshold: float, schema: T.StructType):
+    out_schema = to_arrow_schema(schema)
+    keys = [*_GROUP, "_pile"]
+
+    def match(table: pa.Table, edges: list[int]) -> pa.RecordBatch:
+        """All piles of ``table``; output rows are picked by position, so columns are never unpacked."""
+        boxes = np.column_stack([table.column(c).to_numpy() for c in _BOX])
+        sides = table.column("side").to_numpy()
+        left, right, values, status = [], [], [], []
+        for lo, hi in zip(edges[:-1], edges[1:]):
+            n = int(hi - lo - sides[lo:hi].sum())
+            taken = set()
+            for i, k, value, hit in _pair_up(boxes[lo:hi], n, threshold):
+                left.append(lo + i)
+                right.append(lo + k if k >= 0 else None)
+                values.append(value)
+                status.append("TP" if hit else "FP")
+                if hit:
+                    taken.add(k)
+            for k in range(n, hi - lo):
+                if k not in taken:
+                    left.append(None)
+                    right.append(lo + k)
+                    values.append(None)
+                    status.append("FN")
+        p, g = pa.array(left, pa.int64()), pa.array(right, pa.int64())
+        either = pc.coalesce(p, g)
+
+        def pick(column: str, where: pa.Array) -> pa.Array:
+            return table.column(column).combine_chunks().take(where)
+
+        columns = {c: pick(c, either) for c in _GROUP}
+        columns |= {"status": pa.array(status), "iou": pa.array(values, pa.float64())}
+        columns |= {f"prediction_{c}": pick(c, p) for c in ("index", "label", "confidence")}
+        columns |= {f"ground_truth_{c}": pick(c, g) for c in ("index", "label", "target_id")}
+        columns |= {f"pred_{c}": pick(c, p) for c in _BOX}
+        columns |= {f"gt_{c}": pick(c, g) for c in _BOX}
+        return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) for f in out_schema], schema=out_schema)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            table = pa.concat_tables([*held, pa.Table.from_batches([batch])]).combine_chunks()
+            edges = np.flatnonzero(changes(table, keys)).tolist()
+            if len(edges) > 1:
+                yield match(table.slice(0, edges[-1]), edges)
+            held = [table.slice(edges[-1])]
+        if held:
+            yield match(held[0], [0, held[0].num_rows])
+
+    return scan
+
+
+def match_predictions(
+    predictions: DataFrame, ground_truth: DataFrame, *, iou_threshold: float = 0.50, crowd: int = CROWD
+) -> DataFrame:
     """Greedy TP / FP / FN rows (W8) from prepared, in-ontology tables.
 
     Predictions in (-confidence, index) order each look at the still unmatched
     ground truth with the strictly highest IoU (ties: lowest index).  A false
     positive keeps the columns and IoU of that best candidate.
+
+    One shuffle brings a frame's boxes of one class together.  A frame is one
+    picture, so groups are small; groups above ``crowd`` rows are found by a
+    count first and cut into independent piles before they are matched.
     """
     if not 0 < iou_threshold <= 1:
         raise ValueError("iou_threshold must be greater than 0 and at most 1")
-    edges = ["x1", "x2"]
-    p = predictions.select(*_GROUP, *edges, _boxes_as_struct("p").alias("p"))
-    g = ground_truth.select(*_GROUP, *edges, _boxes_as_struct("g").alias("g"))
-    both = p.unionByName(g, allowMissingColumns=True)
-    clumped = _clumps(both)
-    arrays = clumped.groupBy(*_GROUP, "_clump").agg(
-        F.array_sort(
-            F.collect_list(
-                F.when(F.col("p").isNotNull(),
-                       F.struct((-F.col("p.confidence")).alias("o"), F.col("p.prediction_index").alias("i"), "p"))
-            )
-        ).alias("ps"),
-        F.array_sort(F.collect_list("g")).alias("gs"),
-    )
-    threshold = F.lit(float(iou_threshold))
-    g_type = g.schema["g"].dataType.simpleString()
-    p_type = p.schema["p"].dataType.simpleString()
-    out_type = f"struct<p:{p_type},g:{g_type},iou:double,tp:boolean>"
-    start = F.struct(
-        F.col("gs").alias("free"),
-        F.array().cast(f"array<{out_type}>").alias("out"),
-    )
-
-    def corners(s: Column) -> Box:
-        return s["x1"], s["y1"], s["x2"], s["y2"]
-
-    def step(acc: Column, item: Column) -> Column:
-        pred = item["p"]
-        scored = F.transform(
-            acc["free"],
-            lambda c: F.struct(
-                iou(corners(pred), corners(c)).alias("iou"),
-                (-c["ground_truth_index"]).alias("order"),
-                c.alias("g"),
-            ),
+    rows = _sides(predictions, ground_truth)
+    full = rows.groupBy(*_GROUP).agg(F.count("*").alias("_n")).filter(F.col("_n") > crowd).select(*_GROUP)
+    piled = rows.withColumn("_pile", F.lit(0.0))
+    if not full.isEmpty():
+        crowded = materialize(full, "crowded-frames")
+        piled = piled.join(crowded, _GROUP, "left_anti").unionByName(
+            _with_piles(rows.join(crowded, _GROUP, "left_semi"))
         )
-        best = F.array_max(F.filter(scored, lambda s: s["iou"] > 0))
-        hit = F.coalesce(best["iou"] >= threshold, F.lit(False))
-        row = F.struct(
-            pred.alias("p"), best["g"].alias("g"), F.coalesce(best["iou"], F.lit(0.0)).alias("iou"), hit.alias("tp")
-        ).cast(out_type)
-        free = F.when(
-            hit, F.filter(acc["free"], lambda c: c["ground_truth_index"] != best["g"]["ground_truth_index"])
-        ).otherwise(acc["free"])
-        return F.struct(free.alias("free"), F.concat(acc["out"], F.array(row)).alias("out"))
-
-    missed = lambda acc: F.transform(
-        acc["free"],
-        lambda c: F.struct(
-            F.lit(None).cast(p_type).alias("p"), c.alias("g"), F.lit(None).cast("double").alias("iou"),
-            F.lit(None).cast("boolean").alias("tp"),
-        ).cast(out_type),
-    )
-    solved = arrays.select(
-        *_GROUP,
-        F.explode(F.aggregate("ps", start, step, lambda acc: F.concat(acc["out"], missed(acc)))).alias("m"),
-    )
-    m = F.col("m")
-    return solved.select(
-        *_GROUP,
-        F.when(m["tp"].isNull(), F.lit("FN")).when(m["tp"], F.lit("TP")).otherwise(F.lit("FP")).alias("status"),
-        m["p"]["prediction_index"].alias("prediction_index"),
-        m["p"]["label"].alias("prediction_label"),
-        m["p"]["confidence"].alias("prediction_confidence"),
-        *[m["p"][c].alias(f"pred_{c}") for c in ("x1", "y1", "x2", "y2")],
-        m["g"]["ground_truth_index"].alias("ground_truth_index"),
-        m["g"]["label"].alias("ground_truth_label"),
-        m["g"]["target_id"].alias("ground_truth_target_id"),
-        *[m["g"][c].alias(f"gt_{c}") for c in ("x1", "y1", "x2", "y2")],
-        m["iou"].alias("iou"),
-    ).select(*MATCH_COLUMNS)
+    types = {**{f.name: f.dataType for f in rows.schema}, "status": T.StringType(), "iou": T.DoubleType()}
+
+    def type_of(name: str) -> T.DataType:
+        for prefix in ("prediction_", "ground_truth_", "pred_", "gt_"):
+            if name.startswith(prefix):
+                return types[name[len(prefix):]]
+        return types[name]
+
+    schema = T.StructType([T.StructField(c, type_of(c)) for c in MATCH_COLUMNS])
+    order = [*_GROUP, "_pile", "side", "rank", "index"]
+    laid_out = piled.repartition(*_GROUP, "_pile").sortWithinPartitions(*order)
+    return laid_out.mapInArrow(_match_kernel(float(iou_threshold), schema), schema)
 
 
 def _ratios(df: DataFrame) -> DataFrame:

@@ -375,8 +375,7 @@ def _aggregate(members: DataFrame, scope, anchor, config: FusionConfig) -> DataF
     )
 
     def listed(column: str) -> Column:
-        pairs = F.array_sort(F.collect_list(F.struct("member_order", column)))
-        return F.transform(pairs, lambda p: p[column])
+        return F.transform("_members", lambda m: m[column])
 
     is_anchor = F.col("member_order") == 0
     return members.groupBy(*scope, *anchor).agg(
@@ -392,11 +391,17 @@ def _aggregate(members: DataFrame, scope, anchor, config: FusionConfig) -> DataF
         F.when(
             (F.count("label") == F.count("*")) & (F.min("label") == F.max("label")), F.max("label")
         ).alias("label"),
+        F.array_sort(
+            F.collect_list(F.struct("member_order", "sensor_id", "modality", "event_id", "run_id"))
+        ).alias("_members"),
+    ).select(
+        "*",
+        F.element_at(F.array(*[F.lit(s) for s in SEVERITIES]), F.col("_rank") + 1).alias("severity"),
         listed("sensor_id").alias("sensor_ids"),
         listed("modality").alias("modalities"),
         listed("event_id").alias("contributor_event_ids"),
         listed("run_id").alias("contributor_run_ids"),
-    ).withColumn("severity", F.element_at(F.array(*[F.lit(s) for s in SEVERITIES]), F.col("_rank") + 1)).drop("_rank")
+    ).drop("_rank", "_members")
 
 
 def _event_rows(named: DataFrame, scope, config: FusionConfig) -> DataFrame:
