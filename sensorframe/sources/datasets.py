@@ -110,7 +110,7 @@ def index_uavdt(spark: SparkSession, root: str, **options) -> DataFrame:
 
 def uavdt_annotation_candidates(paths: DataFrame) -> DataFrame:
     """Annotation files per sequence, recognised by name only."""
-    name = F.regexp_extract("path", r"/([^/]+)_(gt|whole|gt_whole|gt_merge)\.txt$", 1)
+    name = F.regexp_extract("path", r"/([^/]+?)_(gt_whole|gt_merge|gt|whole)\.txt$", 1)
     return paths.select(name.alias("sequence_id"), "path").filter(F.col("sequence_id") != "")
 
 
