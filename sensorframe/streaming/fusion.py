@@ -96,13 +96,13 @@ class FusionProcessor(StatefulProcessor):
             self.handle.registerTimer(math.ceil((min(pending) + reach + EPOCH_S) * 1000) + 1)
         self.value.update((json.dumps(kept),))
         if out:
-            yield pd.DataFrame(out, columns=MEMBER_ROWS.names)
+            yield pd.DataFrame(out, columns=MEMBER_ROWS.names, dtype=object)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         fresh = []
         for batch in rows:
             for r in batch.itertuples(index=False):
-                bbox = None if r.bbox is None else [r.bbox[c] for c in ("x1", "y1", "x2", "y2")]
+                bbox = [json.loads(r.bbox)[c] for c in ("x1", "y1", "x2", "y2")] if isinstance(r.bbox, str) else None
                 label = r.label if isinstance(r.label, str) else None
                 fresh.append(
                     [float(r.timestamp_s), r.sensor_id, r.event_id, r.run_id, r.modality, int(r.frame_number),
@@ -132,10 +132,10 @@ def fusion_stream(
     timed = evidence.select(
         *[c for c in keys if c not in _FIELDS],
         *[F.col(c) if c in have else F.lit(None).alias(c) for c in _FIELDS if c != "bbox"],
-        (F.col("bbox") if "bbox" in have else F.lit(None).cast("struct<x1:double,y1:double,x2:double,y2:double>")).alias("bbox"),
+        (F.to_json("bbox") if "bbox" in have else F.lit(None).cast("string")).alias("bbox"),
         event_time().alias("event_time"),
     ).withWatermark("event_time", lateness)
-    # The key repeats the label because grouping columns may not be null.
+    # One text key, because a label may be null.
     named = timed.withColumn("_group", F.to_json(F.struct(*keys)))
     return named.groupBy("_group").transformWithStateInPandas(
         statefulProcessor=FusionProcessor(config), outputStructType=MEMBER_ROWS, outputMode="Append",

@@ -64,6 +64,11 @@ def event_ms(seconds: float) -> int:
     return int((float(seconds) + EPOCH_S) * 1000)
 
 
+def _table(rows: list[dict]) -> pd.DataFrame:
+    """Object columns, so an absent value stays null whatever the column's type."""
+    return pd.DataFrame([[r.get(c) for c in TRACK_ROWS.names] for r in rows], columns=TRACK_ROWS.names, dtype=object)
+
+
 class _Live:
     """A live track; attribute names match what ``associate`` reads."""
 
@@ -108,7 +113,7 @@ class TrackProcessor(StatefulProcessor):
                 ordinal = int(r.frame_ordinal)
                 frame = {
                     "n": int(r.frame_number), "t": float(r.timestamp_s), "event_ms": event_ms(r.timestamp_s),
-                    "d": [[*(x[f] for f in DETECTION_FIELDS[1:])] for x in r.detections],
+                    "d": [[x.get(f) for f in DETECTION_FIELDS[1:]] for x in json.loads(r.detections)],
                 }
                 if ordinal < turn:
                     out.append({"run_id": key[0], "status": "late", "frame_ordinal": ordinal,
@@ -120,7 +125,7 @@ class TrackProcessor(StatefulProcessor):
         turn, next_id = self._advance(key[0], ready, turn, next_id, live, timerValues.getCurrentWatermarkInMs(), out)
         self._store(ready, turn, next_id, live)
         if out:
-            yield pd.DataFrame(out, columns=TRACK_ROWS.names)
+            yield _table(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         turn, next_id, live = self._load()
@@ -129,7 +134,7 @@ class TrackProcessor(StatefulProcessor):
         turn, next_id = self._advance(key[0], ready, turn, next_id, live, timerValues.getCurrentWatermarkInMs(), out)
         self._store(ready, turn, next_id, live)
         if out:
-            yield pd.DataFrame(out, columns=TRACK_ROWS.names)
+            yield _table(out)
 
     def _advance(self, run, ready, turn, next_id, live, watermark, out):
         """Take frames whose turn it is; skip a gap once the watermark has passed it."""
@@ -215,7 +220,9 @@ def track_stream(
     Frames may arrive up to ``lateness`` out of order; a frame whose turn has
     passed is reported with ``status = 'late'`` and never merged silently.
     """
-    timed = frames.withColumn("event_time", event_time()).withWatermark("event_time", lateness)
+    # Detections travel as text: flat columns cross to Python in any batch layout.
+    flat = frames.withColumn("detections", F.to_json("detections"))
+    timed = flat.withColumn("event_time", event_time()).withWatermark("event_time", lateness)
     processor = TrackProcessor(
         float(iou_threshold), int(max_missed_updates), min_hits, float(max_displacement_px),
         None if labels is None else set(labels),
@@ -314,7 +321,7 @@ class StreakProcessor(StatefulProcessor):
             self.handle.registerTimer(min(r[5] for r in rest))
         self.value.update((last, count, fired, json.dumps([] if fired else rest)))
         if out:
-            yield pd.DataFrame(out, columns=STREAK_ROWS.names)
+            yield pd.DataFrame(out, columns=STREAK_ROWS.names, dtype=object)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         fresh = [
