@@ -391,11 +391,16 @@ def excluded_label_counts(predictions: DataFrame, ground_truth: DataFrame) -> Da
 
 
 def evaluate(predictions: DataFrame, ground_truth: DataFrame, *, iou_threshold: float = 0.50) -> Evaluation:
-    """Full evaluation of raw prediction and ground-truth tables, many runs at once."""
+    """Full evaluation of raw prediction and ground-truth tables, many runs at once.
+
+    Matches feed every metric and the match table itself, so they are stored once.
+    """
     p, g = prepare_predictions(predictions), prepare_ground_truth(ground_truth)
     inside = F.col("shared_class").isNotNull()
     kept = g.filter(~F.col("ignored_flag"))
-    matches = match_predictions(p.filter(inside), kept.filter(inside), iou_threshold=iou_threshold)
+    matches = materialize(
+        match_predictions(p.filter(inside), kept.filter(inside), iou_threshold=iou_threshold), "matches"
+    )
     runs = p.select("run_id").unionByName(g.select("run_id")).distinct()
     per_class = class_metrics(matches, runs)
     return Evaluation(

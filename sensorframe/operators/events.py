@@ -72,8 +72,10 @@ def dwell_events(
 
     The running maximum displacement never falls, so the only row that can fire
     is the first one with enough hits; it fires if no row up to it strayed.
-    Origin and candidate row come from one aggregate per track; rows after the
-    candidate are discarded by the join, and the displacement is a plain max.
+    Origin and candidate row come from one aggregate per track.  Every row
+    before the candidate has fewer than ``min_hits`` hits, so that filter
+    reaches the scan and a long track sends no more than its first rows to the
+    join.
     """
     if min_hits < 2:
         raise ValueError("min_hits must be at least 2")
@@ -89,19 +91,29 @@ def dwell_events(
         seen.groupBy(*key)
         .agg(
             F.min_by(F.struct(cx.alias("ox"), cy.alias("oy")), "frame_ordinal").alias("_origin"),
-            F.min_by(F.when(ripe, F.struct(*columns)), F.when(ripe, F.col("frame_ordinal"))).alias("_fire"),
+            F.min_by(
+                F.when(ripe, F.struct(*columns, cx.alias("cx"), cy.alias("cy"))), F.when(ripe, F.col("frame_ordinal"))
+            ).alias("_fire"),
         )
         .filter(F.col("_fire").isNotNull())
     )
-    path = seen.select(*key, F.col("frame_ordinal").alias("_at"), cx.alias("_cx"), cy.alias("_cy"))
+    path = seen.filter(F.col("hits") < min_hits).select(
+        *key, F.col("frame_ordinal").alias("_at"), cx.alias("_cx"), cy.alias("_cy")
+    )
+    earlier = F.col("_at") < F.col("_fire.frame_ordinal")
+
+    def away(x: Column, y: Column) -> Column:
+        return displacement(x, y, F.col("_origin.ox"), F.col("_origin.oy"))
+
     strayed = (
-        path.join(candidate, key)
-        .filter(F.col("_at") <= F.col("_fire.frame_ordinal"))
+        candidate.join(path, key, "left")
         .groupBy(*key)
         .agg(
-            F.max(displacement(F.col("_cx"), F.col("_cy"), F.col("_origin.ox"), F.col("_origin.oy"))).alias("_max"),
+            F.max(F.when(earlier, away(F.col("_cx"), F.col("_cy")))).alias("_before"),
+            F.any_value(away(F.col("_fire.cx"), F.col("_fire.cy"))).alias("_now"),
             F.any_value("_fire").alias("_fire"),
         )
+        .withColumn("_max", F.greatest("_before", "_now"))
         .filter(F.col("_max") <= limit)
         .select(*key, "_max", "_fire.*")
     )

@@ -64,14 +64,19 @@ class Fusion:
 
 
 def attach_boxes(events: DataFrame, tracks: DataFrame) -> DataFrame:
-    """Give each event the box its track had on that frame (J1); last duplicate wins."""
+    """Give each event the box its track had on that frame (J1); last duplicate wins.
+
+    Events are few: their keys thin the track table before it is aggregated.
+    """
     position = F.col("frame_ordinal") if "frame_ordinal" in tracks.columns else F.lit(0)
-    boxes = tracks.groupBy("run_id", "frame_number", "track_id").agg(
+    key = ["run_id", "frame_number", "track_id"]
+    wanted = events.select(*key).filter(F.col("track_id").isNotNull()).distinct()
+    boxes = tracks.join(wanted, key, "left_semi").groupBy(*key).agg(
         F.max_by(
             F.struct(*[F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")]), position
         ).alias("bbox")
     )
-    return events.drop("bbox").join(boxes, ["run_id", "frame_number", "track_id"], "left")
+    return events.drop("bbox").join(boxes, key, "left")
 
 
 def compatible(anchor: dict[str, Column], other: dict[str, Column], config: FusionConfig) -> Column:
