@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import broadcast_if_small
+
 Box = tuple[Column, Column, Column, Column]
 
 
@@ -112,7 +114,7 @@ def letterbox_geometry(frames: DataFrame) -> DataFrame:
         return F.least(limit, F.greatest(F.lit(1), rounded))
 
     return (
-        frames.join(canvas, "run_id")
+        frames.join(broadcast_if_small(canvas), "run_id")
         .withColumns({"canvas_width": F.col("_canvas.width"), "canvas_height": F.col("_canvas.height")})
         .drop("_canvas")
         .withColumn("normalized", ~same)

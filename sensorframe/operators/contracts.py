@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import is_finite_vector
+from ..runtime import broadcast_if_small
 from ..schemas import FRAMES, MODALITIES, SEVERITIES
 from .sequence import BUCKET, previous
 
@@ -171,6 +172,6 @@ def quarantine(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 def ground_truth_out_of_range(ground_truth: DataFrame, frames: DataFrame) -> DataFrame:
     """Annotations beyond the last frame of their run."""
     last = frames.groupBy("run_id").agg(F.max("frame_number").alias("_last"))
-    return ground_truth.join(last, "run_id", "left").filter(
+    return ground_truth.join(broadcast_if_small(last), "run_id", "left").filter(
         F.col("frame_index") > F.coalesce(F.col("_last"), F.lit(-1))
     ).drop("_last")

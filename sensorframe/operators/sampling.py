@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import natural_key
 from ..functions.vectors import as_double
-from ..runtime import materialize
+from ..runtime import BROADCAST_ROWS, materialize
 from .sequence import BUCKET, number_rows
 
 # Categories chosen when the caller names none.
@@ -73,9 +73,21 @@ class CocoSubset:
         return n.crossJoin(self.annotations.agg(F.count("*").alias("selected_annotations")))  # one row each
 
 
-def eligible_images(images: DataFrame, annotations: DataFrame, chosen: DataFrame) -> DataFrame:
+def category_ids(categories: DataFrame, names: Sequence[str]) -> list[int]:
+    """Ids of the requested categories; raises when one is absent.
+
+    Only requested categories are collected, so the list is as long as the request.
+    """
+    found = categories.filter(F.col("name").isin(*names)).groupBy("name").agg(F.max("id").alias("id")).collect()
+    absent = sorted(set(names) - {r["name"] for r in found})
+    if absent:
+        raise ValueError(f"categories absent from the annotations: {absent}")
+    return sorted(r["id"] for r in found)
+
+
+def eligible_images(images: DataFrame, annotations: DataFrame, ids: Sequence[int]) -> DataFrame:
     """Images with at least one annotation of the chosen categories."""
-    wanted = annotations.join(chosen.select(F.col("id").alias("category_id")), "category_id", "left_semi")
+    wanted = annotations.filter(F.col("category_id").isin(*ids))
     return images.join(wanted.select(F.col("image_id").alias("id")), "id", "left_semi")
 
 
@@ -101,19 +113,15 @@ def coco_subset(
         raise ValueError("at least one category is required")
     if len(set(names)) != len(names):
         raise ValueError("categories must be unique")
-    chosen = categories.filter(F.col("name").isin(*names))
-    known = {r["name"] for r in chosen.select("name").distinct().collect()}
-    if set(names) - known:
-        raise ValueError(f"categories absent from the annotations: {sorted(set(names) - known)}")
-    picked = (
-        eligible_images(images, annotations, chosen)
-        .orderBy(*seeded_order(seed, "id"))
-        .limit(max_images)
-    )
-    kept = annotations.join(chosen.select(F.col("id").alias("category_id")), "category_id", "left_semi").join(
-        picked.select(F.col("id").alias("image_id")), "image_id", "left_semi"
+    ids = category_ids(categories, names)
+    picked = materialize(
+        eligible_images(images, annotations, ids).orderBy(*seeded_order(seed, "id")).limit(max_images), "subset-images"
     )
-    return CocoSubset(picked, kept, chosen)
+    chosen = picked.select(F.col("id").alias("image_id"))
+    if max_images <= BROADCAST_ROWS:
+        chosen = F.broadcast(chosen)
+    kept = annotations.filter(F.col("category_id").isin(*ids)).join(chosen, "image_id", "left_semi")
+    return CocoSubset(picked, kept, categories.filter(F.col("id").isin(*ids)))
 
 
 def seeded_order(seed: int, *ids: str) -> list[Column]:

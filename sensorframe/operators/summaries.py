@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import finite_or_null
+from ..runtime import broadcast_if_small
 from .sequence import BUCKET, number_rows
 
 SERIES_POINTS = 240
@@ -109,7 +110,7 @@ def frame_series(per_frame: DataFrame, *, points: int = SERIES_POINTS) -> DataFr
         per_frame, ["run_id"], F.floor(F.col("frame_number") / BUCKET), [F.col("frame_number")], "_rn", start=0
     )
     stride = F.greatest(F.lit(1), F.ceil(F.col("_n") / points))
-    return numbered.join(size, "run_id").filter(F.col("_rn") % stride == 0).drop("_rn", "_n")
+    return numbered.join(broadcast_if_small(size), "run_id").filter(F.col("_rn") % stride == 0).drop("_rn", "_n")
 
 
 def tail_rows(df: DataFrame, order: list[Column], limit: int = 200) -> DataFrame:

@@ -951,8 +951,8 @@ def vectors_of_representations(spark, d):
 @query("coco_eligible_images", """
 SELECT count(*) AS images FROM v_images WHERE id IN (SELECT image_id FROM v_annotations WHERE category_id IN (1, 2))""")
 def coco_eligible_images(spark, d):
-    chosen = view(spark, d, "v_categories").filter(F.col("name").isin("person", "car"))
-    return S.eligible_images(view(spark, d, "v_images"), view(spark, d, "v_annotations"), chosen).agg(
+    ids = S.category_ids(view(spark, d, "v_categories"), ["person", "car"])
+    return S.eligible_images(view(spark, d, "v_images"), view(spark, d, "v_annotations"), ids).agg(
         F.count("*").alias("images")
     )
 

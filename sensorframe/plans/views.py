@@ -110,7 +110,10 @@ FROM events
 """
 
 VIEWS["v_evidence"] = """
-SELECT e.*, m.sensor_id, m.modality, m.run_dir FROM v_sensor_events e JOIN v_manifests m ON e.run_id = m.run_id
+SELECT *, replace(run_id, 'sensor_run_', 'SENSOR_') AS sensor_id,
+       CASE run_id WHEN 'sensor_run_0' THEN 'EO' WHEN 'sensor_run_1' THEN 'IR' ELSE 'OTHER' END AS modality,
+       replace(run_id, 'sensor_run_', '/runs/') AS run_dir
+FROM v_sensor_events
 """
 
 VIEWS["v_reps"] = """

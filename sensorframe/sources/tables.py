@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from ..functions.text import empty_to_null, nan_to_null
 from ..operators.anomaly import check_reference
 from ..operators.fusion import attach_boxes
+from ..runtime import broadcast_if_small
 from ..schemas import EVIDENCE, FRAMES, REFERENCE, TABLES, conform
 
 # Column order of the exchange tables (without the vector column).
@@ -137,7 +138,7 @@ def evidence_from_runs(events: DataFrame, manifests: DataFrame, tracks: DataFram
         }
     )
     boxed = attach_boxes(typed, tracks) if tracks is not None else typed
-    return conform(boxed.drop("sensor_id", "modality", "run_dir").join(run, "run_id"), EVIDENCE)
+    return conform(boxed.drop("sensor_id", "modality", "run_dir").join(broadcast_if_small(run), "run_id"), EVIDENCE)
 
 
 def read_evidence(spark: SparkSession, root: str) -> DataFrame:
