@@ -63,22 +63,27 @@ def _overlap(a, b) -> float:
     return inter / union if union > 0 else 0.0
 
 
-def _overlaps(tracks: list[_Track], boxes: list[tuple]) -> list[tuple[float, int, int]]:
-    """All (iou, track position, detection position); vectorised for busy frames."""
+def _candidates(tracks: list[_Track], boxes: list[tuple], threshold: float) -> list[tuple[float, int, int]]:
+    """(-iou, track position, detection position) of pairs at or above the threshold, best first.
+
+    Small frames are compared pair by pair, busy ones as one matrix.
+    """
     if len(tracks) * len(boxes) <= 24:
-        return [(_overlap(t.box, b), i, j) for i, t in enumerate(tracks) for j, b in enumerate(boxes)]
-    a = np.array([t.box for t in tracks], dtype=np.float64)[:, None, :]
-    b = np.array(boxes, dtype=np.float64)[None, :, :]
-    w = np.minimum(a[..., 2], b[..., 2]) - np.maximum(a[..., 0], b[..., 0])
-    h = np.minimum(a[..., 3], b[..., 3]) - np.maximum(a[..., 1], b[..., 1])
-    inter = np.clip(w, 0, None) * np.clip(h, 0, None)
+        pairs = [(-_overlap(t.box, b), i, j) for i, t in enumerate(tracks) for j, b in enumerate(boxes)]
+        return sorted(p for p in pairs if -p[0] >= threshold)
+    a = np.array([t.box for t in tracks], dtype=np.float64)
+    b = np.array(boxes, dtype=np.float64)
+    w = np.minimum(a[:, None, 2], b[None, :, 2]) - np.maximum(a[:, None, 0], b[None, :, 0])
+    h = np.minimum(a[:, None, 3], b[None, :, 3]) - np.maximum(a[:, None, 1], b[None, :, 1])
+    inter = np.where((w > 0) & (h > 0), w * h, 0.0)
 
     def area(c):
-        return np.clip(c[..., 2] - c[..., 0], 0, None) * np.clip(c[..., 3] - c[..., 1], 0, None)
+        return np.clip(c[:, 2] - c[:, 0], 0, None) * np.clip(c[:, 3] - c[:, 1], 0, None)
 
-    union = area(a) + area(b) - inter
-    value = np.divide(inter, union, out=np.zeros_like(inter), where=(inter > 0) & (union > 0))
-    return [(float(value[i, j]), i, j) for i in range(len(tracks)) for j in range(len(boxes))]
+    union = area(a)[:, None] + area(b)[None, :] - inter
+    value = np.divide(inter, union, out=np.zeros_like(inter), where=union > 0)
+    i, j = np.nonzero(value >= threshold)
+    return sorted(zip((-value[i, j]).tolist(), i.tolist(), j.tolist()))
 
 
 def associate(tracks: list[_Track], boxes: list[tuple], threshold: float) -> tuple[dict[int, int], bool]:
@@ -87,8 +92,7 @@ def associate(tracks: list[_Track], boxes: list[tuple], threshold: float) -> tup
     The flag tells whether two inherited tracks tied on one detection, i.e.
     whether their relative age may have decided the result.
     """
-    pairs = [p for p in _overlaps(tracks, boxes) if p[0] >= threshold]
-    pairs.sort(key=lambda p: (-p[0], p[1], p[2]))
+    pairs = _candidates(tracks, boxes, threshold)
     taken: set[int] = set()
     match: dict[int, int] = {}
     for _, i, j in pairs:
