@@ -170,8 +170,7 @@ class _ChunkScan:
                 t.box, t.at = b, at
                 t.hits += 1
             if own:
-                for column, value in zip(out, (*t.root, t.hits, t.inherited)):
-                    column[base + j] = value
+                out[base + j] = (*t.root, t.hits, t.inherited)
 
     def close(self) -> tuple[list[dict], bool]:
         if not self.entered:
@@ -192,6 +191,11 @@ class _ChunkScan:
         return rows, True
 
 
+def _values(column: pa.ChunkedArray) -> list:
+    """Python values of a column, by way of NumPy when it has no nulls."""
+    return column.to_pylist() if column.null_count else column.to_numpy().tolist()
+
+
 def _kernel(threshold: float, max_missed: int, chunk_frames: int, schema: T.StructType):
     settings = (threshold, max_missed + 1, chunk_frames)
     out_schema = to_arrow_schema(schema)
@@ -212,31 +216,30 @@ def _kernel(threshold: float, max_missed: int, chunk_frames: int, schema: T.Stru
             stop = table.num_rows if final else edges[-1]
             bounds = [e for e in edges if e < stop] + [stop]
             side: list[dict] = []
-            out = [[None] * stop for _ in _ROOT]
-            col = {
-                c: table.column(c).to_pylist()
-                for c in ("_own", "_init", "detection_index", "frame_number", "timestamp_s", "x1", "y1", "x2", "y2")
-            }
-            keys = list(zip(*[table.column(k).to_pylist() for k in group]))
-            boxes = list(zip(col["x1"], col["y1"], col["x2"], col["y2"]))
+            out: list = [None] * stop
+            own = table.column("_own").to_numpy()
+            col = {c: _values(table.column(c)) for c in ("detection_index", "frame_number", "timestamp_s")}
+            boxes = np.column_stack([table.column(c).to_numpy() for c in ("x1", "y1", "x2", "y2")]).tolist()
             for lo, hi in zip(bounds[:-1], bounds[1:]):
-                if new_group[lo] and (current is None or current.key != keys[lo]):
-                    if current is not None:
-                        side += current.close()[0]
-                    current = _ChunkScan(keys[lo], col["_init"][lo], settings)
+                if new_group[lo]:
+                    key = tuple(table.column(k)[lo].as_py() for k in group)
+                    if current is None or current.key != key:
+                        if current is not None:
+                            side += current.close()[0]
+                        current = _ChunkScan(key, table.column("_init")[lo].as_py(), settings)
                 current.frame(
-                    int(ordinals[lo]), col["_own"][lo], col["detection_index"][lo:hi], boxes[lo:hi],
+                    int(ordinals[lo]), bool(own[lo]), col["detection_index"][lo:hi], boxes[lo:hi],
                     col["frame_number"][lo:hi], col["timestamp_s"][lo:hi], out, lo,
                 )
             if final and current is not None:
                 side += current.close()[0]
             done = table.slice(0, stop)
-            own = np.flatnonzero(np.array(col["_own"][:stop], dtype=bool))
+            mine = np.flatnonzero(own[:stop])
             result = []
-            if len(own):
-                picked = done.take(pa.array(own))
-                extra = {name: pa.array([values[i] for i in own]) for name, values in zip(_ROOT, out)}
-                n = len(own)
+            if len(mine):
+                picked = done.take(pa.array(mine))
+                extra = {name: pa.array(values) for name, values in zip(_ROOT, zip(*[out[i] for i in mine]))}
+                n = len(mine)
                 arrays = []
                 for field in out_schema:
                     if field.name in extra:
