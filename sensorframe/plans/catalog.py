@@ -621,6 +621,13 @@ def evaluated(spark, d) -> evaluation.Evaluation:
     return evaluation.evaluate(view(spark, d, "v_predictions"), view(spark, d, "v_ground_truth"))
 
 
+def prepared(spark, d) -> tuple[DataFrame, DataFrame]:
+    return (
+        evaluation.prepare_predictions(view(spark, d, "v_predictions")),
+        evaluation.prepare_ground_truth(view(spark, d, "v_ground_truth")),
+    )
+
+
 @query("evaluation_matches", EVAL_SQL + """
 SELECT run_id, frame_number, shared_class, status, prediction_index, ground_truth_index, round(iou, 6) AS iou FROM matches""")
 def evaluation_matches(spark, d):
@@ -664,7 +671,7 @@ SELECT p.*, predictions_total - predictions_evaluated AS predictions_out_of_onto
        ground_truth_evaluated, ground_truth_out_of_ontology, evaluable_frames, first_evaluable_frame, last_evaluable_frame
 FROM p JOIN g ON p.run_id = g.run_id JOIN r ON p.run_id = r.run_id""")
 def evaluation_population(spark, d):
-    return evaluated(spark, d).counts
+    return evaluation.population_counts(*prepared(spark, d))
 
 
 @query("excluded_labels", """
@@ -672,7 +679,7 @@ SELECT run_id, 'excluded_prediction' AS kind, label, count(*) AS rows FROM v_pre
 UNION ALL SELECT run_id, 'ignored_ground_truth', label, count(*) FROM v_ground_truth WHERE ignored GROUP BY run_id, label
 UNION ALL SELECT run_id, 'excluded_ground_truth', label, count(*) FROM v_ground_truth WHERE NOT ignored AND label = 'van' GROUP BY run_id, label""")
 def excluded_labels(spark, d):
-    return evaluated(spark, d).label_counts
+    return evaluation.excluded_label_counts(*prepared(spark, d))
 
 
 @query("ground_truth_of_processed_frames", """
