@@ -16,6 +16,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,6 +32,7 @@ from .sequence import number_rows
 SOURCE = "temporal_consensus"
 ORDER = ["timestamp_s", "sensor_id", "event_id", "run_id"]
 CHUNK_ROWS = 50_000
+MAX_SLICES = 4096
 
 
 @dataclass(frozen=True)
@@ -320,11 +322,7 @@ def fuse_contributors(
     kernel = _kernel(config, keys, width, warm, reach, schema)
     args = (keys, ORDER, kernel, schema, "fusion")
     results, _ = settle(rows, run_chunks(rows, *args), *args)
-    return (
-        results.filter(F.col("kind") == "row")
-        .drop("kind", *[f.name for f in SUMMARY_FIELDS])
-        .withColumn("_bucket_no", F.floor(F.col("anchor_t") / width).cast("long"))
-    )
+    return results.filter(F.col("kind") == "row").drop("kind", "_chunk", "_own", *[f.name for f in SUMMARY_FIELDS])
 
 
 def fuse_events(
@@ -340,9 +338,9 @@ def fuse_events(
     scope = list(scope)
     members = fuse_contributors(evidence, config, scope=scope, width_s=width_s)
     anchor = ["anchor_run", "anchor_sensor", "anchor_event"]
-    fused = _aggregate(members, scope, anchor, config)
+    fused = _time_slices(_aggregate(members, scope, anchor), members)
     numbered = number_rows(
-        fused, scope, F.col("_bucket_no"),
+        fused, scope, F.col("_slice"),
         [F.col("anchor_t"), F.col("anchor_sensor"), F.col("anchor_event"), F.col("anchor_run")], "fusion_number",
     )
     named = numbered.withColumn(
@@ -372,7 +370,21 @@ def fuse_events(
     return Fusion(events, alerts, contributors)
 
 
-def _aggregate(members: DataFrame, scope, anchor, config: FusionConfig) -> DataFrame:
+def _time_slices(fused: DataFrame, members: DataFrame) -> DataFrame:
+    """Adds ``_slice``: about equally many groups each, in anchor time, for numbering.
+
+    Cut points are approximate quantiles; any cuts give the same numbers.
+    """
+    anchors = members.filter("member_order = 0").select("anchor_t")
+    parts = min(MAX_SLICES, math.ceil(anchors.count() / CHUNK_ROWS))
+    if parts < 2:
+        return fused.withColumn("_slice", F.lit(0.0))
+    cuts = anchors.approxQuantile("anchor_t", [i / parts for i in range(1, parts)], 0.1 / parts)
+    splits = [-math.inf, *sorted(set(cuts)), math.inf]
+    return Bucketizer(splits=splits, inputCol="anchor_t", outputCol="_slice").transform(fused)
+
+
+def _aggregate(members: DataFrame, scope, anchor) -> DataFrame:
     """One row per fused group (A12); a group has at most one member per sensor."""
     rank = reduce(
         lambda acc, i: F.when(F.col("severity") == SEVERITIES[i], F.lit(i)).otherwise(acc),
@@ -385,7 +397,6 @@ def _aggregate(members: DataFrame, scope, anchor, config: FusionConfig) -> DataF
     is_anchor = F.col("member_order") == 0
     return members.groupBy(*scope, *anchor).agg(
         F.max("anchor_t").alias("anchor_t"),
-        F.max("_bucket_no").alias("_bucket_no"),
         F.max(F.when(is_anchor, F.col("frame_number"))).alias("frame_number"),
         F.max("fused_t").alias("timestamp_s"),
         F.max("event_type").alias("event_type"),

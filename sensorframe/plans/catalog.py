@@ -1172,6 +1172,22 @@ def exchange_round_trip(spark, d):
     )
 
 
+@query("result_tables_round_trip", EVAL_SQL + """
+SELECT run_id, CAST(sum(true_positive) AS BIGINT) AS true_positive, CAST(sum(false_positive) AS BIGINT) AS false_positive,
+       CAST(sum(false_negative) AS BIGINT) AS false_negative,
+       (SELECT count(*) FROM v_predictions p WHERE p.run_id = counts.run_id AND p.label = 'sports ball') AS excluded
+FROM counts GROUP BY run_id""")
+def result_tables_round_trip(spark, d):
+    path = scratch_path(spark, "results")
+    result = evaluated(spark, d)
+    IO.write_tables(
+        {"class_metrics": result.class_metrics, "excluded_predictions": result.excluded_predictions}, path
+    )
+    excluded = spark.read.parquet(f"{path}/excluded_predictions").groupBy("run_id").agg(F.count("*").alias("excluded"))
+    sums = [F.sum(c).alias(c) for c in ("true_positive", "false_positive", "false_negative")]
+    return spark.read.parquet(f"{path}/class_metrics").groupBy("run_id").agg(*sums).join(excluded, "run_id")
+
+
 @query("run_manifest_documents", """
 SELECT f.run_id, count(*) AS frames_processed, max(frame_number) AS last_frame_number, max(sensor_id) AS sensor_id, '2' AS max_missed FROM v_frames f GROUP BY f.run_id""")
 def run_manifest_documents(spark, d):

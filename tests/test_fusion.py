@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from sensorframe.operators import fusion
 from sensorframe.operators.fusion import FusionConfig, attach_boxes, consensus_support, fuse_events
 from sensorframe.schemas import EVIDENCE
 from tests.plain import fuse, iou
@@ -12,8 +13,8 @@ def evidence_row(run, sensor, event_id, t, kind="dwell", label="person", severit
             0.5, None if box is None else tuple(float(v) for v in box))
 
 
-def groups(fusion):
-    rows = fusion.contributors.collect()
+def groups(result):
+    rows = result.contributors.collect()
     out = {}
     for r in sorted(rows, key=lambda r: (r.fusion_event_id, r.member_order)):
         out.setdefault(r.fusion_event_id, []).append(r.event_id)
@@ -55,8 +56,8 @@ def test_gates(spark, config, second, fused):
         assert result.events.first().label is None
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_random_evidence_matches_serial_fuser(spark, seed):
+@pytest.mark.parametrize("seed", range(3))
+def test_random_evidence_matches_serial_fuser(spark, seed, monkeypatch):
     rng = random.Random(seed)
     events, rows = [], []
     for k in range(150):
@@ -70,6 +71,7 @@ def test_random_evidence_matches_serial_fuser(spark, seed):
         max_time_delta_s=rng.choice([0.0, 0.25, 1.0]), min_sensors=rng.choice([2, 3]),
         require_matching_label=seed % 2 == 0, spatial_iou_threshold=rng.choice([None, 0.3]),
     )
+    monkeypatch.setattr(fusion, "CHUNK_ROWS", 10)  # numbering spans several slices
     want = fuse(events, config.max_time_delta_s, config.min_sensors, config.require_matching_label,
                 config.spatial_iou_threshold)
     df = spark.createDataFrame(rows, EVIDENCE)

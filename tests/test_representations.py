@@ -86,3 +86,17 @@ def test_quantile_by_narrowing(spark, monkeypatch):
     df = spark.createDataFrame([(v,) for v in values], "score double")
     for q in (0.05, 0.5, 0.95, 0.999):
         assert exact_quantile(df, "score", q) == pytest.approx(np.quantile(values, q), abs=1e-12)
+
+
+def test_vector_expressions(spark):
+    from sensorframe.functions import vectors as V
+
+    df = spark.createDataFrame([([3.0, 4.0], [0.0, 2.0])], "v array<float>, c array<float>")
+    row = df.select(
+        V.norm(F.col("v")), V.dot(F.col("v"), F.col("c")), V.cosine_distance(F.col("v"), F.col("c")),
+        V.l2_normalise(F.col("v")), V.is_finite_vector(F.col("v")), V.is_finite_vector(F.array(F.lit(float("nan")))),
+    ).first()
+    assert tuple(row) == (5.0, 8.0, pytest.approx(0.2), [0.6, 0.8], True, False)
+    for bad in ([0.0, 0.0], [1.0]):
+        with pytest.raises(Exception, match="equal dimensions"):
+            df.select(V.cosine_distance(F.col("v"), F.lit(bad))).collect()

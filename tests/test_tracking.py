@@ -52,14 +52,14 @@ def test_motion_class_and_expiry(spark):
     assert {r.track_id for r in out if r.run_id == "expiry" and r.frame_ordinal == 3} == {2}
 
 
-@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("seed", range(3))
 def test_random_scenes_match_serial_tracker(spark, seed):
     """Dense, tie-rich scenes cut into tiny chunks equal the serial scan."""
     rng = random.Random(seed)
     runs = {}
     for run in range(12):
         frames = []
-        for _ in range(rng.choice([5, 40, 120])):
+        for _ in range(rng.choice([5, 30, 60])):
             n = rng.choice([0, 1, 2, 4])
             frames.append(
                 [
