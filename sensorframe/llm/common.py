@@ -31,7 +31,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """64-bit hashes of words, kept for the words met lately."""
 
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, word: bytes | str) -> int:
         if len(self) >= WORDS_KEPT:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)

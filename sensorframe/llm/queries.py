@@ -3,18 +3,51 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sensorframe.llm import lattice, minhash
+from sensorframe.llm import hosts, lattice, minhash, pseudonyms, rollups, secrets, tiling, toxicity, zipwarc
 from sensorframe.llm.common import table
 
 
+def op2_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonyms.pseudonymise(docs, count="n_values")
+
+
+def op3_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0)
+    outcomes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
+    return hosts.judge(table(spark, sf_dir, "pages"), outcomes)
+
+
+def op4_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollups.corpus_history(spark, table(spark, sf_dir, "documents"))
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
 
 
+def op6_factorization(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op7_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(table(spark, sf_dir, "documents"))
+
+
+def op8_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiling.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return zipwarc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op10_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.near_vectors(table(spark, sf_dir, "embeddings"), least=0.98)
 
 
-QUERIES = {f.__name__: f for f in (op5_minhash, op10_lattice)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_feistel, op3_reputation, op4_rollups, op5_minhash, op6_factorization, op7_novelty, op8_tiling, op9_zip_warc, op10_lattice)}
+ORACLES = {"op3_reputation": hosts.judge_sql(), "op4_rollups": rollups.HISTORY_SQL, "op9_zip_warc": zipwarc.ROUND_TRIP_SQL}
