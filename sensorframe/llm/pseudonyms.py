@@ -184,14 +184,19 @@ def pseudonym(match: Column, key: Column) -> Column:
     return out
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY, column: str = "text", count: str | None = None) -> DataFrame:
-    """``docs`` with every validated value in ``column`` replaced; ``count`` names a column for their number."""
+def pseudonymise(docs: DataFrame, key: str = KEY, column: str = "text", count: str | None = None, length: str | None = None) -> DataFrame:
+    """``docs`` with every validated value in ``column`` replaced.
+
+    ``count`` names a column for the number of values, ``length`` one that holds the text's length and follows it.
+    """
     text, secret, made = F.col(column), F.lit(key), unclashed(docs, [count or ""])
     matches = F.when(text.rlike(MAYBE), F.regexp_extract_all(text, F.lit(f"({ANY})"), 1))
     fresh = F.transform(matches, lambda m: F.struct(m.alias("was"), pseudonym(m, secret).alias("now")))
     out = docs.withColumn(made, fresh)
     rest = F.zip_with(F.split(text, ANY, -1), F.concat(F.transform(made, lambda s: s["now"]), F.array(F.lit(""))), lambda a, b: F.concat(a, b))
     out = out.withColumn(column, F.when(F.size(made) > 0, F.array_join(rest, "")).otherwise(text))
+    if length:
+        out = out.withColumn(length, F.when(F.size(made) > 0, F.length(column)).otherwise(F.col(length)).cast(docs.schema[length].dataType))
     if count:
         changed = F.size(F.filter(made, lambda s: s["was"] != s["now"]))
         out = out.withColumn(count, F.coalesce(F.greatest(changed, F.lit(0)), F.lit(0)).cast("long"))

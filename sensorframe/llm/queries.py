@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorframe.llm import hosts, lattice, minhash, pseudonyms, rollups, secrets, tiling, toxicity, zipwarc
+from sensorframe.llm import hosts, lattice, minhash, packing, pseudonyms, rollups, secrets, tiling, toxicity, zipwarc
 from sensorframe.llm.common import table
 
 
+def op1_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op2_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pseudonyms.pseudonymise(docs, count="n_values")
@@ -49,5 +53,5 @@ def op10_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.near_vectors(table(spark, sf_dir, "embeddings"), least=0.98)
 
 
-QUERIES = {f.__name__: f for f in (op2_feistel, op3_reputation, op4_rollups, op5_minhash, op6_factorization, op7_novelty, op8_tiling, op9_zip_warc, op10_lattice)}
+QUERIES = {f.__name__: f for f in (op1_bm25_packing, op2_feistel, op3_reputation, op4_rollups, op5_minhash, op6_factorization, op7_novelty, op8_tiling, op9_zip_warc, op10_lattice)}
 ORACLES = {"op3_reputation": hosts.judge_sql(), "op4_rollups": rollups.HISTORY_SQL, "op9_zip_warc": zipwarc.ROUND_TRIP_SQL}
