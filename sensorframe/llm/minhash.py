@@ -7,8 +7,9 @@ coordinates is concentrated around the Jaccard similarity.
 
 Flow: sketch each text in one pass; merge documents with equal shingle sets; group the rest by bands; compare the
 members of a band with two hubs of it on their full sets; find components; compare only those members of a band that
-are still in different components; find components again.  A band of ``m`` copies so costs ``2 m`` comparisons, and no
-link between components is lost.  Comparisons recompute the full shingle sets of both texts.
+are still in different components, if their finer sketches of ``BITS`` bits may be similar enough; find components
+again.  A band of ``m`` copies so costs ``2 m`` comparisons, and no link between components is lost but by the chances
+of the sketches.  Comparisons recompute the full shingle sets of both texts.
 
 Defined results: without text or words a document has an empty set, links with nothing and is kept.  Rows that share a
 ``doc_id`` are one document with several texts: a link of any of them counts, and each returns its own row.  Rows with a null ``doc_id`` link with nothing, have a null
@@ -28,6 +29,8 @@ from pyspark.sql import functions as F
 from sensorframe.llm.common import GOLDEN, WordHashes, components, materialize, mix, ordered, texts_of, unclashed, words_of
 
 BANDS, ROWS = 20, 4
+#: One-bit coordinates of the finer sketch; two sets of similarity s differ in a share (1 - s) / 2 of them.
+BITS, SIGMAS = 1024, 4.0
 SKETCHED = "doc_id long, n_shingles long, digest_a long, digest_b long, bands array<long>"
 BLOCK = 4096
 
@@ -102,6 +105,22 @@ def sketch(docs: DataFrame, size: int = 5, bands: int = BANDS, rows: int = ROWS)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_sketches(size, bands, rows), SKETCHED)
 
 
+def _fine_sketches(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            flat = []
+            for text in texts_of(batch.column("text")):
+                found = shingle_set(text, size, hashes)
+                bits = mix(similarity_sketch(found, BITS)) & np.uint64(1) if len(found) else np.zeros(BITS, np.uint64)
+                flat.append(np.packbits(bits.astype(np.uint8)).view(np.int64))
+            ends = pa.array(np.arange(len(flat) + 1) * (BITS // 64), pa.int32())
+            values = pa.array(np.concatenate(flat) if flat else np.empty(0, np.int64), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(ends, values)], ["doc", "fine"])
+
+    return run
+
+
 def _verified(size: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, last, first = WordHashes(), None, None
@@ -126,6 +145,29 @@ def _linked(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
     return materialize(rows.mapInArrow(_verified(size, percent), "a long, b long"), "links")
 
 
+def _maybe_similar(left: DataFrame, texts: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs of one band but different groups whose finer sketches don't exclude the similarity.
+
+    In every band the members outside its largest group are held against all others; a pair is given once, in the
+    first band that it shares.
+    """
+    docs = left.select("doc").distinct()
+    fine = texts.join(docs, texts["doc_id"] == docs["doc"], "left_semi").select("doc_id", "text").mapInArrow(_fine_sketches(size), "doc long, fine array<long>")
+    fine = materialize(fine, "fine-sketches").groupBy("doc").agg(F.min("fine").alias("fine"))
+    bands = classes.groupBy("rep").agg(F.min("bands").alias("bands")).withColumnRenamed("rep", "doc")
+    rows = materialize(left.join(materialize(fine, "fine-sketches"), "doc").join(bands, "doc"), "unsettled")
+    share = (1 - percent / 100) / 2
+    limit = BITS * share + SIGMAS * (BITS * share * (1 - share)) ** 0.5
+    minor = rows.where("group <> main").select("key", *(F.col(c).alias(f"x_{c}") for c in ("doc", "n", "group", "fine", "bands")))
+    differ = sum((F.bit_count(F.col("fine")[i].bitwiseXOR(F.col("x_fine")[i])) for i in range(BITS // 64)), F.lit(0))
+    first_shared = F.element_at(F.filter(F.zip_with("bands", "x_bands", lambda a, b: F.when(a == b, a)), lambda k: k.isNotNull()), 1)
+    pairs = rows.join(minor, "key").where(
+        (F.col("group") != F.col("x_group")) & ((F.col("doc") < F.col("x_doc")) | (F.col("group") == F.col("main")))
+        & F.expr(f"100 * least(n, x_n) >= {percent} * greatest(n, x_n)") & (differ <= limit) & (first_shared == F.col("key"))
+    )
+    return pairs.select(*ordered("doc", "x_doc")).distinct()
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` per row of ``docs`` (``doc_id``, ``text``).
 
@@ -152,16 +194,16 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
 
     needed = member.select(F.col("doc").alias("doc_id")).distinct()
     plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
-    texts = materialize(plain.join(needed, "doc_id"), "texts")
+    texts = materialize(plain.join(needed.hint("merge"), "doc_id"), "texts")
     links = _linked(tried, texts, size, percent)
     groups = materialize(components(links), "groups")
 
     labelled = member.join(groups.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "n", F.coalesce("component", "doc").alias("group"))
-    mixed = labelled.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("key")
+    per_group = labelled.groupBy("key", "group").agg(F.count("*").alias("docs"))
+    main = per_group.groupBy("key").agg(F.max(F.struct("docs", "group")).alias("main"), F.count("*").alias("groups"))
+    mixed = materialize(main.where("groups > 1").select("key", F.col("main.group").alias("main")), "mixed-bands")
     left = materialize(labelled.join(mixed, "key"), "unsettled")
-    other = left.select("key", F.col("doc").alias("hub"), F.col("n").alias("hub_n"), F.col("group").alias("hub_group"))
-    rest = left.join(other, "key").where(f"doc > hub and group <> hub_group and {sizes_fit}").select(F.col("doc").alias("a"), F.col("hub").alias("b")).distinct()
-    rest = materialize(rest.join(tried, ["a", "b"], "left_anti"), "pairs")
+    rest = materialize(_maybe_similar(left, texts, classes, size, percent).join(tried, ["a", "b"], "left_anti"), "pairs")
     more = _linked(rest, texts, size, percent)
     if more.limit(1).count():
         groups = materialize(components(links.union(more)), "groups")
