@@ -6,8 +6,8 @@ they can be).  A vector is stored under its own cell and looked up under its own
 of the 240 that touch it, that lie nearest.  Pairs found are verified by the cosine in double precision.
 
 Equal vectors are stored once with their number, so a group of copies costs one row.  Links between different vectors
-are all found out and counted; none are capped.  Candidates are compared in Arrow batches of joined rows, and no cell
-is gathered in one place.
+are all found out and counted; none are capped.  Cells hold ids alone; candidates meet their vectors once each and are
+compared in Arrow batches of joined rows, and no cell is gathered in one place.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components link with nothing, as do
 those with a null label or ``vec_id``; they return ``n_links`` 0 and themselves as component.  Vectors of different
@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from sensorframe.llm.common import components, materialize, mix, ordered
 
-TABLES, PROBES, SCALE, SEED = 12, 6, 7.0, 20210
-CELLS = "rep long, label int, vector binary, home boolean, cell long"
+TABLES, PROBES, SCALE, SEED = 16, 8, 7.0, 20210
+CELLS = "rep long, label int, home boolean, cell long"
 
 
 @cache
@@ -96,9 +96,8 @@ def _cells(tables: int, probes: int, scale: float, seed: int):
                     of = np.repeat(part, tables * (1 + probes))
                     home = np.tile(np.arange(1 + probes) == 0, len(part) * tables)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(reps[of], pa.int64()), pa.array(labels[of], pa.int32()),
-                         batch.column("vector").take(pa.array(of)), pa.array(home), pa.array(found.ravel())],
-                        ["rep", "label", "vector", "home", "cell"],
+                        [pa.array(reps[of], pa.int64()), pa.array(labels[of], pa.int32()), pa.array(home), pa.array(found.ravel())],
+                        ["rep", "label", "home", "cell"],
                     )
 
     return run
@@ -143,10 +142,13 @@ def vector_links(vectors: DataFrame, least: float = 0.98, tables: int = TABLES,
     classes = materialize(classes, "classes")
     spread = classes.select("rep", "label", "vector").mapInArrow(_cells(tables, probes, scale, seed), CELLS)
     spread = materialize(spread, "cells")
-    kept = spread.where("home").select(F.col("rep").alias("to"), F.col("vector").alias("second"), "label", "cell")
-    found = spread.select(F.col("rep").alias("from"), F.col("vector").alias("first"), "label", "cell").join(kept, ["label", "cell"]).where("from <> to")
-    found = found.select(*ordered("from", "to"), "first", "second").mapInArrow(_close(least), "a long, b long")
-    links = materialize(found.distinct(), "links")
+    kept = spread.where("home").select(F.col("rep").alias("to"), "label", "cell")
+    found = spread.select(F.col("rep").alias("from"), "label", "cell").join(kept, ["label", "cell"]).where("from <> to")
+    found = found.select(*ordered("from", "to"), "label").distinct()
+    first = classes.select(F.col("rep").alias("a"), "label", F.col("vector").alias("first"))
+    second = classes.select(F.col("rep").alias("b"), "label", F.col("vector").alias("second"))
+    pairs = found.join(first, ["a", "label"]).join(second, ["b", "label"]).select("a", "b", "first", "second")
+    links = materialize(pairs.mapInArrow(_close(least), "a long, b long").distinct(), "links")
     members = stored.join(classes, ["label", "vector"]).select("vec_id", "rep", "copies")
     return materialize(members, "members"), links
 
