@@ -33,6 +33,8 @@ def ship(spark: SparkSession) -> None:
                     z.write(full, os.path.relpath(full, os.path.dirname(package)))
     spark.sparkContext.addPyFile(archive)
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    # a worker's memory then doesn't depend on how long the rows of a table are
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     shared_dir(spark)
     _shipped.add(app)
 
