@@ -14,7 +14,7 @@ __all__ = ["WordHashes", "components", "materialize", "mix", "ordered", "table",
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 MIX_A, MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-WORDS_KEPT = 300_000
+WORDS_KEPT = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -38,7 +38,7 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 WINDOW, SEPARATOR, SHARD = 1024, 0, 1024
 LEAST_CUT = 8
 K1, B = 1.2, 0.75
-WORDS_KEPT = 600_000
+WORDS_KEPT = 400_000
 TOKENISED = "doc_id long, doc_tokens long, whole array<long>, tail binary, rare int, second int"
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, role string"
 #: A space that no visible character follows; elsewhere a space begins a token, so words can be encoded alone.
