@@ -11,7 +11,8 @@ compared in Arrow batches of joined rows, and no cell is gathered in one place.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components link with nothing, as do
 those with a null label or ``vec_id``; they return ``n_links`` 0 and themselves as component.  Vectors of different
-length are never linked.  Rows that share a ``vec_id`` are different vectors of one node.  Extra columns are ignored.
+length are never linked.  Rows that share a ``vec_id`` are one node that has all their
+links; its ``n_links`` is the largest count of its vectors.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -156,14 +157,16 @@ def vector_links(vectors: DataFrame, least: float = 0.98, tables: int = TABLES,
 def near_vectors(vectors: DataFrame, least: float = 0.98, **method) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` per row of ``vectors`` (``vec_id``, ``embedding``, ``label``)."""
     members, links = vector_links(vectors, least, **method)
-    copies = members.groupBy("rep").agg(F.first("copies").alias("copies"))
+    copies = members.groupBy("rep").agg(F.max("copies").alias("copies"))
+    lowest = members.groupBy("vec_id").agg(F.min("rep").alias("b"), F.max("rep").alias("high")).where("b <> high").drop("high")
+    shared = members.join(lowest, "vec_id").where("rep <> b").select(F.col("rep").alias("a"), "b")
     ways = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     linked = ways.join(copies.withColumnRenamed("rep", "b"), "b").groupBy("a").agg(F.sum("copies").alias("others"))
-    groups = components(links).withColumnRenamed("node", "a")
+    groups = components(links.union(shared)).withColumnRenamed("node", "a")
     per_class = copies.withColumnRenamed("rep", "a").join(linked, "a", "left").join(groups, "a", "left")
     per_class = materialize(per_class.select(
         F.col("a").alias("rep"), (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "a").alias("group")), "labels")
-    known = members.join(per_class, "rep").select(F.col("vec_id").alias("id"), "links", "group")
+    known = members.join(per_class, "rep").groupBy(F.col("vec_id").alias("id")).agg(F.max("links").alias("links"), F.min("group").alias("group"))
     out = vectors.select(F.col("vec_id").cast("long").alias("vec_id")).join(known, F.col("vec_id") == F.col("id"), "left")
     group = F.coalesce("group", "vec_id")
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), group.alias("component_id"), (F.col("vec_id") == group).alias("kept"))
