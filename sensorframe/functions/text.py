@@ -35,22 +35,22 @@ def media_kind(path: Column) -> Column:
     )
 
 
-def natural_key(name: Column, digits: int = 20) -> Column:
+def natural_key(name: Column) -> Column:
     """Sort key that compares digit runs as numbers and text case-insensitively.
 
     Compare the array itself (not its concatenation) so a shorter prefix sorts
     first.  A name that begins with digits gets an empty text part in front.
-    Digit runs are padded to ``digits`` after leading zeros are dropped.
+    A digit run loses its leading zeros and gets its length (ten digits) in
+    front, so runs of any length compare as numbers.
     """
     parts = F.regexp_extract_all(F.lower(name), F.lit(r"(\d+|\D+)"), F.lit(1))
-    padded = F.transform(
-        parts,
-        lambda p: F.when(
-            p.rlike(r"^\d"),
-            F.lpad(F.regexp_replace(p, r"^0+(?=\d)", ""), digits, "0"),
-        ).otherwise(p),
-    )
-    return F.when(name.rlike(r"^\d"), F.concat(F.array(F.lit("")), padded)).otherwise(padded)
+
+    def keyed(p: Column) -> Column:
+        plain = F.regexp_replace(p, r"^0+(?=\d)", "")
+        return F.when(p.rlike(r"^\d"), F.concat(F.lpad(F.length(plain).cast("string"), 10, "0"), plain)).otherwise(p)
+
+    compared = F.transform(parts, keyed)
+    return F.when(name.rlike(r"^\d"), F.concat(F.array(F.lit("")), compared)).otherwise(compared)
 
 
 def split_name(root: Column) -> Column:

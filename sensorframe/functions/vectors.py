@@ -90,6 +90,23 @@ def cosine_scores(vector: pa.Array, centroid: pa.Array) -> pa.Array:
     return pa.array(1.0 - np.clip(cosine, -1.0, 1.0))
 
 
+def cosine_to(centroid: list[float]):
+    """Row-wise cosine distance of a vector column to one vector, which travels once with the function."""
+    fixed = np.asarray(centroid, np.float64)
+    fixed = fixed / np.sqrt(fixed @ fixed)
+
+    @F.arrow_udf(T.DoubleType())
+    def distance(vector: pa.Array) -> pa.Array:
+        if len(vector) == 0:
+            return pa.array([], pa.float64())
+        rows = matrix(vector)
+        if rows.shape[1] != len(fixed):
+            raise ValueError("embedding dimension does not match the reference centroid")
+        return pa.array(1.0 - np.clip(_unit(rows) @ fixed, -1.0, 1.0))
+
+    return distance
+
+
 @F.arrow_udf(T.ArrayType(T.DoubleType()))
 def unit_vectors(vector: pa.Array) -> pa.Array:
     """Row-wise L2 normalisation."""

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
+import numpy as np
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import sorted_json
-from ..functions.vectors import as_double, cosine_scores
+from ..functions.vectors import as_double, cosine_to
 from ..runtime import materialize
 from ..schemas import ANOMALIES, REFERENCE, conform
 from .quantiles import exact_quantile
@@ -33,8 +34,9 @@ def centroid_of(embeddings: DataFrame, column: str = "embedding") -> DataFrame:
 
 def centroid_distances(embeddings: DataFrame, centroid: list[float], column: str = "embedding") -> DataFrame:
     """Adds ``score``: cosine distance to one centroid (a vector of the model's dimension)."""
-    fixed = F.array(*[F.lit(float(x)) for x in centroid])
-    return embeddings.withColumn("score", cosine_scores(as_double(F.col(column)), fixed))
+    if not any(centroid) or not np.isfinite(centroid).all():
+        raise ValueError("the centroid is not finite or has zero length")
+    return embeddings.withColumn("score", cosine_to(centroid)(F.col(column)))
 
 
 def fit_reference(

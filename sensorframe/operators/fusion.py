@@ -10,6 +10,7 @@ set of events near it that are already consumed.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..functions.geometry import iou, struct_box
 from ..functions.text import sorted_json
+from ..runtime import materialize
 from ..schemas import EVENTS, EVIDENCE, FUSION_CONTRIBUTORS, SEVERITIES, conform
 from .events import alerts_from_events
 from .handoff import SUMMARY, SUMMARY_FIELDS, changes, nullable, run_chunks, settle
@@ -32,7 +33,7 @@ from .sequence import number_rows
 SOURCE = "temporal_consensus"
 ORDER = ["timestamp_s", "sensor_id", "event_id", "run_id"]
 CHUNK_ROWS = 50_000
-MAX_SLICES = 4096
+LATE_START = "%late"  # no event's name, as names have % only before two digits
 
 
 @dataclass(frozen=True)
@@ -68,9 +69,12 @@ class Fusion:
 def attach_boxes(events: DataFrame, tracks: DataFrame) -> DataFrame:
     """Give each event the box its track had on that frame (J1); last duplicate wins.
 
+    Last is by ``_position`` (file and row, where the reader gives it), else by ``frame_ordinal``; equal places are
+    ordered by the box itself, so the result doesn't depend on the layout.
     Events are few: their keys thin the track table before it is aggregated.
     """
-    position = F.col("frame_ordinal") if "frame_ordinal" in tracks.columns else F.lit(0)
+    place = [c for c in ("_position", "frame_ordinal") if c in tracks.columns][:1]
+    position = F.struct(*place, *[F.col(c).cast("double") for c in ("x1", "y1", "x2", "y2")])
     key = ["run_id", "frame_number", "track_id"]
     wanted = events.select(*key).filter(F.col("track_id").isNotNull()).distinct()
     boxes = tracks.join(wanted, key, "left_semi").groupBy(*key).agg(
@@ -81,35 +85,22 @@ def attach_boxes(events: DataFrame, tracks: DataFrame) -> DataFrame:
     return events.drop("bbox").join(boxes, key, "left")
 
 
-def compatible(anchor: dict[str, Column], other: dict[str, Column], config: FusionConfig) -> Column:
-    """May ``other`` corroborate ``anchor``?  (J2 as a predicate; null labels equal each other.)"""
-    delta = F.abs(anchor["timestamp_s"] - other["timestamp_s"])
-    ok = (
-        (anchor["sensor_id"] != other["sensor_id"])
-        & (anchor["event_type"] == other["event_type"])
-        & (delta <= config.max_time_delta_s)
-    )
-    if config.require_matching_label:
-        ok = ok & anchor["label"].eqNullSafe(other["label"])
-    if config.spatial_iou_threshold is not None:
-        overlap = iou(struct_box(anchor["bbox"]), struct_box(other["bbox"]))
-        both = anchor["bbox"].isNotNull() & other["bbox"].isNotNull()
-        ok = ok & both & (overlap >= config.spatial_iou_threshold)
-    return ok
-
-
 def group_keys(config: FusionConfig, scope: Sequence[str]) -> list[str]:
     return [*scope, "event_type", *(["label"] if config.require_matching_label else [])]
 
 
 def chunk_width(evidence: DataFrame, keys: Sequence[str], delta: float, rows: int) -> tuple[float, float]:
-    """(width, warm-up) in seconds: about ``rows`` events of the densest group per chunk."""
+    """(width, warm-up) in seconds: about ``rows`` events of the densest group per chunk.
+
+    Groups that fit one chunk anyway don't narrow it, however dense they are.
+    """
     spans = evidence.groupBy(*keys).agg(
         F.count("*").alias("n"), (F.max("timestamp_s") - F.min("timestamp_s")).alias("span")
     )
-    densest = spans.agg(F.max(F.col("n") / F.greatest(F.col("span"), F.lit(1e-9)))).first()[0]
+    large = F.when(F.col("n") > rows, F.col("n") / F.greatest(F.col("span"), F.lit(1e-9)))
+    densest, longest = spans.agg(F.max(large), F.max("span")).first()
     reach = delta if delta > 0 else 1e-6
-    wanted = rows / densest if densest else reach
+    wanted = rows / densest if densest else (longest or 0.0) + reach
     width = max(wanted, 16.0 * reach)
     return width, 4.0 * reach
 
@@ -145,6 +136,11 @@ def corroborating(i: int, window: Iterable[int], t, sensor, label, boxes, consum
     return sorted(best.values())
 
 
+def _escaped(value) -> str:
+    """Text of a part of an event's name, free of the characters that separate parts and names."""
+    return str(value).replace("%", "%25").replace(";", "%3B").replace("\x1f", "%1F")
+
+
 class _Chunk:
     """All rows of one time chunk with its margins, as plain columns."""
 
@@ -159,10 +155,11 @@ class _Chunk:
         self.time = np.array(self.t, dtype=np.float64)
         self.sensor, self.label, self.own = cols["sensor_id"], cols["label"], cols["_own"]
         self.box = [None if b is None else (b["x1"], b["y1"], b["x2"], b["y2"]) for b in cols["bbox"]]
-        self.name = [
-            "\x1f".join(str(v) for v in parts)
-            for parts in zip(cols["run_id"], cols["sensor_id"], cols["event_id"])
-        ]
+        self.name, seen = [], Counter()
+        for parts in zip(cols["run_id"], cols["sensor_id"], cols["event_id"], self.t):
+            plain = "\x1f".join(_escaped(v) for v in parts)
+            seen[plain] += 1  # equal events at one time come together in every chunk that holds them
+            self.name.append(f"{plain}\x1f{seen[plain]}")
         self.init = cols["_init"][0]
 
     def _near(self, boundary: float, consumed: list[bool]) -> str:
@@ -173,7 +170,8 @@ class _Chunk:
         """Groups of row positions (anchor first) with anchor IoUs, and boundary states."""
         n, delta = len(self.t), self.config.max_time_delta_s
         consumed = [False] * n
-        if self.init is not None:
+        late, cold = self.init == LATE_START, self.init is None or self.init == LATE_START
+        if not cold:
             taken = set(filter(None, self.init.split(";")))
             consumed = [name in taken for name in self.name]
         lows = np.searchsorted(self.time, self.time - 1.000001 * delta - 1e-9).tolist()
@@ -186,7 +184,12 @@ class _Chunk:
             if not self.own[i]:
                 if entered:
                     break  # rows copied from the next chunk are candidates only
-                if self.init is not None or self.t[i] < self.start - self.warm:
+                if not cold:
+                    continue
+                if late or self.t[i] < self.start - self.warm:
+                    # a warm-up takes what lies before it as used up; the other warm-up begins one event later
+                    late = late and self.t[i] < self.start - self.warm
+                    consumed[i] = True
                     continue
             if consumed[i]:
                 continue
@@ -303,7 +306,8 @@ def fuse_contributors(
     if not math.isfinite(width):
         raise ValueError("timestamps must be finite")
     base = conform(evidence, T.StructType([*[evidence.schema[c] for c in scope], *EVIDENCE.fields]))
-    rows = _with_margins(base, keys, width, warm + reach, reach)
+    # stored, so that whatever made the evidence runs once, however many rounds follow
+    rows = materialize(_with_margins(base, keys, width, warm + reach, reach), "fusion-rows")
     schema = T.StructType(
         [
             *nullable(base.schema),
@@ -321,7 +325,7 @@ def fuse_contributors(
     )
     kernel = _kernel(config, keys, width, warm, reach, schema)
     args = (keys, ORDER, kernel, schema, "fusion")
-    results, _ = settle(rows, run_chunks(rows, *args), *args)
+    results, _ = settle(rows, run_chunks(rows, *args), *args, variant=LATE_START)
     return results.filter(F.col("kind") == "row").drop("kind", "_chunk", "_own", *[f.name for f in SUMMARY_FIELDS])
 
 
@@ -376,7 +380,7 @@ def _time_slices(fused: DataFrame, members: DataFrame) -> DataFrame:
     Cut points are approximate quantiles; any cuts give the same numbers.
     """
     anchors = members.filter("member_order = 0").select("anchor_t")
-    parts = min(MAX_SLICES, math.ceil(anchors.count() / CHUNK_ROWS))
+    parts = math.ceil(anchors.count() / CHUNK_ROWS)
     if parts < 2:
         return fused.withColumn("_slice", F.lit(0.0))
     cuts = anchors.approxQuantile("anchor_t", [i / parts for i in range(1, parts)], 0.1 / parts)

@@ -8,14 +8,16 @@ all chunks run at once:
    chunk before it, which usually reproduces the true state at its boundary;
 2. each chunk reports the state it *used* at its start and the state it left at
    its *end*; the two are compared along the chain of chunks;
-3. chunks that used a wrong state are run again from the reported one, until no
-   chunk disagrees.
+3. chunks that used a wrong state are run again from the reported one.  Every
+   run is kept as one entry of the chunk's map from entry to exit state, and the
+   maps are composed along the chain by pointer doubling.
 
 The first chunk of a key has nothing before it and is right; a chunk whose
 predecessor is right and whose used state equals that predecessor's end is
 right.  Each round therefore settles at least one more chunk of every key that
 still disagrees, and the result equals the serial scan whatever the data.
-Normal data settles in round one or two.
+Where a boundary has few possible states, as in steady data that never falls
+back into step, two or three rounds run them all.
 
 Rows of a round are written to the shared folder, so a lost executor costs a
 file read and the comparison reads only the small summary partition.
@@ -136,22 +138,78 @@ def outcome(results: DataFrame, keys: Sequence[str], also: dict[str, DataFrame]
     return {r["name"] for r in found.collect()}  # one row per check
 
 
+def _runs(results: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per run of a chunk (``_run``), with its entry and exit state as sets."""
+    summary = results.filter(F.col("kind") == SUMMARY)
+    return summary.select(
+        *keys, F.to_json(F.struct(*keys)).alias("_key"), "_chunk", "_run",
+        _sorted_state(F.coalesce("used_state", F.lit(""))).alias("_in"),
+        _sorted_state(F.coalesce("end_state", F.lit(""))).alias("_out"), F.coalesce("end_state", F.lit("")).alias("_init"),
+    )
+
+
+def _chained(runs: DataFrame, name: str) -> DataFrame:
+    """Adds ``_next`` (the run of the next chunk that this one leads to) and ``_true`` (reached from a key's start).
+
+    Runs of a chunk are its map from entry state to exit state; the maps of all chunks are composed by pointer
+    doubling, so a chain of n chunks takes log2(n) joins of these small tables.
+    """
+    after = runs.groupBy("_key", (F.col("_chunk") - 1).alias("_chunk"), F.col("_in").alias("_out")).agg(F.min("_run").alias("_next"))
+    chunks = runs.select("_key", "_chunk").distinct()
+    begun = chunks.select("_key", (F.col("_chunk") + 1).alias("_chunk"), F.lit(True).alias("_has_before"))
+    now = runs.join(after, ["_key", "_chunk", "_out"], "left").join(begun, ["_key", "_chunk"], "left")
+    now = now.withColumn("_true", F.col("_has_before").isNull()).withColumns({"_jump": F.col("_next"), "_far": F.col("_chunk") + 1})
+    now = materialize(now.drop("_has_before"), f"{name}-chain")
+    longest = chunks.groupBy("_key").agg((F.max("_chunk") - F.min("_chunk") + 1).alias("n")).agg(F.max("n")).first()[0]
+    for _ in range(int(longest).bit_length()):
+        hit = now.filter("_true AND _jump IS NOT NULL").select("_key", F.col("_far").alias("_chunk"), F.col("_jump").alias("_run"), F.lit(True).alias("_hit")).distinct()
+        onward = now.select("_key", F.col("_chunk").alias("_far"), F.col("_run").alias("_jump"), F.col("_jump").alias("_jump2"), F.col("_far").alias("_far2"))
+        now = now.join(hit, ["_key", "_chunk", "_run"], "left").join(onward, ["_key", "_far", "_jump"], "left")
+        now = now.withColumns({"_true": F.col("_true") | F.col("_hit").isNotNull(), "_jump": F.col("_jump2"), "_far": F.coalesce("_far2", "_far")})
+        now = materialize(now.drop("_hit", "_jump2", "_far2"), f"{name}-chain")
+    return now
+
+
+def _unreached(chain: DataFrame, keys: Sequence[str], init: str) -> DataFrame:
+    settled = chain.groupBy("_key", "_chunk").agg(F.max("_true").alias("_settled"), F.first(F.struct(*keys)).alias("_k")).filter("NOT _settled")
+    return settled.select(*[F.col("_k")[k].alias(k) for k in keys], "_chunk", F.lit(init).alias("_init"))
+
+
+def _to_run(chain: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Chunks not reached yet whose predecessor has a run that leads to none of theirs: one entry state for each."""
+    unreached = chain.groupBy("_key", "_chunk").agg(F.max("_true").alias("_settled")).filter("NOT _settled").select("_key", "_chunk")
+    leading = chain.filter("_next IS NULL").groupBy("_key", (F.col("_chunk") + 1).alias("_chunk")).agg(
+        F.max_by(F.struct("_init", *keys), F.struct("_true", "_run")).alias("_best"))
+    return leading.join(unreached, ["_key", "_chunk"], "left_semi").select(*[F.col("_best")[k].alias(k) for k in keys], "_chunk", F.col("_best._init").alias("_init"))
+
+
 def settle(
     rows: DataFrame, results: DataFrame, keys: Sequence[str], order, kernel, schema, name: str,
-    also: Callable[[DataFrame], dict[str, DataFrame]] | None = None,
+    also: Callable[[DataFrame], dict[str, DataFrame]] | None = None, variant: str | None = None,
 ) -> tuple[DataFrame, set[str]]:
     """Re-run disagreeing chunks until every chunk used its predecessor's end state.
 
+    All runs of a chunk are kept, each with the entry state it used, until they can be chained.  So a chunk that two
+    rounds have run from two states is done with both, whichever turns out to be the true one.  ``variant`` is an
+    ``_init`` with which the kernel warms up in another way; where one round doesn't settle all, it gives every chunk
+    not reached a second entry state at once.
     Returns the settled results and which of the ``also`` tables have rows.
     """
-    round_no = 0
+    found = outcome(results, keys, also(results) if also else None)
+    if "disagree" not in found:
+        return results, found
+    runs, todo, round_no = results.withColumn("_run", F.lit(0)), disagreeing(results, keys), 0
     while True:
-        found = outcome(results, keys, also(results) if also else None)
-        if "disagree" not in found:
-            return results, found
-        redo = materialize(disagreeing(results, keys), f"{name}-redo")
+        redo = materialize(todo, f"{name}-redo")
+        if round_no and redo.isEmpty():
+            break
         round_no += 1
         again = rerun(rows, redo, keys, order, kernel, schema, f"{name}-round{round_no}")
-        results = replace_chunks(results, again, redo, keys)
-        if round_no % 4 == 0:
-            results = materialize(results, f"{name}-compact", partition_by=["kind"])
+        runs = runs.unionByName(again.withColumn("_run", F.lit(round_no)))
+        chain = _chained(_runs(runs, keys), name)
+        todo = _to_run(chain, keys)
+        if round_no == 1 and variant is not None:
+            todo = _unreached(chain, keys, variant)
+    true = chain.filter("_true").select(*keys, "_chunk", "_run")
+    settled = materialize(runs.join(true, _match(runs, true, [*keys, "_chunk", "_run"]), "left_semi").drop("_run"), f"{name}-settled", partition_by=["kind"])
+    return settled, outcome(settled, keys, also(settled) if also else None)

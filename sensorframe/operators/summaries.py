@@ -8,12 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import finite_or_null
-from ..runtime import broadcast_if_small
 from .sequence import BUCKET, number_rows
 
 SERIES_POINTS = 240
 TOP = 30
-MAX_TAIL = 1000
 
 
 def run_counters(
@@ -110,12 +108,12 @@ def frame_series(per_frame: DataFrame, *, points: int = SERIES_POINTS) -> DataFr
         per_frame, ["run_id"], F.floor(F.col("frame_number") / BUCKET), [F.col("frame_number")], "_rn", start=0
     )
     stride = F.greatest(F.lit(1), F.ceil(F.col("_n") / points))
-    return numbered.join(broadcast_if_small(size), "run_id").filter(F.col("_rn") % stride == 0).drop("_rn", "_n")
+    return numbered.join(size, "run_id").filter(F.col("_rn") % stride == 0).drop("_rn", "_n")
 
 
 def tail_rows(df: DataFrame, order: list[Column], limit: int = 200) -> DataFrame:
-    """Last rows of a table in its order, at most 1000."""
-    n = max(0, min(limit, MAX_TAIL))
+    """Last ``limit`` rows of a table in its order."""
+    n = max(0, limit)
     last = df.orderBy(*[c.desc() for c in order]).limit(n)
     doubles = [f.name for f in df.schema if f.dataType.simpleString() in ("double", "float")]
     cleaned = last.withColumns({c: finite_or_null(F.col(c)) for c in doubles}) if doubles else last

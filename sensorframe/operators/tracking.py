@@ -374,6 +374,7 @@ def track_detections(
         F.floor(F.col("frame_ordinal") / span),
         F.col("frame_ordinal") % span >= span - warmup,
     ).withColumn("_init", F.lit(None).cast("string"))
+    rows = materialize(rows, "tracks-rows")  # the detector upstream runs once, however many rounds follow
     schema = T.StructType(
         nullable(base.schema)
         + [

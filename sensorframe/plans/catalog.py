@@ -512,14 +512,15 @@ def representation_summary(spark, d):
 
 
 REFERENCE_SQL = """
-WITH p AS (SELECT i, avg(CAST(embedding[i] AS DOUBLE)) AS m FROM v_reps, range(1, 65) t(i) WHERE hits <= 20 GROUP BY i),
+WITH p AS (SELECT i, avg(CAST(embedding[i] AS DOUBLE)) AS m FROM v_reps, range(1, 65) t(i) WHERE label IN ('class_0', 'class_1', 'class_2', 'class_3', 'class_4') GROUP BY i),
 c AS (SELECT list(m ORDER BY i) AS centroid FROM p),
-n AS (SELECT 1 - list_cosine_similarity(CAST(embedding AS DOUBLE[]), centroid) AS score FROM v_reps, c WHERE hits <= 20),
+n AS (SELECT 1 - list_cosine_similarity(CAST(embedding AS DOUBLE[]), centroid) AS score FROM v_reps, c WHERE label IN ('class_0', 'class_1', 'class_2', 'class_3', 'class_4')),
 ref AS (SELECT quantile_cont(score, 0.95) AS threshold, count(*) AS sample_count FROM n)"""
 
 
 def reference_of(spark, d) -> DataFrame:
-    return anomaly.fit_reference(view(spark, d, "v_reps").filter("hits <= 20"), embedder_name="given")
+    normal = view(spark, d, "v_reps").filter(F.col("label").isin(*[f"class_{k}" for k in range(5)]))
+    return anomaly.fit_reference(normal, embedder_name="given")
 
 
 @query("fit_reference", REFERENCE_SQL + """
@@ -1004,6 +1005,23 @@ def linear_probe_accuracy(spark, d):
     return evaluation.accuracy(guessed.withColumn("truth", F.col("label").cast("string")), "truth", "predicted")
 
 
+@query("linear_probe_predictions", """
+WITH r AS (
+  SELECT label, row_number() OVER (PARTITION BY label ORDER BY md5(concat('42:', CAST(vec_id AS STRING))), vec_id) AS k,
+         count(*) OVER (PARTITION BY label) AS n FROM embeddings
+)
+SELECT label, count(*) AS rows, count(CASE WHEN k <= greatest(1, round_even(n * 0.3e0, 0)) THEN 1 END) AS test_rows,
+       count(CASE WHEN k <= greatest(1, round_even(n * 0.3e0, 0)) THEN 1 END) AS valid_predictions FROM r GROUP BY label""")
+def linear_probe_predictions(spark, d):
+    """Counts of the probe by label; a valid prediction is one of the labels trained on."""
+    split = materialize(S.stratified_split(view(spark, d, "embeddings"), "label", ["vec_id"]), "split")
+    model = S.linear_probe(split.filter("NOT is_test"))
+    guessed = S.probe_predictions(model, split.filter("is_test"))
+    valid = F.col("predicted").isin(*model.stages[0].labels)
+    tested = guessed.groupBy("label").agg(F.count("*").alias("test_rows"), F.count(F.when(valid, 1)).alias("valid_predictions"))
+    return split.groupBy("label").agg(F.count("*").alias("rows")).join(tested, "label")
+
+
 GUESS_SQL = "SELECT CASE WHEN l_returnflag = 'A' THEN 'x' ELSE l_linestatus END AS truth, CASE WHEN l_quantity > 25 THEN 'x' ELSE l_linestatus END AS predicted FROM lineitem"
 
 
@@ -1132,10 +1150,13 @@ def record_quarantine(spark, d):
 
 
 @query("ground_truth_out_of_range", """
-SELECT g.run_id, count(*) AS rows FROM v_ground_truth g JOIN (SELECT run_id, max(frame_number) AS m FROM v_frames WHERE frame_ordinal < 100 GROUP BY run_id) f
+SELECT g.run_id, count(*) AS rows FROM v_ground_truth g
+JOIN (SELECT run_id, max(frame_number) AS m FROM v_frames WHERE frame_ordinal * 4 < (SELECT max(frame_ordinal) FROM v_frames) GROUP BY run_id) f
   ON g.run_id = f.run_id WHERE g.frame_index > f.m GROUP BY g.run_id""")
 def ground_truth_out_of_range(spark, d):
-    frames = view(spark, d, "v_frames").filter("frame_ordinal < 100")
+    frames = view(spark, d, "v_frames")
+    last = frames.agg(F.max("frame_ordinal")).first()[0]  # recordings that broke off after a quarter
+    frames = frames.filter(F.col("frame_ordinal") * 4 < last)
     beyond = contracts.ground_truth_out_of_range(view(spark, d, "v_ground_truth"), frames)
     return beyond.groupBy("run_id").agg(F.count("*").alias("rows"))
 

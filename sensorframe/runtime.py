@@ -8,9 +8,6 @@ import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-BROADCAST_ROWS = 1_000_000
 
 _shipped: set[str] = set()
 
@@ -74,15 +71,3 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast after counting at most ``rows + 1`` rows; else leave the join to Spark.
-
-    For one-row-per-run dimensions: a broadcast spares the shuffle of a fact
-    table whose runs are of very different size.  Beyond the limit the plain
-    join stays, with adaptive skew handling.  The counted rows are stored, so
-    they are computed once.
-    """
-    stored = materialize(df, "dimension")
-    return F.broadcast(stored) if stored.limit(rows + 1).count() <= rows else stored

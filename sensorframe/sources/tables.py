@@ -6,16 +6,16 @@ Parquet is the table format; CSV and JSON are read and written for exchange.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import empty_to_null, nan_to_null
 from ..operators.anomaly import check_reference
 from ..operators.fusion import attach_boxes
-from ..runtime import broadcast_if_small
-from ..schemas import EVIDENCE, FRAMES, REFERENCE, TABLES, conform
+from ..schemas import EVIDENCE, FRAMES, REFERENCE, SEVERITIES, TABLES, conform
 
 # Column order of the exchange tables (without the vector column).
 EXCHANGE = {
@@ -24,20 +24,38 @@ EXCHANGE = {
 }
 
 
+# RFC 4180 quoting, for readers and writers
+CSV = {"header": True, "quote": '"', "escape": '"', "multiLine": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Text columns of CSV files by name, whatever their order in each file, with ``_position`` for the row order.
+
+    Files are read in one job for each distinct header line; a column that a file lacks is null there.
+    """
+    files = spark.read.format("binaryFile").load(path).filter("length > 0")
+    first = F.regexp_replace(F.substring_index(F.col("content").cast("string"), "\n", 1), "\r$", "")
+    heads = files.select("path", first.alias("head")).groupBy("head").agg(F.collect_list("path").alias("paths")).orderBy("head").collect()
+    parts = [spark.read.options(**CSV).csv(sorted(h["paths"])).withColumn("_file", F.col("_metadata.file_path")) for h in heads]
+    if not parts:
+        return spark.createDataFrame([], "_file string, _position bigint")
+    parts = [p.withColumn("_position", F.monotonically_increasing_id()) for p in parts]  # rows of a file stay in order
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
 def read_table(spark: SparkSession, name: str, path: str, *, fmt: str = "parquet") -> DataFrame:
     """One evidence table with its declared schema; extra columns are ignored."""
     schema = TABLES[name]
     if fmt == "parquet":
         return spark.read.schema(schema).parquet(path)
-    header = spark.read.option("header", True).csv(path)  # all text, then typed below
-    return conform(header, schema)
+    return conform(read_csv(spark, path), schema)
 
 
 def read_frames(spark: SparkSession, path: str, *, fmt: str = "parquet") -> DataFrame:
     """Frame manifests."""
     if fmt == "parquet":
         return spark.read.schema(FRAMES).parquet(path)
-    return conform(spark.read.option("header", True).csv(path), FRAMES)
+    return conform(read_csv(spark, path), FRAMES)
 
 
 def write_evidence(tables: Mapping[str, DataFrame], path: str, *, fmt: str = "parquet", mode: str = "errorifexists"):
@@ -49,7 +67,7 @@ def write_evidence(tables: Mapping[str, DataFrame], path: str, *, fmt: str = "pa
         out = conform(df, TABLES[name])
         if fmt == "csv":
             flat = out.select("run_id", *[c for c in EXCHANGE[name] if c != "run_id"])
-            flat.write.mode(mode).option("header", True).csv(f"{path}/{name}")
+            flat.write.mode(mode).options(header=True, quote='"', escape='"').csv(f"{path}/{name}")
         else:
             out.write.mode(mode).partitionBy("run_id").parquet(f"{path}/{name}")
 
@@ -138,19 +156,33 @@ def evidence_from_runs(events: DataFrame, manifests: DataFrame, tracks: DataFram
         }
     )
     boxed = attach_boxes(typed, tracks) if tracks is not None else typed
-    return conform(boxed.drop("sensor_id", "modality", "run_dir").join(broadcast_if_small(run), "run_id"), EVIDENCE)
+    known = boxed.drop("sensor_id", "modality", "run_dir").join(run.withColumn("_known", F.lit(True)), "run_id", "left")
+    return conform(known.filter(_usable()), EVIDENCE)
+
+
+def _usable() -> Column:
+    """True; raises for an event whose run has no manifest, or that breaks the sensor contract."""
+    faults = [
+        (F.col("_known").isNull(), F.format_string("no manifest for run %s", "run_id")),
+        (F.coalesce("sensor_id", F.lit("")) == "", F.format_string("the manifest of run %s names no sensor", "run_id")),
+        (~F.coalesce("severity", F.lit("")).isin(*SEVERITIES), F.format_string("event %s of run %s has severity %s", "event_id", "run_id", "severity")),
+    ]
+    fine = F.lit(True)
+    for broken, message in reversed(faults):
+        fine = F.when(broken, F.raise_error(message).cast("boolean")).otherwise(fine)
+    return fine
 
 
 def read_evidence(spark: SparkSession, root: str) -> DataFrame:
     """Evidence of every run below ``root/<run>/`` (events.csv, tracks.csv, run_manifest.json)."""
     manifests = read_manifests(spark, f"{root}/*/run_manifest.json")
-    run_of = F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/[^/]+$", 1)
 
     def table(name: str) -> DataFrame:
-        return spark.read.option("header", True).csv(f"{root}/*/{name}.csv").withColumn("_dir", run_of)
+        return read_csv(spark, f"{root}/*/{name}.csv").withColumn("_dir", F.regexp_extract("_file", r"/([^/]+)/[^/]+$", 1))
 
     ids = manifests.select("run_id", F.element_at(F.split("run_dir", "/"), -1).alias("_dir"))
-    events = table("events").drop("run_id").join(ids, "_dir").withColumn("frame_number", F.col("frame_number").cast("long"))
+    found = table("events").drop("run_id").join(ids, "_dir", "left").withColumn("run_id", F.coalesce("run_id", "_dir"))
+    events = found.withColumn("frame_number", F.col("frame_number").cast("long"))
     tracks = (
         table("tracks").drop("run_id").join(ids, "_dir")
         .withColumns({c: F.col(c).cast("double").cast("long") for c in ("frame_number", "track_id")})
