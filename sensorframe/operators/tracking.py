@@ -14,6 +14,7 @@ states, which yields birth, hits and the run-wide track number.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +32,7 @@ from .sequence import BUCKET, number_rows, with_halo
 KEYS = ["run_id", "label"]
 ORDER = ["frame_ordinal", "detection_index"]
 NAME = "iou"
+PAIRS = 1 << 20
 _ROOT = ["root_ordinal", "root_index", "root_frame_number", "root_timestamp_s", "segment_hits", "inherited"]
 _CARRIED = [
     "frame_number", "timestamp_s", "confidence", "scenario_role", "sensor_id", "modality", "source_path",
@@ -38,12 +40,6 @@ _CARRIED = [
 ]
 
 
-def attach_frame_ordinals(frames: DataFrame, detections: DataFrame) -> DataFrame:
-    """Give detections the processed-frame position they are aged by."""
-    position = frames.select("run_id", "frame_number", "frame_ordinal")
-    return detections.drop("frame_ordinal").join(position, ["run_id", "frame_number"])
-
-
 class _Track:
     __slots__ = ("box", "at", "root", "hits", "inherited")
 
@@ -63,51 +59,72 @@ def _overlap(a, b) -> float:
     return inter / union if union > 0 else 0.0
 
 
-def _candidates(tracks: list[_Track], boxes: list[tuple], threshold: float) -> list[tuple[float, int, int]]:
-    """(-iou, track position, detection position) of pairs at or above the threshold, best first.
+def _areas(c: np.ndarray) -> np.ndarray:
+    return np.clip(c[:, 2] - c[:, 0], 0, None) * np.clip(c[:, 3] - c[:, 1], 0, None)
+
 
-    Small frames are compared pair by pair, busy ones as one matrix.
+def _overlapping(tracks: list[_Track], boxes: list[tuple], threshold: float) -> list[tuple[float, int, int]]:
+    """(-iou, track position, detection position) of the pairs that overlap by at least the threshold, best first.
+
+    A few pairs are compared one by one.  Otherwise boxes are sorted by their left edge, so each track meets only
+    those that can reach it, in blocks of ``PAIRS`` pairs; no matrix of tracks and boxes is made.
     """
     if len(tracks) * len(boxes) <= 24:
         pairs = [(-_overlap(t.box, b), i, j) for i, t in enumerate(tracks) for j, b in enumerate(boxes)]
-        return sorted(p for p in pairs if -p[0] >= threshold)
+        return sorted(p for p in pairs if p[0] < 0 and -p[0] >= threshold)
     a = np.array([t.box for t in tracks], dtype=np.float64)
     b = np.array(boxes, dtype=np.float64)
-    w = np.minimum(a[:, None, 2], b[None, :, 2]) - np.maximum(a[:, None, 0], b[None, :, 0])
-    h = np.minimum(a[:, None, 3], b[None, :, 3]) - np.maximum(a[:, None, 1], b[None, :, 1])
-    inter = np.where((w > 0) & (h > 0), w * h, 0.0)
-
-    def area(c):
-        return np.clip(c[:, 2] - c[:, 0], 0, None) * np.clip(c[:, 3] - c[:, 1], 0, None)
-
-    union = area(a)[:, None] + area(b)[None, :] - inter
-    value = np.divide(inter, union, out=np.zeros_like(inter), where=union > 0)
-    i, j = np.nonzero(value >= threshold)
-    return sorted(zip((-value[i, j]).tolist(), i.tolist(), j.tolist()))
+    order = np.argsort(b[:, 0], kind="stable")
+    left, widest = b[order, 0], max(0.0, float((b[:, 2] - b[:, 0]).max()))
+    low = np.searchsorted(left, a[:, 0] - widest)
+    count = np.maximum(np.searchsorted(left, a[:, 2]) - low, 0)
+    total = np.concatenate([[0], np.cumsum(count)])
+    area_a, area_b, out, begin = _areas(a), _areas(b), [], 0
+    while begin < len(a):
+        end = max(begin + 1, int(np.searchsorted(total, total[begin] + PAIRS, side="right")) - 1)
+        n = count[begin:end]
+        i = np.repeat(np.arange(begin, end), n)
+        j = order[np.repeat(low[begin:end] - total[begin:end], n) + np.arange(total[begin], total[end])]
+        w = np.minimum(a[i, 2], b[j, 2]) - np.maximum(a[i, 0], b[j, 0])
+        h = np.minimum(a[i, 3], b[j, 3]) - np.maximum(a[i, 1], b[j, 1])
+        meet = (w > 0) & (h > 0)
+        i, j, inter = i[meet], j[meet], (w * h)[meet]
+        union = area_a[i] + area_b[j] - inter
+        value = np.divide(inter, union, out=np.zeros_like(inter), where=union > 0)
+        keep = (value > 0) & (value >= threshold)
+        out += zip((-value[keep]).tolist(), i[keep].tolist(), j[keep].tolist())
+        begin = end
+    return sorted(out)
 
 
 def associate(tracks: list[_Track], boxes: list[tuple], threshold: float) -> tuple[dict[int, int], bool]:
     """Greedy one-to-one pairs ``{detection: track}`` of one frame.
 
     The flag tells whether two inherited tracks tied on one detection, i.e.
-    whether their relative age may have decided the result.
+    whether their relative age may have decided the result.  At a threshold of
+    0 all pairs count: those that don't overlap come last, in order.
     """
-    pairs = _candidates(tracks, boxes, threshold)
+    pairs = _overlapping(tracks, boxes, threshold)
     taken: set[int] = set()
     match: dict[int, int] = {}
     for _, i, j in pairs:
         if i not in taken and j not in match:
             taken.add(i)
             match[j] = i
+    seen = set()
     tie = False
-    if len(pairs) > 1 and len(tracks) > 1:
-        seen = set()
-        for value, i, j in pairs:
-            if tracks[i].inherited:
-                if (value, j) in seen:
-                    tie = True
-                    break
-                seen.add((value, j))
+    for value, i, j in pairs if len(tracks) > 1 else []:
+        if tracks[i].inherited:
+            if (value, j) in seen:
+                tie = True
+                break
+            seen.add((value, j))
+    if threshold <= 0:
+        apart = sum(t.inherited for t in tracks)
+        near = Counter(j for _, i, j in pairs if tracks[i].inherited)
+        tie = tie or any(apart - near[j] > 1 for j in range(len(boxes)))
+        free = [j for j in range(len(boxes)) if j not in match]
+        match |= dict(zip(free, (i for i in range(len(tracks)) if i not in taken)))
     return match, tie
 
 

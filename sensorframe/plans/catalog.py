@@ -160,6 +160,14 @@ def tracks(spark, d):
     )
 
 
+@query("tracks_in_small_chunks", TRACKS_SQL + """
+SELECT run_id, frame_ordinal, track_id, label, hits, first_frame_number, x1, y1, x2, y2 FROM tracks""")
+def tracks_in_small_chunks(spark, d):
+    """The hand-off between chunks at work: every run is cut each 24 frames."""
+    return tracking.track_detections(view(spark, d, "v_detections"), chunk_frames=24, warmup_frames=4).select(
+        "run_id", "frame_ordinal", "track_id", "label", "hits", "first_frame_number", "x1", "y1", "x2", "y2")
+
+
 @query("track_lifetimes", TRACKS_SQL + """
 SELECT run_id, track_id, max(hits) AS hits, min(frame_number) AS first_frame_number, max(frame_number) AS last_frame_number
 FROM tracks GROUP BY run_id, track_id""")
@@ -550,6 +558,18 @@ def anomaly_scores(spark, d):
     )
 
 
+@query("anomaly_scores_of_labels", REFERENCE_SQL + """, s AS (
+  SELECT run_id, track_id, frame_ordinal, label, 1 - list_cosine_similarity(CAST(embedding AS DOUBLE[]), centroid) AS score, threshold
+  FROM v_reps, c, ref WHERE label IN ('class_5', 'class_7') AND hits >= 3 AND least(400, x2 + 6) - greatest(0, x1 - 6) >= 12
+    AND least(60, y2 + 6) - greatest(0, y1 - 6) >= 12
+)
+SELECT run_id, track_id, frame_ordinal, label, round(score, 6) AS score, score > threshold AS is_anomaly FROM s""")
+def anomaly_scores_of_labels(spark, d):
+    reps = view(spark, d, "v_reps")
+    scored = anomaly.score_anomalies(reps, reference_of(spark, d), embedder_name="given", labels=["class_5", "class_7"])
+    return scored.select("run_id", "track_id", "frame_ordinal", "label", r6("score").alias("score"), "is_anomaly")
+
+
 @query("score_distribution", """
 WITH p AS (SELECT i, avg(CAST(embedding[i] AS DOUBLE)) AS m FROM embeddings, range(1, 65) t(i) WHERE label < 5 GROUP BY i),
 c AS (SELECT list(m ORDER BY i) AS centroid FROM p),
@@ -777,6 +797,16 @@ def fused_events(spark, d):
     )
 
 
+@query("fused_in_small_chunks", FUSE_SQL + """
+SELECT event_id, round(t, 2) AS timestamp_s, event_type, label, support_count, sensor_ids, contributor_event_ids FROM fused""")
+def fused_in_small_chunks(spark, d):
+    """The hand-off between chunks at work: groups are cut every twelve times the reach."""
+    events = fusion.fuse_events(view(spark, d, "v_evidence"), CONFIG, width_s=12 * CONFIG.max_time_delta_s).events
+    return events.select(
+        "event_id", r6("timestamp_s", 2).alias("timestamp_s"), "event_type", "label", "support_count",
+        F.array_join("sensor_ids", ",").alias("sensor_ids"), F.array_join("contributor_event_ids", ",").alias("contributor_event_ids"))
+
+
 @query("fusion_contributors", FUSE_SQL + """
 SELECT fused.event_id AS fusion_event_id, run_id, sensor_id, modality, r.event_id, r.frame_number, r.severity, r.label,
        round(r.timestamp_s - fused.t, 2) AS time_delta_from_fused_s FROM full_rows r JOIN fused ON r.n = fused.n""")

@@ -1,9 +1,11 @@
 import random
+import tracemalloc
 
 import pytest
 
+from sensorframe.operators import tracking
 from sensorframe.operators.tracking import observation_history, track_detections
-from tests.plain import track
+from tests.plain import iou, track
 
 SCHEMA = (
     "run_id string, frame_ordinal bigint, frame_number bigint, timestamp_s double, detection_index bigint, "
@@ -100,3 +102,40 @@ def test_rejects_bad_options(spark):
         track_detections(df, iou_threshold=1.5)
     with pytest.raises(ValueError):
         track_detections(df, max_missed_updates=-1)
+
+
+@pytest.mark.parametrize("threshold", [0.0, 0.05, 0.3])
+def test_association_equals_all_pairs(threshold, monkeypatch):
+    """Pairs found by sorted edges, in blocks, against the plain statement; many ties, some inherited."""
+    monkeypatch.setattr(tracking, "PAIRS", 37)
+    rng = random.Random(int(threshold * 100))
+    for _ in range(60):
+        def box():
+            x, y = rng.randrange(0, 60, 4), rng.randrange(0, 24, 4)
+            return (x, y, x + rng.choice([0, 4, 8, 50]), y + rng.choice([0, 4, 8]))  # noqa: B023
+
+        tracks = [tracking._Track(box(), (0, k), None, 0, rng.random() < 0.4) for k in range(rng.randrange(0, 30))]
+        boxes = [box() for _ in range(rng.randrange(0, 30))]
+        if not tracks or not boxes:
+            continue
+        pairs = sorted((-iou(t.box, x), i, j) for i, t in enumerate(tracks) for j, x in enumerate(boxes) if iou(t.box, x) >= threshold)
+        match, taken, seen, tie = {}, set(), set(), False
+        for value, i, j in pairs:
+            if i not in taken and j not in match:
+                taken.add(i)
+                match[j] = i
+            if tracks[i].inherited:
+                tie = tie or (value, j) in seen
+                seen.add((value, j))
+        assert tracking.associate(tracks, boxes, threshold) == (match, tie)
+
+
+def test_crowded_frame_in_bounded_memory():
+    n = 20_000
+    tracks = [tracking._Track((30 * (k % 200), 30 * (k // 200), 30 * (k % 200) + 20, 30 * (k // 200) + 20), (0, k), None, 0, False) for k in range(n)]
+    boxes = [(x1 + 2, y1, x2 + 2, y2) for x1, y1, x2, y2 in (t.box for t in tracks)]
+    tracemalloc.start()
+    match, tie = tracking.associate(tracks, boxes, 0.3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert match == {k: k for k in range(n)} and not tie and peak < 300e6
