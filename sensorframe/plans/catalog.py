@@ -968,10 +968,12 @@ def file_inventory(spark, d):
     return D.inventory_of(files)
 
 
-@query("inventory_digest", "SELECT count(*) AS files, 64 AS digest_length FROM documents")
+@query("inventory_digest", """
+WITH m AS (SELECT sha256(concat(sha256(path), sha256(text))) AS mark FROM v_files),
+s AS (SELECT count(*) AS files, """ + ", ".join(f"sum(CAST(concat('0x', substr(mark, {8 * k + 1}, 8)) AS BIGINT)) AS s{k}" for k in range(8)) + """ FROM m)
+SELECT files, sha256(concat_ws(',', files, s0, s1, s2, s3, s4, s5, s6, s7)) AS digest FROM s""")
 def inventory_digest(spark, d):
-    inventory = view(spark, d, "v_files").select("path", F.sha2("text", 256).alias("sha256"))
-    return D.inventory_digest(inventory).select("files", F.length("digest").alias("digest_length"))
+    return D.inventory_digest(view(spark, d, "v_files").select("path", F.sha2("text", 256).alias("sha256")))
 
 
 @query("vectors_of_representations", "SELECT vec_id, run_id, round(CAST(embedding[1] AS DOUBLE), 6) AS first_value FROM v_reps")
@@ -1253,6 +1255,18 @@ def run_manifest_documents(spark, d):
     )
 
 
+@query("manifests_read_back", """
+SELECT run_id, max(sensor_id) AS sensor_id, max(modality) AS modality, 'completed' AS status, 64 AS digest_length FROM v_frames GROUP BY run_id""")
+def manifests_read_back(spark, d):
+    frames = view(spark, d, "v_frames")
+    runs = frames.groupBy("run_id").agg(F.max("sensor_id").alias("sensor_id"), F.max("modality").alias("modality"))
+    document = IO.run_manifest(M.run_counters(frames), runs.withColumn("status", F.lit("completed")), options={"max_missed_updates": "2"})
+    path = scratch_path(spark, "manifests")
+    IO.write_manifests(document, path)
+    back = IO.read_manifests(spark, f"{path}/*/*.txt")
+    return back.select("run_id", "sensor_id", "modality", "status", F.length("manifest_sha256").alias("digest_length"))
+
+
 # --------------------------------------------------------------------------
 # Extension points.
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -204,19 +208,15 @@ def inventory_of(files: DataFrame) -> DataFrame:
 
 
 def inventory_digest(inventory: DataFrame) -> DataFrame:
-    """One digest of a whole inventory: files hashed into 4096 groups, then the groups.
+    """One digest of a whole inventory, whatever its order.
 
-    Group lists hold digests of a bounded share of the files; the final list is 4096 entries.
+    Each file's path and content give 256 bits; their eight 32-bit parts are added up over all files and the sums are
+    hashed.  Sums are combined before the shuffle, so no list of files is gathered anywhere.
     """
-    line = F.concat_ws("\u0000", "path", "sha256")
-    grouped = inventory.groupBy(F.pmod(F.xxhash64("path"), F.lit(4096)).alias("part")).agg(
-        F.count("*").alias("files"),
-        F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("digest"),
-    )
-    return grouped.agg(
-        F.sum("files").alias("files"),
-        F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "part", "digest"))), "\n"), 256).alias("digest"),
-    )
+    mark = F.sha2(F.concat(F.sha2("path", 256), F.col("sha256")), 256)
+    parts = [F.conv(F.substring(mark, 8 * k + 1, 8), 16, 10).cast("decimal(38,0)") for k in range(8)]
+    summed = inventory.agg(F.count("*").alias("files"), *[F.coalesce(F.sum(p), F.lit(0)).cast("string").alias(f"s{k}") for k, p in enumerate(parts)])
+    return summed.select("files", F.sha2(F.concat_ws(",", F.col("files").cast("string"), *[f"s{k}" for k in range(8)]), 256).alias("digest"))
 
 
 def summarise_sources(frames: DataFrame, *, sequence_limit: int = 500, annotations: DataFrame | None = None):
@@ -243,15 +243,16 @@ def summarise_sources(frames: DataFrame, *, sequence_limit: int = 500, annotatio
 
 def read_embedding_pack(spark: SparkSession, path: str, dim: int) -> DataFrame:
     """Packed little-endian float32 rows as (``embedding_row``, ``embedding``)."""
-    import numpy as np
-
     records = spark.sparkContext.binaryRecords(path, 4 * dim).zipWithIndex()
-    schema = T.StructType(
-        [T.StructField("embedding_row", T.LongType()), T.StructField("embedding", T.ArrayType(T.FloatType()))]
-    )
-    return spark.createDataFrame(
-        records.map(lambda kv: (kv[1], np.frombuffer(kv[0], dtype="<f4").tolist())), schema
-    )
+    rows = spark.createDataFrame(records.map(lambda kv: (kv[1], bytearray(kv[0]))), "embedding_row bigint, packed binary")
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat = np.frombuffer(b"".join(batch.column("packed").to_pylist()), dtype="<f4")
+            ends = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * dim)
+            yield pa.RecordBatch.from_arrays([batch.column("embedding_row"), pa.ListArray.from_arrays(ends, pa.array(flat))], ["embedding_row", "embedding"])
+
+    return rows.mapInArrow(unpack, "embedding_row bigint, embedding array<float>")
 
 
 def join_vectors(index: DataFrame, vectors: DataFrame, keys: list[str] | None = None) -> DataFrame:

@@ -24,6 +24,8 @@ EXCHANGE = {
 }
 
 
+# Fields of a manifest's metadata
+METADATA = ["run_id", "ground_truth_scope"]
 # RFC 4180 quoting, for readers and writers
 CSV = {"header": True, "quote": '"', "escape": '"', "multiLine": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
@@ -90,6 +92,18 @@ def run_manifest(counters: DataFrame, runs: DataFrame, *, options: Mapping[str,
     return runs.join(counters, "run_id", "left").withColumn("options", chosen)
 
 
+def write_manifests(manifests: DataFrame, path: str, *, mode: str = "errorifexists") -> None:
+    """One JSON document per run in a folder of its own, as ``read_manifests`` expects it (K5).
+
+    Columns named in ``METADATA`` go into the document's ``metadata``; all others stay at the top.
+    """
+    top = [c for c in manifests.columns if c not in METADATA]
+    inner = F.struct(*[c for c in METADATA if c in manifests.columns])
+    document = F.to_json(F.struct(*top, inner.alias("metadata")), {"ignoreNullFields": "false"})
+    laid_out = manifests.select(document.alias("value"), F.col("run_id").alias("run")).repartition("run")
+    laid_out.write.mode(mode).partitionBy("run").text(path)
+
+
 def write_reference(reference: DataFrame, path: str, *, mode: str = "errorifexists") -> None:
     """Anomaly reference as a one-row table (K6)."""
     check_reference(reference)
