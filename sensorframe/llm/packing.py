@@ -38,7 +38,7 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 WINDOW, SEPARATOR, SHARD = 1024, 0, 1024
 LEAST_CUT = 8
 K1, B = 1.2, 0.75
-WORDS_KEPT = 400_000
+WORDS_KEPT = 700_000
 TOKENISED = "doc_id long, doc_tokens long, whole array<long>, tail binary, rare int, second int"
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, role string"
 #: A space that no visible character follows; elsewhere a space begins a token, so words can be encoded alone.
@@ -46,6 +46,26 @@ ODD_SPACE = re.compile(r" (?!\S)")
 END_OF_TEXT = "<|endoftext|>"
 
 
+class _Words(dict):
+    """Ids of a space and a word, kept for the words met lately."""
+
+    def __init__(self, coder: tiktoken.Encoding):
+        self.coder = coder
+        self.marks = {m: self.plain(m) for m in ",."}
+
+    def plain(self, text: str) -> bytes:
+        return np.array(self.coder.encode_ordinary(text), "<u2").tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        mark = self.marks.get(word[-1:])
+        if mark and word[-2:-1].isalnum():  # a comma or stop after a letter or digit is a token of its own
+            value = self[word[:-1]] + mark
+        else:
+            value = self.plain(f" {word}")
+        self[word] = value
+        return value
+
+
 class Tokenizer:
     """Ids of texts as little-endian 16-bit numbers; the vocabulary must have fewer than 65,536."""
 
@@ -53,24 +73,17 @@ class Tokenizer:
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.size = len(ranks) + 1
-        coder = tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={END_OF_TEXT: len(ranks)})
-        self.encode = lambda text: np.array(coder.encode(text, allowed_special="all"), "<u2").tobytes()
-        self.words: dict[str, bytes] = {}
+        self.coder = tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={END_OF_TEXT: len(ranks)})
+        self.words = _Words(self.coder)
 
     def ids(self, text: str) -> np.ndarray:
         if not text or ODD_SPACE.search(text) or END_OF_TEXT in text:
-            return np.frombuffer(self.encode(text), "<u2")
+            return np.array(self.coder.encode(text, allowed_special="all"), "<u2")
         first, *rest = text.split(" ")
         words = self.words
         if len(words) > WORDS_KEPT:
             words.clear()
-        out = [self.encode(first)]
-        for w in rest:
-            found = words.get(w)
-            if found is None:
-                found = words[w] = self.encode(" " + w)
-            out.append(found)
-        return np.frombuffer(b"".join(out), "<u2")
+        return np.frombuffer(words.plain(first) + b"".join([words[w] for w in rest]), "<u2")
 
 
 @cache
