@@ -128,7 +128,9 @@ def _frequencies(size: int):
             for raw in texts_of(batch.column("tail")):
                 if raw:
                     terms = np.frombuffer(raw, "<u2")
-                    seen[np.unique(terms)] += 1
+                    held = np.sort(terms)
+                    seen[held[:1]] += 1
+                    seen[held[1:][held[1:] != held[:-1]]] += 1
                     tails, ids = tails + 1, ids + len(terms)
         terms = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array([-1, -2, *terms], pa.int32()), pa.array([tails, ids, *seen[terms]], pa.int64())], ["term", "n"])
@@ -158,7 +160,7 @@ class Index:
         begin = self.begin[terms]
         sizes = self.begin[terms + 1] - begin
         places = np.repeat(begin - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-        return np.bincount(self.docs[places], self.weight[places], self.n)
+        return np.bincount(self.docs.take(places), self.weight.take(places), self.n)
 
 
 def pack_shard(tails: list[np.ndarray], idf: np.ndarray, mean: float, window: int = WINDOW) -> list[list[tuple[int, int, int, str]]]:
@@ -181,8 +183,8 @@ def pack_shard(tails: list[np.ndarray], idf: np.ndarray, mean: float, window: in
         order = None
         while room:
             if order is None:
-                order = np.argsort(-index.scores(seed), kind="stable")
-                order = order[left[order] > 0]
+                order = np.flatnonzero(left)
+                order = order[np.argsort(-index.scores(seed)[order], kind="stable")]
             fits = np.flatnonzero(left[order] <= room)
             if len(fits):
                 k = int(order[fits[0]])
