@@ -68,7 +68,7 @@ def encode_with(
                 chunk = items[start : start + batch_size]
                 matrix = np.asarray(encoder(chunk), dtype=np.float32)
                 if matrix.ndim != 2 or len(matrix) != len(chunk):
-                    raise ValueError("encoder returned an invalid batch shape")
+                    raise ValueError("the encoder gave no matrix with one row per crop")
                 width = width or matrix.shape[1]
                 if matrix.shape[1] != width:
                     raise ValueError("encoder changed its embedding dimension")

@@ -53,13 +53,13 @@ def fit_reference(
     centroid itself and the threshold visit the driver.
     """
     if not 0.0 < quantile < 1.0:
-        raise ValueError("quantile must be between 0 and 1")
+        raise ValueError(f"quantile {quantile} lies outside (0, 1)")
     if not embedder_name:
         raise ValueError("embedder_name cannot be empty")
     spark = embeddings.sparkSession
     centre = centroid_of(embeddings, column).first()
     if centre.sample_count < 2:
-        raise ValueError("at least two normal embeddings are required")
+        raise ValueError(f"{centre.sample_count} normal vectors given; a threshold needs two or more")
     scores = materialize(centroid_distances(embeddings, centre.centroid, column).select("score"), "scores")
     threshold = exact_quantile(scores, "score", quantile, centre.sample_count)
     row = (

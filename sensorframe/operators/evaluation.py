@@ -31,6 +31,7 @@ from .contracts import require_columns
 from .handoff import changes
 from .sequence import number_rows
 
+# Column and metric names of the result tables
 PREDICTION_COLUMNS = ("frame_number", "label", "confidence", "x1", "y1", "x2", "y2")
 GROUND_TRUTH_COLUMNS = ("frame_index", "label", "ignored", "x1", "y1", "x2", "y2")
 _GROUP = ["run_id", "frame_number", "shared_class"]
@@ -264,7 +265,7 @@ def match_predictions(
     count first and cut into independent piles before they are matched.
     """
     if not 0 < iou_threshold <= 1:
-        raise ValueError("iou_threshold must be greater than 0 and at most 1")
+        raise ValueError(f"iou_threshold {iou_threshold} lies outside (0, 1]")
     rows = _sides(predictions, ground_truth)
     full = rows.groupBy(*_GROUP).agg(F.count("*").alias("_n")).filter(F.col("_n") > crowd).select(*_GROUP)
     piled = rows.withColumn("_pile", F.lit(0.0))

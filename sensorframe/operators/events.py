@@ -25,6 +25,9 @@ POLICY_SOURCE = "severity"
 NORMAL_ROLES = ("normal_maintenance",)
 
 
+# The message texts and id formats of events below are row values that other tools read
+
+
 def _check_severity(name: str) -> None:
     if name not in SEVERITIES:
         raise ValueError(f"severity must be one of {SEVERITIES}")
@@ -78,9 +81,9 @@ def dwell_events(
     join.
     """
     if min_hits < 2:
-        raise ValueError("min_hits must be at least 2")
+        raise ValueError(f"min_hits {min_hits}: a dwell needs two sightings or more")
     if max_displacement_px < 0:
-        raise ValueError("max_displacement_px cannot be negative")
+        raise ValueError(f"max_displacement_px {max_displacement_px}: want 0 or more")
     limit = float(max_displacement_px)
     key = ["run_id", "track_id"]
     seen = tracks.filter(label_in(labels))
@@ -164,7 +167,7 @@ def persistent_anomaly_events(
 ) -> DataFrame:
     """One event per track when it is anomalous on ``min_consecutive`` processed frames in a row."""
     if min_consecutive < 1:
-        raise ValueError("min_consecutive must be positive")
+        raise ValueError(f"min_consecutive {min_consecutive}: want 1 or more")
     _check_severity(severity)
     reached = anomaly_streaks(anomalies, need=min_consecutive, span=span).filter(
         F.col("streak") >= min_consecutive

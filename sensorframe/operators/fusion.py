@@ -30,6 +30,7 @@ from .events import alerts_from_events
 from .handoff import SUMMARY, SUMMARY_FIELDS, changes, nullable, run_chunks, settle
 from .sequence import number_rows
 
+# The message text and id format of fused events below are row values that other tools read
 SOURCE = "temporal_consensus"
 ORDER = ["timestamp_s", "sensor_id", "event_id", "run_id"]
 CHUNK_ROWS = 50_000

@@ -35,7 +35,7 @@ def mature_crops(
     """
     _positive(min_track_hits=min_track_hits, min_crop_size=min_crop_size)
     if pad_px < 0:
-        raise ValueError("pad_px cannot be negative")
+        raise ValueError(f"pad_px {pad_px}: want 0 or more")
     return (
         tracks.filter((F.col("hits") >= min_track_hits) & label_in(labels))
         .withColumn("crop", crop_window(F.col("width"), F.col("height"), box(), pad_px, min_crop_size))
@@ -68,7 +68,7 @@ def sample_tracks(
         max_per_frame=max_per_frame, min_crop_size=min_crop_size,
     )
     if pad_px < 0:
-        raise ValueError("pad_px cannot be negative")
+        raise ValueError(f"pad_px {pad_px}: want 0 or more")
     due = tracks.filter(
         (F.col("hits") >= min_track_hits)
         & label_in(labels)

@@ -30,7 +30,7 @@ def sample_frames(frames: DataFrame, *, frame_step: int = 1, max_frames: int | N
     if frame_step <= 0:
         raise ValueError("frame_step must be positive")
     if max_frames is not None and max_frames <= 0:
-        raise ValueError("max_frames must be positive when provided")
+        raise ValueError(f"max_frames {max_frames}: want 1 or more, or None")
     position = F.col("frame_ordinal")
     kept = frames.filter(position % frame_step == 0)
     if max_frames is not None:
@@ -41,7 +41,7 @@ def sample_frames(frames: DataFrame, *, frame_step: int = 1, max_frames: int | N
 def timestamp_of(ordinal: Column, fps: float) -> Column:
     """Seconds from the source start; ``ordinal`` counts all listed frames."""
     if fps <= 0:
-        raise ValueError("render_fps must be positive")
+        raise ValueError(f"render_fps {render_fps}: want more than 0")
     return ordinal / F.lit(float(fps))
 
 
@@ -107,7 +107,7 @@ def coco_subset(
     final merge.
     """
     if max_images <= 0:
-        raise ValueError("max_images must be greater than zero")
+        raise ValueError(f"max_images {max_images}: want 1 or more")
     names = list(DEFAULT_CATEGORIES if names is None else names)
     if not names:
         raise ValueError("at least one category is required")

@@ -368,9 +368,9 @@ def track_detections(
     ``frame_ordinal`` must come from the frame list.
     """
     if not 0.0 <= iou_threshold <= 1.0:
-        raise ValueError("iou_threshold must be between 0 and 1")
+        raise ValueError(f"iou_threshold {iou_threshold} lies outside [0, 1]")
     if max_missed_updates < 0:
-        raise ValueError("max_missed_updates cannot be negative")
+        raise ValueError(f"max_missed_updates {max_missed_updates}: want 0 or more")
     reach = max_missed_updates + 1
     warmup = max(warmup_frames, reach)
     span = max(chunk_frames, 2 * warmup)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+# Vocabularies and column names of the tables, which readers and writers share with other tools
 MODALITIES = ("EO", "IR", "OTHER")
 SEVERITIES = ("info", "warning", "critical")  # rank = position
 
