@@ -28,7 +28,7 @@ NORMAL_ROLES = ("normal_maintenance",)
 # The message texts and id formats of events below are row values that other tools read
 
 
-def _check_severity(name: str) -> None:
+def check_severity(name: str) -> None:
     if name not in SEVERITIES:
         raise ValueError(f"severity must be one of {SEVERITIES}")
 
@@ -168,7 +168,7 @@ def persistent_anomaly_events(
     """One event per track when it is anomalous on ``min_consecutive`` processed frames in a row."""
     if min_consecutive < 1:
         raise ValueError(f"min_consecutive {min_consecutive}: want 1 or more")
-    _check_severity(severity)
+    check_severity(severity)
     reached = anomaly_streaks(anomalies, need=min_consecutive, span=span).filter(
         F.col("streak") >= min_consecutive
     )
@@ -206,7 +206,7 @@ def union_events(*producers: DataFrame) -> DataFrame:
 
 def promoted(minimum_severity: str = "warning", column: str = "severity") -> Column:
     """Boolean policy: severity at or above the minimum."""
-    _check_severity(minimum_severity)
+    check_severity(minimum_severity)
     return severity_rank(F.col(column)) >= SEVERITIES.index(minimum_severity)
 
 

@@ -106,6 +106,17 @@ def chunk_width(evidence: DataFrame, keys: Sequence[str], delta: float, rows: in
     return width, 4.0 * reach
 
 
+def padded_reach(delta: float) -> float:
+    """How far around an event, in seconds, everything that may corroborate it lies, rounding included."""
+    return 1.000001 * delta + 1e-6
+
+
+def candidate_windows(times: np.ndarray, delta: float) -> tuple[list[int], list[int]]:
+    """For each of ascending times, where its candidates begin and end; the gate ``|t1 - t2| <= delta`` decides later."""
+    slack = 1.000001 * delta + 1e-9
+    return np.searchsorted(times, times - slack).tolist(), np.searchsorted(times, times + slack, side="right").tolist()
+
+
 def overlap(a: tuple | None, b: tuple | None) -> float:
     """IoU of two boxes; -1.0 when either is missing."""
     if a is None or b is None:
@@ -175,8 +186,7 @@ class _Chunk:
         if not cold:
             taken = set(filter(None, self.init.split(";")))
             consumed = [name in taken for name in self.name]
-        lows = np.searchsorted(self.time, self.time - 1.000001 * delta - 1e-9).tolist()
-        highs = np.searchsorted(self.time, self.time + 1.000001 * delta + 1e-9, side="right").tolist()
+        lows, highs = candidate_windows(self.time, delta)
         groups, used, entered = [], "", False
         for i in range(n):
             if self.own[i] and not entered:
@@ -300,7 +310,7 @@ def fuse_contributors(
     keys = group_keys(config, scope)
     delta = config.max_time_delta_s
     width, warm = chunk_width(evidence, keys, delta, CHUNK_ROWS)
-    reach = 1.000001 * delta + 1e-6
+    reach = padded_reach(delta)
     if width_s is not None:
         width = max(float(width_s), 2.0 * reach)
         warm = min(warm, width - reach)
@@ -351,7 +361,7 @@ def fuse_events(
     named = numbered.withColumn(
         "event_id", F.format_string("fusion:%06d:%s", F.col("fusion_number"), F.col("event_type"))
     )
-    events = _event_rows(named, scope, config)
+    events = event_rows(named, scope, config)
     ids = named.select(
         *[F.col(c).alias(f"_s_{c}") for c in scope], *[F.col(c).alias(f"_i_{c}") for c in anchor],
         F.col("event_id").alias("fusion_event_id"),
@@ -425,7 +435,8 @@ def _aggregate(members: DataFrame, scope, anchor) -> DataFrame:
     ).drop("_rank", "_members")
 
 
-def _event_rows(named: DataFrame, scope, config: FusionConfig) -> DataFrame:
+def event_rows(named: DataFrame, scope, config: FusionConfig) -> DataFrame:
+    """Event columns of named groups (one row each, with the members' fields as arrays); stateless."""
     gate = config.spatial_iou_threshold
     rows = named.select(
         *named.columns,
@@ -461,17 +472,19 @@ def consensus_support(
     """How many events of other sensors could corroborate each event (J2, counted).
 
     Without a spatial gate this is two range-framed window counts per time
-    chunk: all events within the reach minus those of the same sensor.  No
-    event pairs are formed.
+    chunk: all events within the reach minus those of the same sensor.  With
+    one, each chunk is counted event by event against the boxes within reach.
+    Either way no event pairs leave a task.
     """
     config = config or FusionConfig()
     keys = group_keys(config, scope)
     delta = float(config.max_time_delta_s)
     width, _ = chunk_width(evidence, keys, delta, CHUNK_ROWS)
-    reach = 1.000001 * delta + 1e-6
-    if config.spatial_iou_threshold is not None:
-        raise ValueError("consensus_support counts temporal support; use fuse_events for spatial gates")
+    reach = padded_reach(delta)
     rows = _with_margins(evidence, keys, width, reach, reach)
+    if config.spatial_iou_threshold is not None:
+        schema = T.StructType([*nullable(evidence.schema), T.StructField("compatible_events", T.LongType())])
+        return rows.groupBy(*keys, "_chunk").applyInArrow(_gated_support(config, evidence.columns), schema)
 
     def within_reach(*extra: str) -> Column:
         by = ", ".join(f"`{k}`" for k in (*keys, "_chunk", *extra))
@@ -486,6 +499,36 @@ def consensus_support(
     )
 
 
+def _gated_support(config: FusionConfig, columns: Sequence[str]):
+    """Counts one chunk's compatible events: other sensor, within reach, both boxes known and overlapping enough."""
+    delta, gate = float(config.max_time_delta_s), float(config.spatial_iou_threshold)
+
+    def count(table: pa.Table) -> pa.Table:
+        table = table.sort_by("timestamp_s")
+        t = table.column("timestamp_s").to_numpy()
+        sensor = np.unique(np.array(["" if v is None else f"={v}" for v in table.column("sensor_id").to_pylist()]), return_inverse=True)[1]
+        boxes = [None if b is None or None in b.values() else [b[c] for c in ("x1", "y1", "x2", "y2")] for b in table.column("bbox").to_pylist()]
+        known = np.array([b is not None for b in boxes])
+        box = np.array([b or [0.0] * 4 for b in boxes], dtype=np.float64).reshape(-1, 4)
+        area = np.maximum(0.0, box[:, 2] - box[:, 0]) * np.maximum(0.0, box[:, 3] - box[:, 1])
+        found = np.zeros(len(t), dtype=np.int64)
+        for i, (low, high) in enumerate(zip(*candidate_windows(t, delta))):
+            if not known[i]:
+                continue
+            other = slice(low, high)
+            w = np.minimum(box[i, 2], box[other, 2]) - np.maximum(box[i, 0], box[other, 0])
+            h = np.minimum(box[i, 3], box[other, 3]) - np.maximum(box[i, 1], box[other, 1])
+            inside = np.maximum(0.0, w) * np.maximum(0.0, h)
+            union = area[i] + area[other] - inside
+            iou = np.divide(inside, union, out=np.zeros_like(inside), where=union > 0)
+            near = (np.abs(t[i] - t[other]) <= delta) & (sensor[other] != sensor[i]) & known[other]
+            found[i] = np.count_nonzero(near & (iou >= gate))
+        own = table.append_column("compatible_events", pa.array(found)).filter(table.column("_own"))
+        return own.select([*columns, "compatible_events"])
+
+    return count
+
+
 def fusion_summary(fused: DataFrame, *, limit: int = 30, scope: Sequence[str] = ()) -> DataFrame:
     """Fused events per type, most frequent first (A5)."""
     label = F.coalesce(F.col("event_type"), F.lit("unknown"))

@@ -8,6 +8,7 @@ SQL cannot state have none.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -845,6 +846,22 @@ def consensus_support(spark, d):
     return fusion.consensus_support(view(spark, d, "v_evidence"), CONFIG).select("event_id", "compatible_events")
 
 
+#: A box of each event, made from its columns: events of one time and place overlap in part.
+EVENT_BOX = "struct(CAST(frame_number % 50 AS DOUBLE) AS x1, 0.0D AS y1, CAST(frame_number % 50 + 30 AS DOUBLE) AS x2, 20.0D AS y2)"
+
+
+@query("consensus_support_of_boxes", """
+WITH e AS (SELECT *, CAST(frame_number % 50 AS DOUBLE) AS x FROM v_evidence)
+SELECT a.event_id, count(c.event_id) AS compatible_events FROM e a LEFT JOIN e c
+  ON a.event_type = c.event_type AND a.label IS NOT DISTINCT FROM c.label AND a.sensor_id <> c.sensor_id
+ AND abs(a.timestamp_s - c.timestamp_s) <= 1800 AND greatest(0, 30 - abs(a.x - c.x)) * 20 / (1200 - greatest(0, 30 - abs(a.x - c.x)) * 20) >= 0.3
+GROUP BY a.event_id""")
+def consensus_support_of_boxes(spark, d):
+    evidence = view(spark, d, "v_evidence").withColumn("bbox", F.expr(EVENT_BOX))
+    gated = replace(CONFIG, spatial_iou_threshold=0.3)
+    return fusion.consensus_support(evidence, gated).select("event_id", "compatible_events")
+
+
 @query("evidence_of_runs", TRACKS_SQL + """
 SELECT r.run_id, concat('CAM_', r.run_id) AS sensor_id, r.event_id, r.frame_number, r.track_id, t.x1 AS bx1, t.x2 AS bx2
 FROM (SELECT run_id, frame_number, track_id, concat('role', CAST(track_id AS STRING), '_', CAST(frame_number AS STRING)) AS event_id
@@ -1334,11 +1351,12 @@ def hook_rules_and_policy(spark, d):
 # Streams.  The derived tables are stored in several files and replayed in
 # several micro-batches; results equal the batch definitions.
 
-def replay(spark: SparkSession, df: DataFrame, name: str, parts: int = 3) -> DataFrame:
+def replay(spark: SparkSession, df: DataFrame, name: str, parts: int = 3, after: float | None = None) -> DataFrame:
     """Store ``df`` as ``parts`` consecutive time slices and read them back as a stream, one slice per batch.
 
     Slices are appended one after the other, so file age follows event time;
-    a slice is eight files, which is also the batch size.
+    a slice is eight files, which is also the batch size.  ``after`` adds an end
+    mark so many seconds behind the last row.
     """
     stored = materialize(df, f"{name}-source")
     cuts = stored.approxQuantile("timestamp_s", [i / parts for i in range(1, parts)], 0.01)
@@ -1347,6 +1365,9 @@ def replay(spark: SparkSession, df: DataFrame, name: str, parts: int = 3) -> Dat
     for low, high in zip([None, *cuts], [*cuts, None]):
         inside = (F.lit(True) if low is None else t > low) & (F.lit(True) if high is None else t <= high)
         stored.filter(inside).repartition(8).write.mode("append").parquet(path)
+    if after is not None:
+        last = stored.agg(F.max("timestamp_s")).first()[0] or 0.0
+        stream_runs.end_marks(spark, stored.schema, last + after).write.mode("append").parquet(path)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 8).parquet(path)
 
 
@@ -1356,11 +1377,13 @@ def frame_stream(spark, d) -> DataFrame:
 
 
 @query("streaming_tracks", TRACKS_SQL + """
-SELECT run_id, frame_ordinal, track_id, label, hits, first_frame_number, scenario_role, x1 FROM tracks""")
+SELECT run_id, frame_ordinal, frame_number, timestamp_s, track_id, label, confidence, hits, timestamp_s - first_timestamp_s AS duration_s, first_frame_number,
+       first_timestamp_s, scenario_role, x1, y1, x2, y2 FROM tracks""")
 def streaming_tracks(spark, d):
     rows = stream_runs.drain(stream_tracker.track_stream(frame_stream(spark, d)), "stream-tracks")
     return rows.filter("status = 'track'").select(
-        "run_id", "frame_ordinal", "track_id", "label", "hits", "first_frame_number", "scenario_role", "x1"
+        "run_id", "frame_ordinal", "frame_number", "timestamp_s", "track_id", "label", "confidence", "hits", "duration_s", "first_frame_number",
+        "first_timestamp_s", "scenario_role", "x1", "y1", "x2", "y2",
     )
 
 
@@ -1375,13 +1398,15 @@ def streaming_alerts(spark, d):
 
 
 @query("streaming_anomaly_events", "WITH one AS (SELECT 1 AS one)" + STREAK_SQL + """
-SELECT run_id, event_id, frame_number, severity, message FROM persistent
-WHERE timestamp_s <= (SELECT max(timestamp_s) FROM v_anomalies)""")
+SELECT p.run_id, event_id, p.frame_number, severity, message, round(a.score, 6) AS score, round(a.margin, 6) AS margin, a.source AS anomaly_source
+FROM persistent p JOIN v_anomalies a ON a.run_id = p.run_id AND a.track_id = p.track_id AND a.frame_ordinal = p.frame_ordinal""")
 def streaming_anomaly_events(spark, d):
     scores = view(spark, d, "v_anomalies")
-    stream = replay(spark, scores, "score-stream")
-    events = stream_tracker.persistence_stream(stream, severity="critical", lateness="0 seconds")
-    return stream_runs.drain(events, "stream-anomalies").select("run_id", "event_id", "frame_number", "severity", "message")
+    stream = replay(spark, scores, "score-stream", after=5.0)
+    events = stream_tracker.persistence_stream(stream, severity="critical", lateness="1 second")
+    found = F.from_json("metadata", "score double, margin double, anomaly_source string")
+    return stream_runs.drain(events, "stream-anomalies").withColumn("m", found).select(
+        "run_id", "event_id", "frame_number", "severity", "message", r6("m.score").alias("score"), r6("m.margin").alias("margin"), "m.anomaly_source")
 
 
 @query("streaming_scores", REFERENCE_SQL + """, s AS (
@@ -1397,12 +1422,30 @@ def streaming_scores(spark, d):
     )
 
 
+def fused_stream(spark, d) -> DataFrame:
+    """Fused groups of the evidence, replayed up to an end mark behind the last reach."""
+    stream = replay(spark, view(spark, d, "v_evidence"), "evidence-stream", after=CONFIG.max_time_delta_s + 10)
+    return stream_fusion.group_stream(stream, CONFIG, lateness="1 second")
+
+
 @query("streaming_fusion", FUSE_SQL + """
-SELECT a.event_id AS anchor_event, CAST(r.member_order AS INT) AS member_order, r.event_id, r.sensor_id
-FROM full_rows r JOIN full_rows a ON r.n = a.n AND a.member_order = 0
-WHERE a.timestamp_s + 1800 < (SELECT max(timestamp_s) FROM v_evidence) - 1""")
+SELECT a.event_id AS anchor_event, CAST(r.member_order AS INT) AS member_order, r.event_id, r.sensor_id, r.modality, r.run_id, r.run_dir,
+       r.frame_number, r.severity, r.label, round(r.timestamp_s - fused.t, 2) AS time_delta_from_fused_s
+FROM full_rows r JOIN full_rows a ON r.n = a.n AND a.member_order = 0 JOIN fused ON fused.n = r.n""")
 def streaming_fusion(spark, d):
-    evidence = view(spark, d, "v_evidence")
-    stream = replay(spark, evidence, "evidence-stream")
-    rows = stream_runs.drain(stream_fusion.fusion_stream(stream, CONFIG, lateness="1 second"), "stream-fusion")
-    return rows.select("anchor_event", "member_order", "event_id", "sensor_id")
+    rows = stream_fusion.contributor_rows(stream_runs.drain(fused_stream(spark, d), "stream-fusion"))
+    anchor = F.regexp_extract("fusion_event_id", "^fusion:[^/]*/[^/]*/(.*):[^:]*$", 1)
+    return rows.select(
+        anchor.alias("anchor_event"), "member_order", "event_id", "sensor_id", "modality", "run_id", "run_dir", "frame_number", "severity", "label",
+        r6("time_delta_from_fused_s", 2).alias("time_delta_from_fused_s"))
+
+
+@query("streaming_fused_alerts", FUSE_SQL + """
+SELECT concat('alert:fusion:', a.run_id, '/', a.sensor_id, '/', a.event_id, ':', fused.event_type) AS alert_id, fused.frame_number,
+       round(fused.t, 2) AS timestamp_s, fused.event_type AS alert_type, fused.severity, fused.label
+FROM fused JOIN full_rows a ON fused.n = a.n AND a.member_order = 0 WHERE fused.severity <> 'info'""")
+def streaming_fused_alerts(spark, d):
+    """Evidence to fused events to alerts on one stream."""
+    alerts = stream_fusion.fused_alert_rows(stream_fusion.fused_event_rows(fused_stream(spark, d), CONFIG), CONFIG)
+    return stream_runs.drain(alerts, "stream-fused-alerts").select(
+        "alert_id", "frame_number", r6("timestamp_s", 2).alias("timestamp_s"), "alert_type", "severity", "label")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..runtime import scratch_path
 
@@ -18,6 +19,16 @@ def event_time(seconds: str = "timestamp_s") -> Column:
     return F.timestamp_seconds(F.col(seconds) + EPOCH_S)
 
 
+def end_marks(spark: SparkSession, schema: T.StructType, timestamp_s: float, run_ids: list[str | None] = [None]) -> DataFrame:
+    """Rows that say that nothing before ``timestamp_s`` will come: all null but the time and, if given, the run.
+
+    A stream that sends one as its last row decides and emits all that waited
+    for the watermark.  A mark with a run's id ends that run.
+    """
+    rows = [tuple({"run_id": run, "timestamp_s": float(timestamp_s)}.get(f.name) for f in schema) for run in run_ids]
+    return spark.createDataFrame(rows, T.StructType([T.StructField(f.name, f.dataType) for f in schema]))
+
+
 def use_rocksdb(spark: SparkSession) -> None:
     """Stateful processors keep their state in RocksDB, off the JVM heap."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)

@@ -2,7 +2,9 @@
 
 Input is one row per processed frame with its detections as an array, so a
 frame without detections still ages tracks.  State is kept per run: live
-tracks, the next id, and frames that arrived ahead of their turn.
+tracks, the next id, and frames that arrived ahead of their turn.  It is removed
+once the watermark has passed the run's end mark, a row with the run's id and
+no ``frame_ordinal``.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.text import label_in, sorted_json
-from ..operators.events import DWELL_SOURCE, NORMAL_ROLES, PERSISTENCE_SOURCE, ROLE_SOURCE
+from ..operators.events import DWELL_SOURCE, NORMAL_ROLES, PERSISTENCE_SOURCE, ROLE_SOURCE, check_severity
 from ..operators.tracking import NAME, associate
 from ..schemas import EVENTS, conform
 from .runs import EPOCH_S, event_time
@@ -42,18 +44,25 @@ TRACK_ROWS = T.StructType(
         T.StructField("y1", T.IntegerType()),
         T.StructField("x2", T.IntegerType()),
         T.StructField("y2", T.IntegerType()),
+        T.StructField("duration_s", T.DoubleType()),
+        T.StructField("sensor_id", T.StringType()),
+        T.StructField("modality", T.StringType()),
+        T.StructField("source_path", T.StringType()),
+        T.StructField("detection_object_id", T.LongType()),
         T.StructField("max_displacement_px", T.DoubleType()),
         T.StructField("new_role", T.BooleanType()),
         T.StructField("dwelt", T.BooleanType()),
     ]
 )
-DETECTION_FIELDS = ("detection_index", "label", "confidence", "scenario_role", "x1", "y1", "x2", "y2")
+CARRIED = ("sensor_id", "modality", "source_path", "object_id")
+DETECTION_FIELDS = ("detection_index", "label", "confidence", "scenario_role", *CARRIED, "x1", "y1", "x2", "y2")
 
 
 def frame_rows(frames: DataFrame, detections: DataFrame) -> DataFrame:
     """One row per frame with ``detections array<struct>`` in detection order (empty when none)."""
+    fields = [f for f in DETECTION_FIELDS if f in detections.columns]
     packed = detections.groupBy("run_id", "frame_ordinal").agg(
-        F.array_sort(F.collect_list(F.struct(*DETECTION_FIELDS))).alias("detections")
+        F.array_sort(F.collect_list(F.struct(*fields))).alias("detections")
     )
     return frames.select("run_id", "frame_ordinal", "frame_number", "timestamp_s").join(
         packed, ["run_id", "frame_ordinal"], "left"
@@ -101,15 +110,20 @@ class TrackProcessor(StatefulProcessor):
         if self.value.exists():
             ordinal, body = self.value.get()
             data = json.loads(body)
-            return ordinal, data["next_id"], [_Live(**t) for t in data["live"]]
-        return 0, 1, []
+            return ordinal, data["next_id"], [_Live(**t) for t in data["live"]], data["ends"]
+        return 0, 1, [], None
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        turn, next_id, live = self._load()
+        turn, next_id, live, ends = self._load()
         out = []
         ready: dict[int, dict] = {}
         for batch in rows:
             for r in batch.itertuples(index=False):
+                if r.is_end:
+                    if key[0] is not None:
+                        ends = max(ends or 0, event_ms(r.timestamp_s))
+                        self.handle.registerTimer(ends)
+                    continue
                 ordinal = int(r.frame_ordinal)
                 frame = {
                     "n": int(r.frame_number), "t": float(r.timestamp_s), "event_ms": event_ms(r.timestamp_s),
@@ -120,19 +134,23 @@ class TrackProcessor(StatefulProcessor):
                                 "frame_number": frame["n"], "timestamp_s": frame["t"]})
                 else:
                     ready[ordinal] = frame
+        if not ready and not out and ends is None and not self.value.exists():
+            return  # a mark of no run
         for (ordinal,) in list(self.waiting.keys()):
             ready.setdefault(int(ordinal), json.loads(self.waiting.getValue((ordinal,))[0]))
-        turn, next_id = self._advance(key[0], ready, turn, next_id, live, timerValues.getCurrentWatermarkInMs(), out)
-        self._store(ready, turn, next_id, live)
+        watermark = timerValues.getCurrentWatermarkInMs()
+        turn, next_id = self._advance(key[0], ready, turn, next_id, live, watermark, out)
+        self._store(ready, turn, next_id, live, ends, watermark)
         if out:
             yield _table(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        turn, next_id, live = self._load()
+        turn, next_id, live, ends = self._load()
         ready = {int(o): json.loads(self.waiting.getValue((o,))[0]) for (o,) in list(self.waiting.keys())}
         out: list[dict] = []
-        turn, next_id = self._advance(key[0], ready, turn, next_id, live, timerValues.getCurrentWatermarkInMs(), out)
-        self._store(ready, turn, next_id, live)
+        watermark = timerValues.getCurrentWatermarkInMs()
+        turn, next_id = self._advance(key[0], ready, turn, next_id, live, watermark, out)
+        self._store(ready, turn, next_id, live, ends, watermark)
         if out:
             yield _table(out)
 
@@ -146,15 +164,18 @@ class TrackProcessor(StatefulProcessor):
             turn = ordinal + 1
         return turn, next_id
 
-    def _store(self, ready, turn, next_id, live) -> None:
+    def _store(self, ready, turn, next_id, live, ends, watermark) -> None:
         known = {int(o) for (o,) in list(self.waiting.keys())}
         for ordinal in known - set(ready):
             self.waiting.removeKey((ordinal,))
         for ordinal in set(ready) - known:
             self.waiting.updateValue((ordinal,), (json.dumps(ready[ordinal]),))
             self.handle.registerTimer(ready[ordinal]["event_ms"])
+        if ends is not None and ends <= watermark and not ready:
+            self.value.clear()
+            return
         alive = [t.dump() for t in live if turn - t.at[0] <= self.reach]
-        self.value.update((turn, json.dumps({"next_id": next_id, "live": alive})))
+        self.value.update((turn, json.dumps({"next_id": next_id, "live": alive, "ends": ends})))
 
     def _frame(self, run, ordinal, frame, next_id, live: list[_Live], out) -> int:
         live[:] = [t for t in live if ordinal - t.at[0] <= self.reach]
@@ -166,10 +187,10 @@ class TrackProcessor(StatefulProcessor):
         owner: dict[int, _Live] = {}
         for tracks, positions in by_label.values():
             if tracks and positions:
-                match, _ = associate(tracks, [tuple(frame["d"][j][3:]) for j in positions], self.threshold)
+                match, _ = associate(tracks, [tuple(frame["d"][j][-4:]) for j in positions], self.threshold)
                 owner.update({positions[p]: tracks[i] for p, i in match.items()})
         rows = []
-        for j, (label, confidence, role, *corners) in enumerate(frame["d"]):
+        for j, (label, confidence, role, sensor, modality, source, target, *corners) in enumerate(frame["d"]):
             corners = [int(c) for c in corners]
             centre = ((corners[0] + corners[2]) / 2.0, (corners[1] + corners[3]) / 2.0)
             t = owner.get(j)
@@ -195,7 +216,8 @@ class TrackProcessor(StatefulProcessor):
                     "timestamp_s": frame["t"], "track_id": t.id, "label": label, "confidence": confidence,
                     "hits": t.hits, "first_frame_number": t.first[0], "first_timestamp_s": t.first[1],
                     "scenario_role": role, "tracker": NAME, "x1": corners[0], "y1": corners[1], "x2": corners[2],
-                    "y2": corners[3], "max_displacement_px": t.far, "new_role": new_role, "dwelt": dwelt,
+                    "y2": corners[3], "duration_s": max(0.0, frame["t"] - t.first[1]), "sensor_id": sensor,
+                    "modality": modality, "source_path": source, "detection_object_id": target, "max_displacement_px": t.far, "new_role": new_role, "dwelt": dwelt,
                 }
             )
         out.extend(sorted(rows, key=lambda r: r["track_id"]))
@@ -218,10 +240,14 @@ def track_stream(
     """Track rows of a frame stream (see :func:`frame_rows`).
 
     Frames may arrive up to ``lateness`` out of order; a frame whose turn has
-    passed is reported with ``status = 'late'`` and never merged silently.
+    passed is reported with ``status = 'late'`` and never merged silently.  A
+    run's end mark removes its state; a frame after it begins the run anew.
     """
     # Detections travel as text: flat columns cross to Python in any batch layout.
-    flat = frames.withColumn("detections", F.to_json("detections"))
+    flat = frames.select(
+        "run_id", F.coalesce("frame_ordinal", F.lit(-1)).alias("frame_ordinal"), F.coalesce("frame_number", F.lit(-1)).alias("frame_number"),
+        "timestamp_s", F.coalesce(F.to_json("detections"), F.lit("[]")).alias("detections"), F.col("frame_ordinal").isNull().alias("is_end"),
+    )
     timed = flat.withColumn("event_time", event_time()).withWatermark("event_time", lateness)
     processor = TrackProcessor(
         float(iou_threshold), int(max_missed_updates), min_hits, float(max_displacement_px),
@@ -274,19 +300,25 @@ STREAK_ROWS = T.StructType(
         T.StructField("timestamp_s", T.DoubleType()),
         T.StructField("label", T.StringType()),
         T.StructField("streak", T.LongType()),
+        T.StructField("score", T.DoubleType()),
+        T.StructField("threshold", T.DoubleType()),
+        T.StructField("margin", T.DoubleType()),
+        T.StructField("anomaly_source", T.StringType()),
     ]
 )
+MEASURES = ("score", "threshold", "margin")
 
 
 class StreakProcessor(StatefulProcessor):
     """Fires once per track when its anomalous streak first reaches ``need`` adjacent frames.
 
     Scores wait until the watermark passes them, so order within a track is
-    restored before they are counted.
+    restored before they are counted.  A track's state is removed when the
+    watermark is ``idle_ms`` past its last score.
     """
 
-    def __init__(self, need: int):
-        self.need = need
+    def __init__(self, need: int, idle_ms: int):
+        self.need, self.idle_ms = need, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -296,19 +328,25 @@ class StreakProcessor(StatefulProcessor):
                 [
                     T.StructField("last", T.LongType()), T.StructField("count", T.LongType()),
                     T.StructField("fired", T.BooleanType()), T.StructField("waiting", T.StringType()),
+                    T.StructField("newest", T.LongType()), T.StructField("alarm", T.LongType()),
                 ]
             ),
         )
 
     def _run(self, key, fresh: list, watermark: int) -> Iterator[pd.DataFrame]:
-        last, count, fired, waiting = self.value.get() if self.value.exists() else (-2, 0, False, "[]")
-        rows = sorted([*json.loads(waiting), *fresh])
+        """Rows are [ordinal, frame number, time, label, anomalous, event time in ms, score, threshold, margin, source]."""
+        if not fresh and not self.value.exists():
+            return
+        last, count, fired, waiting, newest, alarm = self.value.get() if self.value.exists() else (-2, 0, False, "[]", 0, 0)
+        rows = sorted([*json.loads(waiting), *fresh], key=lambda r: r[0])
+        newest = max([newest, *(r[5] for r in fresh)])
         out, rest = [], []
-        for ordinal, number, stamp, label, odd, event_ms in rows:
+        for row in rows:
+            ordinal, number, stamp, label, odd, event_ms, *measured = row
             if fired:
                 break
             if event_ms > watermark:
-                rest.append([ordinal, number, stamp, label, odd, event_ms])
+                rest.append(row)
                 continue
             if ordinal <= last:
                 continue
@@ -316,19 +354,26 @@ class StreakProcessor(StatefulProcessor):
             last = ordinal
             if count >= self.need:
                 fired = True
-                out.append((key[0], key[1], ordinal, number, stamp, label, count))
-        if rest:
+                out.append((key[0], key[1], ordinal, number, stamp, label, count, *measured))
+        if rest and not fired:
             self.handle.registerTimer(min(r[5] for r in rest))
-        self.value.update((last, count, fired, json.dumps([] if fired else rest)))
+        over = newest + self.idle_ms
+        if over <= watermark:
+            self.value.clear()
+        else:
+            if alarm <= watermark:  # one idle timer at a time, moved on when it rings
+                alarm = over
+                self.handle.registerTimer(alarm)
+            self.value.update((last, count, fired, json.dumps([] if fired else rest), newest, alarm))
         if out:
             yield pd.DataFrame(out, columns=STREAK_ROWS.names, dtype=object)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         fresh = [
-            [int(r.frame_ordinal), int(r.frame_number), float(r.timestamp_s), r.label, bool(r.is_anomaly),
-             event_ms(r.timestamp_s)]
+            [int(r.frame_ordinal), int(r.frame_number), float(r.timestamp_s), r.label, bool(r.is_anomaly), event_ms(r.timestamp_s),
+             *(None if pd.isna(v) else float(v) for v in (r.score, r.threshold, r.margin)), r.source if isinstance(r.source, str) else None]
             for batch in rows
-            for r in batch.itertuples(index=False)
+            for r in batch[~batch["is_end"]].itertuples(index=False)
         ]
         yield from self._run(key, fresh, timerValues.getCurrentWatermarkInMs())
 
@@ -341,17 +386,28 @@ class StreakProcessor(StatefulProcessor):
 
 def persistence_stream(
     anomalies: DataFrame, *, min_consecutive: int = 3, severity: str = "warning", lateness: str = "10 seconds",
-    labels: Iterable[str] | None = None,
+    labels: Iterable[str] | None = None, idle_s: float = 3600.0,
 ) -> DataFrame:
-    """Persistent-anomaly events of a score stream (W4 on a stream)."""
+    """Persistent-anomaly events of a score stream (W4 on a stream).
+
+    A track without a score for ``idle_s`` seconds is over: it is forgotten.
+    Rows without a track are end marks.
+    """
+    check_severity(severity)
+    have = set(anomalies.columns)
     timed = (
-        anomalies.filter(label_in(labels))
+        anomalies.filter(label_in(labels) | F.col("track_id").isNull())
         .withColumn("event_time", event_time())
         .withWatermark("event_time", lateness)
-        .select("run_id", "track_id", "frame_ordinal", "frame_number", "timestamp_s", "label", "is_anomaly", "event_time")
+        .select(
+            "run_id", "track_id", *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("frame_ordinal", "frame_number")], "timestamp_s", "label",
+            F.coalesce("is_anomaly", F.lit(False)).alias("is_anomaly"), F.col("track_id").isNull().alias("is_end"),
+            *[(F.col(c) if c in have else F.lit(None)).cast("double").alias(c) for c in MEASURES],
+            (F.col("source") if "source" in have else F.lit(None)).cast("string").alias("source"), "event_time",
+        )
     )
     fired = timed.groupBy("run_id", "track_id").transformWithStateInPandas(
-        statefulProcessor=StreakProcessor(int(min_consecutive)), outputStructType=STREAK_ROWS,
+        statefulProcessor=StreakProcessor(int(min_consecutive), int(idle_s * 1000)), outputStructType=STREAK_ROWS,
         outputMode="Append", timeMode="EventTime",
     )
     return conform(
@@ -365,7 +421,10 @@ def persistence_stream(
                 "Track %d exceeded the normal-activity anomaly threshold for %d consecutive scored observations.",
                 F.col("track_id"), F.col("streak"),
             ).alias("message"),
-            sorted_json(consecutive_observations=F.col("streak")).alias("metadata"),
+            sorted_json(
+                score=F.col("score"), threshold=F.col("threshold"), margin=F.col("margin"),
+                consecutive_observations=F.col("streak"), anomaly_source=F.col("anomaly_source"),
+            ).alias("metadata"),
         ),
         EVENTS,
     )
