@@ -2,10 +2,13 @@
 
 The patterns find assignments, access keys and long hex runs.  The method adds strings that stand in a sensitive
 context (a word such as *key* or *credential* shortly before them) and are novel: a zstandard compressor is primed
-with a dictionary of common identifiers and with the text around the candidate, and the candidate's marginal bytes are
+with a dictionary of identifiers and with the text around the candidate, and the candidate's marginal bytes are
 the difference that it makes to the compressed size.  A name that code around it, the dictionary, or plain letters
 explain costs few bytes per character; a random key costs about as many as its entropy.
 
+The dictionary is learned from the corpus: the parts of compound names (snake_case, dotted, kebab-case) in all whole
+texts, counted once per document with partial sums in each task.  The ``most`` most frequent go to the driver.
+
 Defined results: null and empty texts have no spans.  Spans are in code points, end exclusive.  Every row returns one
 row, repeated or null ids too.  Extra columns are ignored.  Whole texts are scanned, with a window around each
 candidate only for the context, so cost stays linear in the text.
@@ -15,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -33,18 +37,25 @@ KINDS = ["assign", "access", "hex", "novel"]
 
 SENSITIVE = re.compile(r"auth|bearer|cert|credential|key|login|pass|private|pwd|secret|sign|token", re.IGNORECASE | re.ASCII)
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
-# Names that code holds anyway
-IDENTIFIERS = (
-    "access account address admin algorithm amount api application array assert async attribute author auth await base64 begin boolean branch browser bucket buffer build byte "
-    "cache callback catch channel char class client cloud code column command comment commit common component config connection console const constructor container content context cookie core count create credential customer "
-    "data database date debug default define delete description dev device dictionary directory document domain download driver element email enable encode end endpoint engine environment error event example exception execute export extends "
-    "factory false field file filter final find float folder format frame from function generate get github global google group handler hash header height helper hidden host html http https id image import index info init inner input insert instance int interface internal item iterator "
-    "java javascript json key label lambda language layout length level library license limit line link list load local localhost location lock log login long loop main manager map master max member memory message meta method min mode model module mutex "
-    "name namespace native network new next node null number object offset open operator option order output override package page param parent parse partition password path pattern payload permission platform plugin pointer pool port position post prefix print private process product production profile project property protected protocol provider proxy public put python "
-    "query queue random range read record reference region register release remote remove replace report request require reset resource response result return role root route row run runtime sample save schema scope script search secret section security select self send sequence server service session set setting shared signature size socket sort source span sql stack start state static status step storage store stream string struct style submit success suffix super switch sync system "
-    "table target task template test text thread throw time timeout timestamp title token total trace transaction transform tree trigger true try tuple type undefined unique unit update upload uri url usage user username utf8 uuid validate value variable vector verify version view virtual void wait web while width window with worker wrapper write www xml yaml year zone "
-    "0123456789 abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789abcdef aaaaaaaaaaaaaaaa xxxxxxxxxxxxxxxx 0000000000000000 ================ ---------------- ________________ ................"
+#: A compound name, such as snake_case, dotted.name or kebab-case; possessive, so long runs are read once.
+COMPOUND = re.compile(r"(?<![A-Za-z0-9_.-])[A-Za-z][A-Za-z0-9]*+(?:[_.-][A-Za-z0-9]++)++")
+PART = re.compile(r"[A-Z]?[a-z]{3,15}")
+# What the dictionary begins with, before the corpus's own names
+COMMON = (
+    "account address application attribute authorization base64 bearer boolean branch bucket buffer cache callback certificate "
+    "channel client column command commit component config configuration connection console constructor container content context "
+    "credential customer database default description device directory document domain element email enable endpoint engine environment "
+    "error event example execute export factory field filter format function github google handler header height host html https identifier "
+    "image import index input instance integer interface internal javascript label language layout length library license listener localhost "
+    "login manager master memory message metadata method model module namespace native network number object offset operator option output "
+    "package parameter parent password path pattern payload permission platform plugin pointer policy prefix primary private process product "
+    "profile project property protocol provider proxy public python query queue record reference region register release remote report request "
+    "resource response result return schema script search secret section security select sequence server service session setting signature "
+    "source status storage stream string system template thread timeout timestamp token transaction transform update upload username validate value variable version "
+    "0123456789 abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789abcdef aaaaaaaaaaaaaaaa xxxxxxxxxxxxxxxx "
+    "0000000000000000 ================ ---------------- ________________ ................"
 )
+IDENTIFIERS, PARTS_HELD = 1000, 200_000
 NEAR, AROUND, LEAST_BYTES, LEAST_RATE = 48, 400, 10, 0.62
 
 
@@ -60,8 +71,8 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 class Novelty:
     """Marginal compressed bytes of a string, given the text around it and the dictionary of identifiers."""
 
-    def __init__(self, identifiers: str = IDENTIFIERS):
-        self.identifiers = identifiers.encode()
+    def __init__(self, identifiers: str = ""):
+        self.identifiers = f"{COMMON} {identifiers}".encode()
 
     def bytes_of(self, candidate: str, around: str) -> int:
         primed = zstandard.ZstdCompressionDict(self.identifiers + b"\n" + around.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -99,23 +110,57 @@ def _joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{kind}:{begin}:{end}" for begin, end, kind in spans)
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    novelty = Novelty()
+def name_parts(text: str) -> set[str]:
+    """Lower-cased parts of the compound names in a text."""
+    return {p.lower() for name in COMPOUND.findall(text) for p in PART.findall(name)}
+
+
+def _count_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: Counter[str] = Counter()
+
+    def counted() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["part", "n"])
+
     for batch in batches:
-        base, added = [], []
         for text in batch.column("text").to_pylist():
-            base.append(base_spans(text or ""))
-            added.append(novel_spans(text or "", base[-1], novelty))
-        spans = [sorted(b + a, key=lambda s: (s[0], KINDS.index(s[2]))) for b, a in zip(base, added, strict=True)]
-        counts = {k: pa.array([sum(s[2] == k for s in b) for b in base], pa.int64()) for k in KINDS[:3]}
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), *counts.values(), pa.array([hashlib.sha256(_joined(b).encode()).hexdigest() for b in base]),
-             pa.array([_joined(s) for s in spans], pa.string())],
-            ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
-        )
-
-
-def scan_secrets(docs: DataFrame) -> DataFrame:
-    """Counts and spans of the secrets in each row of ``docs`` (``doc_id``, ``text``)."""
+            held.update(name_parts(text or ""))
+            if len(held) >= PARTS_HELD:
+                yield counted()
+                held.clear()
+    yield counted()
+
+
+def common_identifiers(docs: DataFrame, most: int = IDENTIFIERS) -> str:
+    """The name parts that most documents hold, rarest first, as a compressor favours what lies near the end."""
+    parts = docs.select(F.col("text").cast("string")).mapInArrow(_count_parts, "part string, n long")
+    top = parts.groupBy("part").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.col("n").desc(), "part").limit(most)
+    return " ".join(r.part for r in reversed(top.collect()))  # at most ``most`` words
+
+
+def _scanner(identifiers: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        novelty = Novelty(identifiers)
+        for batch in batches:
+            base, added = [], []
+            for text in batch.column("text").to_pylist():
+                base.append(base_spans(text or ""))
+                added.append(novel_spans(text or "", base[-1], novelty))
+            spans = [sorted(b + a, key=lambda s: (s[0], KINDS.index(s[2]))) for b, a in zip(base, added, strict=True)]
+            counts = {k: pa.array([sum(s[2] == k for s in b) for b in base], pa.int64()) for k in KINDS[:3]}
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), *counts.values(), pa.array([hashlib.sha256(_joined(b).encode()).hexdigest() for b in base]),
+                 pa.array([_joined(s) for s in spans], pa.string())],
+                ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
+            )
+
+    return run
+
+
+def scan_secrets(docs: DataFrame, identifiers: str | None = None) -> DataFrame:
+    """Counts and spans of the secrets in each row of ``docs`` (``doc_id``, ``text``).
+
+    ``identifiers`` are the dictionary's words; without them they are learned from ``docs``.
+    """
+    known = common_identifiers(docs) if identifiers is None else identifiers
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(_scan, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return rows.mapInArrow(_scanner(known), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")

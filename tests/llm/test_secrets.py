@@ -39,5 +39,16 @@ def test_novelty():
     assert novel(f"password={key}") == [] and novel("") == []
 
 
+def test_identifiers_are_learned_from_whole_texts(docs_of):
+    filler = "plain prose of no note " * 5000
+    rows = [(i, f"{filler} zorbifex_quandle.snorfle {i}") for i in range(3)] + [(9, "lonely_wombatic"), (10, None), (11, "")]
+    learned = secrets.common_identifiers(docs_of(rows))
+    assert learned.split() == ["zorbifex", "snorfle", "quandle"] and secrets.common_identifiers(docs_of(rows), most=1) == "quandle"
+    name = "zorbifex_quandle_snorfle_zorbifex"
+    cost = [secrets.Novelty(d).bytes_of(name, "") for d in ("", learned)]
+    assert cost[1] < cost[0]
+    assert secrets.name_parts("a.b" * 50_000 + " HttpServer-connectionPool x" * 2) == {"http", "server", "connection", "pool"}
+
+
 def test_empty_table(docs_of):
     assert secrets.scan_secrets(docs_of([])).collect() == []
