@@ -42,7 +42,7 @@ SHAPES = {
     "card": r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])",
 }
 ANY = "|".join(SHAPES.values())
-MAYBE = "[0-9][0-9 ().-]{5}|[0-9]{1,3}[.][0-9]|@"
+MAYBE = "[0-9][0-9 ()./-]{5}|[0-9]{1,3}[.][0-9]|@"
 
 
 def _hash(key: Column, kind: str, r: Column, other: Column) -> Column:

@@ -64,3 +64,14 @@ def test_permutations(spark):
 def test_only_sql_expressions(docs_of):
     plan = P.pseudonymise(docs_of([(1, "x")]))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_values_that_stand_alone_in_a_text(docs_of):
+    samples = {"mail": ["a@b.c"], "address": ["1.2.3.4", "192.168.0.1"], "date": ["1990-05-12", "12.05.1990", "12/05/1990"], "ssn": ["123-45-6789"],
+               "phone": ["976-555-9947", "976.555.9947", "976 555 9947", "(976)555-9947", "+1 (976) 555-9947", "+1976.555.9947"],
+               "card": ["4569074906673314", "4569-0749-0667-3314", "4569 0749 0667 3314"]}
+    assert set(samples) == set(P.SHAPES)
+    for kind, values in samples.items():
+        assert all(re.search(P.SHAPES[kind], v) and re.search(P.MAYBE, v) for v in values), kind
+    texts = [f"born {v} in Rome" for values in samples.values() for v in values]
+    assert [n for _, n in apply(docs_of, texts)] == [1] * len(texts)
