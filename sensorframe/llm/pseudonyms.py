@@ -16,7 +16,8 @@ mail      local part, @ and a domain                    letters stay letters of
                                                         label of the domain stays
 ========  ============================================  ==============================================================
 
-Separators and layout stay.  What fails its check is left as it is.  Texts are split at the matches and put together
+Separators and layout stay.  Cards are looked for in whole runs of digit groups, whatever numbers stand beside them;
+where several readings pass the check, the usual layouts go first.  What fails its check is left as it is.  Texts are split at the matches and put together
 again, so whole texts of any length are handled; texts without digits or an @ are passed on untouched.
 
 Defined results: a null text stays null with 0 values, an empty one empty.  Repeated rows each get the same result.
@@ -25,6 +26,8 @@ Other columns are returned as they came.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +44,13 @@ SHAPES = {
     "phone": r"(?<![0-9A-Za-z(+])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z]|-[0-9])",
     "card": r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])",
 }
-ANY = "|".join(SHAPES.values())
+#: Groups of digits among which cards are looked for; ends before a group that begins a value of another kind.
+_OTHERS = "|".join(v for k, v in SHAPES.items() if k not in ("phone", "card"))
+_PHONE = SHAPES["phone"].replace(r"(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}", r"(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}")
+RUN = rf"(?<![0-9A-Za-z])(?=[0-9](?:[ -]?[0-9]){{12}})[0-9]++(?![A-Za-z])(?:[ -](?!{_OTHERS}|{_PHONE})[0-9]++(?![A-Za-z]))*+"
+#: Cards as they are mostly written and begun, which win over other runs of groups that pass the check.
+USUAL = r"^(?:[2-6][0-9]{12,18}|[2-6][0-9]{3}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|3[0-9]{3}([ -])[0-9]{6}\2[0-9]{4,5})$"
+ANY = "|".join([*(v for k, v in SHAPES.items() if k != "card"), RUN])
 MAYBE = "[0-9][0-9 ()./-]{5}|[0-9]{1,3}[.][0-9]|@"
 
 
@@ -123,6 +132,70 @@ def _card(m: Column, digits: Column, key: Column) -> Column:
     return F.when(_luhn_sum(digits, 1) % 10 == 0, _laid_out(m, F.concat(fresh, check.cast("string"))))
 
 
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with ``value`` computed once."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _joined(pieces: Column, begin: Column, end: Column) -> Column:
+    return F.array_join(F.slice(pieces, begin + 1, end - begin), "")
+
+
+def _unchanged(text: Column) -> Column:
+    return F.struct(text.alias("was"), text.alias("now"))
+
+
+def _cards(run: Column, key: Column) -> Column:
+    """A run of groups cut into parts ``was`` and ``now``: its cards, and what stands between them.
+
+    From the left, the best card that begins at a group is taken, unless a card of a usual layout begins inside it.
+    """
+    def cut(pieces: Column) -> Column:
+        n = F.size(pieces)
+
+        def beginning(i: Column) -> Column:
+            def whole(j: Column) -> Column:
+                text = F.regexp_replace(_joined(pieces, i, j + 1), "[ -]$", "")
+                return F.struct(F.when(text.rlike(USUAL), 0).otherwise(1).alias("order"), (-F.length(text)).alias("size"), (j + 1).alias("to"), text.alias("was"))
+
+            def fine(c: Column) -> Column:
+                return c["was"].rlike("^[0-9](?:[ -]?[0-9]){12,18}$") & (_luhn_sum(F.regexp_replace(c["was"], "[^0-9]", ""), 1) % 10 == 0)
+
+            return F.sort_array(F.filter(F.transform(F.sequence(i, F.least(i + 18, n - 1)), whole), fine))
+
+        def taken(found: Column) -> Column:
+            def step(s: Column, i: Column) -> Column:
+                def free(c: Column) -> Column:
+                    inside = F.slice(found, i + 2, c["to"] - i - 1)
+                    return (c["order"] == 0) | ~F.exists(inside, lambda x: F.exists(x, lambda y: y["order"] == 0))
+
+                def picked(best: Column) -> Column:
+                    one = F.struct(i.alias("begin"), best["to"].alias("to"), best["was"].alias("was"))
+                    return F.when(best.isNotNull(), F.struct(best["to"].alias("next"), F.concat(s["cards"], F.array(one)).alias("cards"))).otherwise(s)
+
+                return F.when((i < s["next"]) | (F.size(found[i]) == 0), s).otherwise(_let(F.try_element_at(F.filter(found[i], free), F.lit(1)), picked))
+
+            begin = F.struct(F.lit(0).alias("next"), F.array().cast("array<struct<begin:int,to:int,was:string>>").alias("cards"))
+            return F.aggregate(F.sequence(F.lit(0), n - 1), begin, step)["cards"]
+
+        def parts(cards: Column) -> Column:
+            def end(k: Column) -> Column:
+                return F.coalesce(F.try_element_at(cards, k)["to"], F.lit(0))
+
+            def part(c: Column, k: Column) -> Column:
+                before = F.when(k > 0, end(F.greatest(k, F.lit(1)))).otherwise(0)
+                digits = F.regexp_replace(c["was"], "[^0-9]", "")
+                card = F.struct(c["was"].alias("was"), F.coalesce(_card(c["was"], digits, key), c["was"]).alias("now"))
+                return F.array(_unchanged(_joined(pieces, before, c["begin"])), card, _unchanged(F.regexp_extract(pieces[c["to"] - 1], "[ -]?$", 0)))
+
+            last = F.when(F.size(cards) > 0, end(F.greatest(F.size(cards), F.lit(1)))).otherwise(0)
+            return F.concat(F.flatten(F.transform(cards, part)), F.array(_unchanged(_joined(pieces, last, n))))
+
+        return _let(_let(F.transform(F.sequence(F.lit(0), n - 1), beginning), taken), parts)
+
+    return _let(F.regexp_extract_all(run, F.lit("[0-9]+[ -]?"), F.lit(0)), cut)
+
+
 def _phone(m: Column, digits: Column, key: Column) -> Column:
     ten = F.substring(digits, -10, 10)
     area, exchange, line = _number(ten, 1, 3), _number(ten, 4, 3), _number(ten, 7, 4)
@@ -168,19 +241,19 @@ def _mail(m: Column, digits: Column, key: Column) -> Column:
     return F.concat(feistel_text(front, key, "mail"), last)
 
 
-MAKERS = {"mail": _mail, "address": _address, "date": _date, "ssn": _ssn, "phone": _phone, "card": _card}
+MAKERS = {"mail": _mail, "address": _address, "date": _date, "ssn": _ssn, "phone": _phone}
 
 
 def pseudonym(match: Column, key: Column) -> Column:
-    """The pseudonym of a match, or the match itself where it fails its check."""
+    """A match as parts ``was`` and ``now``, which are equal where the part fails its check."""
     digits = F.regexp_replace(match, "[^0-9]", "")
-    out = match
-    for kind in reversed(SHAPES):
+    out = F.when(match.rlike("^[0-9]+(?:[ -][0-9]+)*+$"), _cards(match, key)).otherwise(F.array(_unchanged(match)))
+    for kind in reversed(MAKERS):
         # looking around was done when the match was found
         shape = SHAPES[kind][SHAPES[kind].index(")") + 1 :]
         shape = shape[: shape.rindex("(?!")] if "(?!" in shape else shape
         made = F.coalesce(MAKERS[kind](match, digits, key), match)
-        out = F.when(match.rlike(f"^(?:{shape})$"), made).otherwise(out)
+        out = F.when(match.rlike(f"^(?:{shape})$"), F.array(F.struct(match.alias("was"), made.alias("now")))).otherwise(out)
     return out
 
 
@@ -191,13 +264,13 @@ def pseudonymise(docs: DataFrame, key: str = KEY, column: str = "text", count: s
     """
     text, secret, made = F.col(column), F.lit(key), unclashed(docs, [count or ""])
     matches = F.when(text.rlike(MAYBE), F.regexp_extract_all(text, F.lit(f"({ANY})"), 1))
-    fresh = F.transform(matches, lambda m: F.struct(m.alias("was"), pseudonym(m, secret).alias("now")))
+    fresh = F.transform(matches, lambda m: pseudonym(m, secret))
     out = docs.withColumn(made, fresh)
-    rest = F.zip_with(F.split(text, ANY, -1), F.concat(F.transform(made, lambda s: s["now"]), F.array(F.lit(""))), lambda a, b: F.concat(a, b))
+    rest = F.zip_with(F.split(text, ANY, -1), F.concat(F.transform(made, lambda m: F.array_join(F.transform(m, lambda s: s["now"]), "")), F.array(F.lit(""))), lambda a, b: F.concat(a, b))
     out = out.withColumn(column, F.when(F.size(made) > 0, F.array_join(rest, "")).otherwise(text))
     if length:
         out = out.withColumn(length, F.when(F.size(made) > 0, F.length(column)).otherwise(F.col(length)).cast(docs.schema[length].dataType))
     if count:
-        changed = F.size(F.filter(made, lambda s: s["was"] != s["now"]))
+        changed = F.size(F.filter(F.flatten(made), lambda s: s["was"] != s["now"]))
         out = out.withColumn(count, F.coalesce(F.greatest(changed, F.lit(0)), F.lit(0)).cast("long"))
     return out.drop(made)

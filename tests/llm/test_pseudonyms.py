@@ -75,3 +75,21 @@ def test_values_that_stand_alone_in_a_text(docs_of):
         assert all(re.search(P.SHAPES[kind], v) and re.search(P.MAYBE, v) for v in values), kind
     texts = [f"born {v} in Rome" for values in samples.values() for v in values]
     assert [n for _, n in apply(docs_of, texts)] == [1] * len(texts)
+
+
+def test_cards_beside_other_numbers(docs_of):
+    card, other = "4111 1111 1111 1111", "5500 0000 0000 0004"
+    values = ["2024-01-02", "123-45-6789", "976-555-9947", "+1 (976) 555-9947", "192.168.0.1", "12.05.1990", "123@x.com"]
+    alone, second, *made = (t for t, _ in apply(docs_of, [card, other, *values]))
+    around = [("card ", " 123"), ("", " 12 items"), ("7 ", ""), ("12345 ", ""), ("1 2 3 ", " 4 5 6"), ("99 ", " 1234 99"), ("1234567890123456 ", " 12")]
+    want = {a + card + b: (a + alone + b, 1) for a, b in around}
+    want |= {a + card.replace(" ", "") + b: (a + alone.replace(" ", "") + b, 1) for a, b in around}
+    want |= {f"{card} {other}": (f"{alone} {second}", 2), f"7 {card} 123 {other} 12": (f"7 {alone} 123 {second} 12", 2)}
+    for value, m in zip(values, made, strict=True):
+        want |= {f"{card} {value}": (f"{alone} {m}", 2), f"{value} {card}": (f"{m} {alone}", 2), f"12345 {value} 12345 {card}": (f"12345 {m} 12345 {alone}", 2)}
+    assert apply(docs_of, list(want)) == list(want.values())
+
+
+def test_long_runs_of_numbers(docs_of):
+    numbers = " 1 2 3" * 3000
+    assert apply(docs_of, [f"4569074906673314{numbers}"])[0][1] >= 1
