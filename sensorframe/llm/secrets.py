@@ -1,7 +1,7 @@
 """Secret scan: fixed patterns, plus strings that compression can't explain.
 
 The patterns find assignments, access keys and long hex runs.  The method adds strings that stand in a sensitive
-context (a word such as *key* or *credential* shortly before them) and are novel: a zstandard compressor is primed
+context (a word such as *key* or *credential* shortly before them, also in the name of ``name=value``) and are novel: a zstandard compressor is primed
 with a dictionary of identifiers and with the text around the candidate, and the candidate's marginal bytes are
 the difference that it makes to the compressed size.  A name that code around it, the dictionary, or plain letters
 explain costs few bytes per character; a random key costs about as many as its entropy.
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -37,6 +38,8 @@ KINDS = ["assign", "access", "hex", "novel"]
 
 SENSITIVE = re.compile(r"auth|bearer|cert|credential|key|login|pass|private|pwd|secret|sign|token", re.IGNORECASE | re.ASCII)
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+#: What stands between single ``=`` of a candidate; signs at its end pad the last value.
+VALUE = re.compile(r"[A-Za-z0-9+/_.-]{16,}(?:=+\Z)?")
 #: A compound name, such as snake_case, dotted.name or kebab-case; possessive, so long runs are read once.
 COMPOUND = re.compile(r"(?<![A-Za-z0-9_.-])[A-Za-z][A-Za-z0-9]*+(?:[_.-][A-Za-z0-9]++)++")
 PART = re.compile(r"[A-Z]?[a-z]{3,15}")
@@ -88,21 +91,25 @@ def novel_spans(text: str, base: list[tuple[int, int, str]], novelty: Novelty) -
     sensitive = [m.end() for m in SENSITIVE.finditer(text)]
     if not sensitive:
         return out
-    k = 0
+
+    def is_novel(begin: int, end: int) -> bool:
+        k = bisect_right(sensitive, begin)
+        if ends > begin or not k or sensitive[k - 1] <= begin - NEAR:
+            return False
+        value = text[begin:end]
+        if value.isalpha() and (value.islower() or value[1:].islower()):  # a word
+            return False
+        around = text[max(0, begin - AROUND) : begin] + text[end : end + AROUND]
+        cost = novelty.bytes_of(value, around)
+        return cost >= LEAST_BYTES and cost >= LEAST_RATE * len(value)
+
     for m in CANDIDATE.finditer(text):
         while now[0] < m.end():
             ends, now = max(ends, now[1]), next(taken)
-        while k < len(sensitive) and sensitive[k] <= m.start() - NEAR:
-            k += 1
-        if ends > m.start() or k == len(sensitive) or sensitive[k] > m.start():
-            continue
-        value = m[0]
-        if value.isalpha() and (value.islower() or value[1:].islower()):  # a word
-            continue
-        around = text[max(0, m.start() - AROUND) : m.start()] + text[m.end() : m.end() + AROUND]
-        cost = novelty.bytes_of(value, around)
-        if cost >= LEAST_BYTES and cost >= LEAST_RATE * len(value):
-            out.append((m.start(), m.end(), "novel"))
+        # values behind a leading name, whose words are context, else the whole
+        values = [(m.start() + v.start(), m.start() + v.end()) for v in VALUE.finditer(m[0]) if m[0].find("=", 0, v.start()) >= 0]
+        found = [v for v in values if is_novel(*v)] or [v for v in [m.span()] if is_novel(*v)]
+        out += [(begin, end, "novel") for begin, end in found]
     return out
 
 

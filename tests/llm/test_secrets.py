@@ -52,3 +52,11 @@ def test_identifiers_are_learned_from_whole_texts(docs_of):
 
 def test_empty_table(docs_of):
     assert secrets.scan_secrets(docs_of([])).collect() == []
+
+
+def test_values_behind_a_name():
+    key = "Zk3vQ9xT7pLm2RwY8sBn4HdF"
+    for text in ("export AWS_SECRET_ACCESS_KEY={}", "private_key={}", "auth.credential={} end", "https://a.b/c?key={}&x=1", "private_key = {}", "a=1 my_key={}", "x=private_key={}", "private_key={}="):
+        assert [v.rstrip("=") for v in novel(text.format(key))] == [key], text
+    assert novel("login id=Zk3vQ9xT7pLm2R") == ["id=Zk3vQ9xT7pLm2R"]  # too short behind the name, so the whole is judged
+    assert novel(f"some_long_plain_number={key}") == [] and novel("private_key=configuration_connection_manager_instance") == []
