@@ -4,7 +4,9 @@ The patterns find assignments, access keys and long hex runs.  The method adds s
 context (a word such as *key* or *credential* shortly before them, also in the name of ``name=value``) and are novel: a zstandard compressor is primed
 with a dictionary of identifiers and with the text around the candidate, and the candidate's marginal bytes are
 the difference that it makes to the compressed size.  A name that code around it, the dictionary, or plain letters
-explain costs few bytes per character; a random key costs about as many as its entropy.
+explain costs few bytes per character; a random key costs about as many as its entropy, which for few different
+characters is less.  Copies of the candidate around it don't explain it, unless one stood before it without a sensitive
+word.
 
 The dictionary is learned from the corpus: the parts of compound names (snake_case, dotted, kebab-case) in all whole
 texts, counted once per document with partial sums in each task.  The ``most`` most frequent go to the driver.
@@ -21,6 +23,7 @@ import re
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from math import log2
 
 import pyarrow as pa
 import zstandard
@@ -60,6 +63,10 @@ COMMON = (
 )
 IDENTIFIERS, PARTS_HELD = 1000, 200_000
 NEAR, AROUND, LEAST_BYTES, LEAST_RATE = 48, 400, 10, 0.62
+#: Share of the entropy of random strings over the same alphabet, and the sizes of what alphabets are made of.
+LEAST_SHARE = 0.9
+ALPHABETS = [(re.compile("[0-9]"), 10), (re.compile("[a-z]"), 26), (re.compile("[A-Z]"), 26), (re.compile("[^0-9A-Za-z]"), 5)]
+HEXES = re.compile("[0-9a-f]+|[0-9A-F]+")
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -84,6 +91,14 @@ class Novelty:
         return len(coder.compress(lead + b" " + candidate.encode())) - len(coder.compress(lead + b" "))
 
 
+def least_rate(value: str) -> float:
+    """Bytes a character from which a value is novel; a compressor spends less on random strings over few characters."""
+    size = sum(n for kind, n in ALPHABETS if kind.search(value))
+    if HEXES.fullmatch(value):
+        size = min(size, 16)
+    return min(LEAST_RATE, LEAST_SHARE * log2(size) / 8)
+
+
 def novel_spans(text: str, base: list[tuple[int, int, str]], novelty: Novelty) -> list[tuple[int, int, str]]:
     """Candidates in sensitive context, outside the base spans, that cost too many bytes to be a name or a word."""
     out, taken = [], iter([*base, (len(text) + 1, len(text) + 1, "")])
@@ -91,17 +106,23 @@ def novel_spans(text: str, base: list[tuple[int, int, str]], novelty: Novelty) -
     sensitive = [m.end() for m in SENSITIVE.finditer(text)]
     if not sensitive:
         return out
+    unasked: dict[str, int] = {}  # where a value stood last without a sensitive word before it, which explains it nearby
 
     def is_novel(begin: int, end: int) -> bool:
         k = bisect_right(sensitive, begin)
+        value = text[begin:end]
         if ends > begin or not k or sensitive[k - 1] <= begin - NEAR:
+            unasked[value] = begin
             return False
-        value = text[begin:end]
         if value.isalpha() and (value.islower() or value[1:].islower()):  # a word
             return False
-        around = text[max(0, begin - AROUND) : begin] + text[end : end + AROUND]
-        cost = novelty.bytes_of(value, around)
-        return cost >= LEAST_BYTES and cost >= LEAST_RATE * len(value)
+        # copies at the places of the window are blanked, those cut by its edge too
+        blank, far = "\n" * len(value), AROUND + len(value)
+        before = text[max(0, begin - far) : begin]
+        if value not in unasked or unasked[value] < begin - AROUND:
+            before = before.replace(value, blank)
+        cost = novelty.bytes_of(value, before[-AROUND:] + text[end : end + far].replace(value, blank)[:AROUND])
+        return cost >= LEAST_BYTES and cost >= least_rate(value) * len(value)
 
     for m in CANDIDATE.finditer(text):
         while now[0] < m.end():

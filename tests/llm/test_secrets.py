@@ -60,3 +60,20 @@ def test_values_behind_a_name():
         assert [v.rstrip("=") for v in novel(text.format(key))] == [key], text
     assert novel("login id=Zk3vQ9xT7pLm2R") == ["id=Zk3vQ9xT7pLm2R"]  # too short behind the name, so the whole is judged
     assert novel(f"some_long_plain_number={key}") == [] and novel("private_key=configuration_connection_manager_instance") == []
+
+
+def test_copies_in_sensitive_context_do_not_explain_each_other():
+    r = random.Random(2)
+    for n in (24, 300):
+        key = "".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=n))
+        assert novel(f"private key {key}\n" * 3) == [key] * 3
+        assert novel(f"private key {key}\nand what stands in plain: {'-' * 60} {key}") == [key]
+
+
+def test_long_keys_over_small_alphabets():
+    r = random.Random(3)
+    for letters in ("0123456789ABCDEF", "GHIJKLMNOPQRSTUV", "abcdefghijklmnopqrstuvwxyz0123456789"):
+        for n in (32, 64, 128, 256, 1000):
+            key = "".join(r.choices(letters, k=n))
+            assert novel(f"private key {key} end") == [key], (letters, n)
+    assert novel("private key " + "0123456789" * 30) == [] and novel("private " + "configuration_connection_manager_instance_" * 4) == []
