@@ -9,9 +9,11 @@ kind      check                                         permuted set
 ========  ============================================  ==============================================================
 card      13 to 19 digits with a right check digit      all such numbers of that length; the check digit is made anew
 phone     North American, area and exchange from 200    all of them: 80,000 x 80,000
+phone     others of ten digits behind a country code    all of them: 60,000 x 60,000
 ssn       area 1-899 but 666, group and serial not 0    all of them: 88,902 x 9,999
 address   four numbers up to 255, no leading zeros      all of them: 65,536 x 65,536
 date      a date of the calendar, 1800 to 2199          the days of 400 years: 27 x 5,411
+date      mm/dd where dd/mm is none                     their days from the 13th on: 9 x 9,833
 mail      local part, @ and a domain                    letters stay letters of their case, digits digits; the last
                                                         label of the domain stays
 ========  ============================================  ==============================================================
@@ -202,8 +204,16 @@ def _phone(m: Column, digits: Column, key: Column) -> Column:
     drawn = feistel(((area - 200) * 800 + exchange - 200) * 10000 + line, 80_000, 80_000, key, "phone")
     pair = F.floor(drawn / 10000)
     fresh = F.concat(_padded(F.floor(pair / 800) + 200, 3), _padded(pair % 800 + 200, 3), _padded(drawn % 10000, 4))
+    # the pairs of area and exchange that are left: 200 x 1000 with a low area, then 800 x 200 with a low exchange
+    low = F.when(area < 200, area * 1000 + exchange).otherwise(200_000 + (area - 200) * 200 + exchange)
+    drawn = feistel(low * 10000 + line, 60_000, 60_000, key, "low phone")
+    pair = F.floor(drawn / 10000)
+    other = pair - 200_000
+    area_exchange = F.when(pair < 200_000, _padded(pair, 6)).otherwise(F.concat(_padded(F.floor(other / 200) + 200, 3), _padded(other % 200, 3)))
+    rest = F.concat(area_exchange, _padded(drawn % 10000, 4))
     lead = F.substring(digits, F.lit(1), F.length(digits) - 10)
-    return F.when((area >= 200) & (exchange >= 200), _laid_out(m, F.concat(lead, fresh)))
+    strict = (area >= 200) & (exchange >= 200)
+    return F.when(strict | (lead == "1"), _laid_out(m, F.concat(lead, F.when(strict, fresh).otherwise(rest))))
 
 
 def _ssn(m: Column, digits: Column, key: Column) -> Column:
@@ -225,6 +235,25 @@ def _address(m: Column, digits: Column, key: Column) -> Column:
     return F.when(F.forall(parts, lambda p: (p.cast("int") <= 255) & ((p == "0") | ~p.startswith("0"))), fresh)
 
 
+def _late_day(day: Column, key: Column) -> Column:
+    """A permutation of the days of 400 years that are the 13th of their month or later, so can't be read as dd/mm."""
+    zero = F.lit("1800-01-01").cast("date")
+
+    def before(month: Column) -> Column:
+        return F.datediff(F.add_months(zero, month), zero) - 12 * month
+
+    at = (F.year(day) - 1800) * 12 + F.month(day) - 1
+    drawn = feistel((before(at) + F.dayofmonth(day) - 13).cast("long"), 9, 9833, key, "month first").cast("int")
+
+    def made(drawn: Column) -> Column:
+        guess = F.floor(drawn * 4800 / 88_497).cast("int")
+        near = F.sequence(F.greatest(guess - 4, F.lit(0)), F.least(guess + 4, F.lit(4799)))
+        month = F.array_max(F.filter(near, lambda k: before(k) <= drawn))
+        return F.date_add(F.add_months(zero, month), drawn - before(month) + 12)
+
+    return _let(drawn, made)
+
+
 def _date(m: Column, digits: Column, key: Column) -> Column:
     iso = m.substr(5, 1) == "-"
     day = F.when(iso, F.try_to_date(m, "yyyy-MM-dd")).otherwise(F.try_to_date(F.translate(m, "/", "."), "dd.MM.yyyy"))
@@ -232,7 +261,9 @@ def _date(m: Column, digits: Column, key: Column) -> Column:
     drawn = F.date_add(zero, feistel(F.datediff(day, zero).cast("long"), 27, 5411, key, "date").cast("int"))
     written = F.when(iso, F.date_format(drawn, "yyyy-MM-dd")).otherwise(F.date_format(drawn, "dd.MM.yyyy"))
     fine = day.isNotNull() & F.year(day).between(1800, 2199)
-    return F.when(fine, F.when(iso, written).otherwise(_laid_out(m, F.regexp_replace(written, "[.]", ""))))
+    month_first = F.try_to_date(F.translate(m, "/", "."), "MM.dd.yyyy")
+    late = ~iso & day.isNull() & F.year(month_first).between(1800, 2199)
+    return F.when(late, _laid_out(m, F.date_format(_late_day(month_first, key), "MMddyyyy"))).when(fine, F.when(iso, written).otherwise(_laid_out(m, F.regexp_replace(written, "[.]", ""))))
 
 
 def _mail(m: Column, digits: Column, key: Column) -> Column:

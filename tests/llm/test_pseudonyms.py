@@ -93,3 +93,18 @@ def test_cards_beside_other_numbers(docs_of):
 def test_long_runs_of_numbers(docs_of):
     numbers = " 1 2 3" * 3000
     assert apply(docs_of, [f"4569074906673314{numbers}"])[0][1] >= 1
+
+
+def test_low_phones_with_a_country_code_and_month_first(docs_of, spark):
+    texts = ["+1 (017) 555-7713", "1-976-155-9947", "12/25/1990", "02.29.2024", "(017) 555-7713", "02/30/2024"]
+    got = apply(docs_of, texts)
+    assert [n for _, n in got] == [1, 1, 1, 1, 0, 0]
+    for (text, _), was in zip(got[:4], texts, strict=False):
+        assert re.sub("[0-9]", "9", text) == re.sub("[0-9]", "9", was)
+    for text, _ in got[:2]:
+        ten = re.sub("[^0-9]", "", text)[1:]
+        assert len(ten) == 10 and (int(ten[:3]) < 200 or int(ten[3:6]) < 200)
+    assert dt.datetime.strptime(got[2][0], "%m/%d/%Y").day > 12 and dt.datetime.strptime(got[3][0], "%m.%d.%Y").day > 12
+    days = spark.range(146_097).select(F.date_add(F.lit("1800-01-01").cast("date"), F.col("id").cast("int")).alias("d")).where("day(d) > 12")
+    made = days.select(P._late_day(F.col("d"), F.lit("k")).alias("d")).where("day(d) > 12 and year(d) between 1800 and 2199")
+    assert made.distinct().count() == days.count() == 9 * 9833
