@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorframe.llm import hosts, lattice, minhash, packing, pseudonyms, rollups, secrets, tiling, toxicity, zipwarc
+from sensorframe.llm import chat, hosts, lattice, minhash, negatives, packing, pseudonyms, rollups, secrets, spelling, tiling, toxicity, zipwarc
 from sensorframe.llm.common import table
 
 
@@ -53,5 +53,30 @@ def op10_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.near_vectors(table(spark, sf_dir, "embeddings"), least=0.98)
 
 
-QUERIES = {f.__name__: f for f in (op1_bm25_packing, op2_feistel, op3_reputation, op4_rollups, op5_minhash, op6_factorization, op7_novelty, op8_tiling, op9_zip_warc, op10_lattice)}
-ORACLES = {"op3_reputation": hosts.judge_sql(), "op4_rollups": rollups.HISTORY_SQL, "op9_zip_warc": zipwarc.ROUND_TRIP_SQL}
+def op11_reduced_alphabet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_budgeted_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digests(chat.windows(chat.with_control(table(spark, sf_dir, "conversations"))))
+
+
+def op13_hilbert_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("long")
+    shifted = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", shifted), F.col("vec_id") % 100 == 0)
+
+
+OPERATORS = (
+    op1_bm25_packing, op2_feistel, op3_reputation, op4_rollups, op5_minhash, op6_factorization, op7_novelty, op8_tiling, op9_zip_warc, op10_lattice,
+    op11_reduced_alphabet, op12_budgeted_windows, op13_hilbert_negatives,
+)
+QUERIES = {f.__name__: f for f in OPERATORS}
+ORACLES = {
+    "op3_reputation": hosts.judge_sql(),
+    "op4_rollups": rollups.HISTORY_SQL,
+    "op9_zip_warc": zipwarc.ROUND_TRIP_SQL,
+    "op11_reduced_alphabet": spelling.SPELLING_SQL,
+    "op12_budgeted_windows": chat.DIGESTS_SQL,
+    "op13_hilbert_negatives": negatives.HARD_NEGATIVES_SQL,
+}

@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are absent")
 
 
-@pytest.mark.parametrize("name", ["op3_reputation", "op4_rollups", "op9_zip_warc"])
+@pytest.mark.parametrize("name", ["op3_reputation", "op4_rollups", "op9_zip_warc", "op11_reduced_alphabet", "op12_budgeted_windows", "op13_hilbert_negatives"])
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
@@ -23,7 +23,7 @@ def test_query_equals_sql(spark, name):
 
 def test_every_operator_has_one_query():
     names = [n for n in entry_point.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in entry_point.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in entry_point.queries()
 
 
 def test_stages_keep_columns_and_clean_rows(spark, docs_of):
