@@ -185,7 +185,7 @@ def digests_sql(budget: int = BUDGET, history: int = HISTORY, history_tokens: in
     """The digests from the table itself; the sizes of windows by the same rule, with plain window sums."""
     marks = len(TURN) + len(TEXT) + len(END)
     back = " ".join(
-        f"""UNION ALL SELECT w.conv_id, t.chars FROM spans w JOIN placed t ON t.conv_id IS NOT DISTINCT FROM w.conv_id AND t.pos = w.at - {d} AND NOT t.leading
+        f"""UNION ALL SELECT w.conv_id, t.chars FROM spans w JOIN placed t ON t.conv_id IS NOT DISTINCT FROM w.conv_id AND t.pos = w.at - {d} AND NOT t.is_first
           WHERE w.begin - t.start <= least(w.room - w.fresh, {history_tokens})"""
         for d in range(1, history + 1)
     )
@@ -198,14 +198,14 @@ def digests_sql(budget: int = BUDGET, history: int = HISTORY, history_tokens: in
     sums AS (SELECT *, row_number() OVER o AS pos, sum(tokens) OVER (o ROWS UNBOUNDED PRECEDING) - tokens AS before FROM counted
       WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, body)),
     led AS (SELECT *, coalesce(max(CASE WHEN pos = 1 AND role = 'system' THEN tokens END) OVER (PARTITION BY conv_id), 0) AS system FROM sums),
-    roomy AS (SELECT *, before - system AS start, greatest({budget} - system, 2)::BIGINT AS room, pos = 1 AND system > 0 AS leading,
+    roomy AS (SELECT *, before - system AS start, greatest({budget} - system, 2)::BIGINT AS room, pos = 1 AND system > 0 AS is_first,
       length(name) + length(body) + {marks} AS chars FROM led),
-    blocks AS (SELECT *, CASE WHEN leading THEN 0 ELSE (start // (room * 3 // 4)) END AS block FROM roomy),
-    placed AS (SELECT *, (NOT leading AND start + tokens > block * (room * 3 // 4) + room)::INTEGER AS part FROM blocks),
+    blocks AS (SELECT *, CASE WHEN is_first THEN 0 ELSE (start // (room * 3 // 4)) END AS block FROM roomy),
+    placed AS (SELECT *, (NOT is_first AND start + tokens > block * (room * 3 // 4) + room)::INTEGER AS part FROM blocks),
     spans AS (SELECT conv_id, block, part, min(pos) AS at, min(start) AS begin, sum(tokens) AS fresh, min(room) AS room, max(system) > 0 AS led
-      FROM placed WHERE NOT leading GROUP BY ALL),
+      FROM placed WHERE NOT is_first GROUP BY ALL),
     written AS (SELECT conv_id, chars FROM placed {back}
-      UNION ALL SELECT w.conv_id, t.chars FROM spans w JOIN placed t ON t.conv_id IS NOT DISTINCT FROM w.conv_id AND t.leading WHERE w.led AND NOT (w.block = 0 AND w.part = 0)),
+      UNION ALL SELECT w.conv_id, t.chars FROM spans w JOIN placed t ON t.conv_id IS NOT DISTINCT FROM w.conv_id AND t.is_first WHERE w.led AND NOT (w.block = 0 AND w.part = 0)),
     size AS (SELECT conv_id, sum(chars)::BIGINT AS formatted_chars FROM written GROUP BY conv_id),
     content AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
