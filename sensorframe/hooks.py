@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .operators.events import union_events
+from .operators.user_tracking import track_in_chunks
 from .schemas import DETECTIONS
 
 Frames = Iterator[pd.DataFrame]
@@ -83,13 +84,22 @@ def track_with(
     make_tracker: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]],
     schema: T.StructType,
     keys: Sequence[str] = ("run_id", "label"),
+    *,
+    chunk_frames: int | None = None,
+    warmup_frames: int = 64,
 ) -> DataFrame:
     """Run a user tracker (X3) frame by frame, a fresh one per key.
 
     ``make_tracker()`` returns ``update(frame_rows) -> rows``.  Partitions are
     sorted and streamed, so only the tracker's own state and one frame are in
-    memory; keys should be as fine as the algorithm allows.
+    memory; keys should be as fine as the algorithm allows.  A key is then one task.
+
+    With ``chunk_frames`` a key runs in chunks of so many frames at once, with the same rows.
+    ``make_tracker()`` then returns an object that can hand over its state
+    (``operators.user_tracking``); others are refused.
     """
+    if chunk_frames is not None:
+        return track_in_chunks(detections, make_tracker, schema, keys, chunk_frames=chunk_frames, warmup_frames=warmup_frames)
     keys = list(keys)
     order = ["frame_ordinal", "detection_index"]
 

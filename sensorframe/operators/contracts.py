@@ -84,10 +84,9 @@ def validate_frame_manifest(frames: DataFrame, listing: DataFrame | None = None)
     return frames
 
 
-def sensor_run_violations(events: DataFrame, manifests: DataFrame) -> DataFrame:
-    """Per run: sensor id present, modality known, event severities known (V2)."""
-    require_columns(events, EVENT_COLUMNS, "events")
-    runs = _violations(
+def sensor_manifest_violations(manifests: DataFrame) -> DataFrame:
+    """Per run: sensor id present, modality known (V2)."""
+    return _violations(
         manifests,
         ["run_id"],
         {
@@ -95,8 +94,30 @@ def sensor_run_violations(events: DataFrame, manifests: DataFrame) -> DataFrame:
             "unsupported_modality": ~F.col("modality").isin(*MODALITIES),
         },
     )
+
+
+def sensor_run_violations(events: DataFrame, manifests: DataFrame) -> DataFrame:
+    """Per run: sensor id present, modality known, event severities known (V2)."""
+    require_columns(events, EVENT_COLUMNS, "events")
     severities = _violations(events, ["run_id"], {"unsupported_severity": ~F.col("severity").isin(*SEVERITIES)})
-    return runs.unionByName(severities)
+    return sensor_manifest_violations(manifests).unionByName(severities)
+
+
+def require_sensor_runs(manifests: DataFrame, without_events: DataFrame | None = None) -> None:
+    """Raise where a run breaks V2, or is among ``without_events`` (``run_id``)."""
+    broken = sensor_manifest_violations(manifests).filter("violations > 0").select("run_id", "check")
+    if without_events is not None:
+        broken = broken.unionByName(without_events.select("run_id", F.lit("no_events_file").alias("check")))
+    found = broken.limit(4).collect()
+    if found:
+        raise ContractError("; ".join(f"run {b.run_id}: {b.check}" for b in found))
+
+
+def known_severities(events: DataFrame) -> DataFrame:
+    """``events``; a severity outside the vocabulary raises when it is read (V2)."""
+    require_columns(events, EVENT_COLUMNS, "events")
+    wrong = F.raise_error(F.format_string("event %s of run %s has severity %s", "event_id", "run_id", "severity")).cast("boolean")
+    return events.filter(F.when(F.coalesce("severity", F.lit("")).isin(*SEVERITIES), True).otherwise(wrong))
 
 
 def fusion_input_violations(manifests: DataFrame, *, min_sensors: int = 2, scope: Iterable[str] = ()) -> DataFrame:

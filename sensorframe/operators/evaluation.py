@@ -28,6 +28,7 @@ from ..functions.text import truthy
 from ..runtime import materialize
 from ..schemas import MATCH_COLUMNS
 from .contracts import require_columns
+from .crowds import match_crowd
 from .handoff import changes
 from .sequence import number_rows
 
@@ -262,18 +263,22 @@ def match_predictions(
 
     One shuffle brings a frame's boxes of one class together.  A frame is one
     picture, so groups are small; groups above ``crowd`` rows are found by a
-    count first and cut into independent piles before they are matched.
+    count first and cut into independent piles before they are matched.  A pile
+    above ``crowd`` rows is matched by several tasks (:mod:`.crowds`).
     """
     if not 0 < iou_threshold <= 1:
         raise ValueError(f"iou_threshold {iou_threshold} lies outside (0, 1]")
     rows = _sides(predictions, ground_truth)
     full = rows.groupBy(*_GROUP).agg(F.count("*").alias("_n")).filter(F.col("_n") > crowd).select(*_GROUP)
-    piled = rows.withColumn("_pile", F.lit(0.0))
+    piled, heaped = rows.withColumn("_pile", F.lit(0.0)), None
     if not full.isEmpty():
         crowded = materialize(full, "crowded-frames")
-        piled = piled.join(crowded, _GROUP, "left_anti").unionByName(
-            _with_piles(rows.join(crowded, _GROUP, "left_semi"))
-        )
+        split = materialize(_with_piles(rows.join(crowded, _GROUP, "left_semi")), "crowded-piles")
+        key = [*_GROUP, "_pile"]
+        large = materialize(split.groupBy(*key).agg(F.count("*").alias("_n")).filter(F.col("_n") > crowd).select(*key), "large-piles")
+        piled = piled.join(crowded, _GROUP, "left_anti").unionByName(split.join(large, key, "left_anti"))
+        if not large.isEmpty():
+            heaped = match_crowd(split.join(large, key, "left_semi"), key, float(iou_threshold), crowd)
     types = {**{f.name: f.dataType for f in rows.schema}, "status": T.StringType(), "iou": T.DoubleType()}
 
     def type_of(name: str) -> T.DataType:
@@ -285,7 +290,14 @@ def match_predictions(
     schema = T.StructType([T.StructField(c, type_of(c)) for c in MATCH_COLUMNS])
     order = [*_GROUP, "_pile", "side", "rank", "index"]
     laid_out = piled.repartition(*_GROUP, "_pile").sortWithinPartitions(*order)
-    return laid_out.mapInArrow(_match_kernel(float(iou_threshold), schema), schema)
+    matched = laid_out.mapInArrow(_match_kernel(float(iou_threshold), schema), schema)
+    if heaped is None:
+        return matched
+    status = F.when(F.col("_told") == "missed", "FN").when(F.col("_iou") >= iou_threshold, "TP").otherwise("FP")
+    given = {"status": status, "iou": F.col("_iou"), **{c: F.col(c) for c in _GROUP}}
+    for side, prefixes in (("p", ("prediction_", "pred_")), ("g", ("ground_truth_", "gt_"))):
+        given |= {c: F.col(f"_{side}_{c.removeprefix(x)}") for x in prefixes for c in MATCH_COLUMNS if c.startswith(x)}
+    return matched.unionByName(heaped.select(*[given[f.name].cast(f.dataType).alias(f.name) for f in schema]))
 
 
 def _ratios(df: DataFrame) -> DataFrame:

@@ -41,7 +41,7 @@ def sample_frames(frames: DataFrame, *, frame_step: int = 1, max_frames: int | N
 def timestamp_of(ordinal: Column, fps: float) -> Column:
     """Seconds from the source start; ``ordinal`` counts all listed frames."""
     if fps <= 0:
-        raise ValueError(f"render_fps {render_fps}: want more than 0")
+        raise ValueError(f"fps {fps}: want more than 0")
     return ordinal / F.lit(float(fps))
 
 

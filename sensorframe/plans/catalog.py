@@ -34,10 +34,12 @@ from ..operators import (
 from ..operators.sequence import previous
 from ..runtime import materialize, scratch_path
 from ..sources import datasets as D
+from ..sources import run_folders
 from ..sources import tables as IO
 from ..streaming import fusion as stream_fusion
 from ..streaming import runs as stream_runs
 from ..streaming import tracker as stream_tracker
+from . import pipelines
 from .views import view, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1284,6 +1286,57 @@ def manifests_read_back(spark, d):
     return back.select("run_id", "sensor_id", "modality", "status", F.length("manifest_sha256").alias("digest_length"))
 
 
+def stored_runs(spark: SparkSession, d: str) -> str:
+    """Run folders of the sensor events, with a track row for every event that has a label."""
+    events = view(spark, d, "v_sensor_events")
+    tracks = events.filter("label IS NOT NULL").withColumns({
+        "x1": (F.col("frame_number") % 50).cast("int"), "y1": (F.col("track_id") % 30).cast("int"),
+        "x2": (F.col("frame_number") % 50 + 30).cast("int"), "y2": (F.col("track_id") % 30 + 20).cast("int")})
+    root = scratch_path(spark, "runs")
+    message = F.concat(F.lit('seen "'), "label", F.lit('", then\nleft'))
+    run_folders.write_runs({"events": events.withColumn("message", message), "tracks": tracks}, view(spark, d, "v_manifests").drop("run_dir"), root, rows_per_file=1000)
+    return root
+
+
+@query("evidence_of_run_folders", """
+SELECT run_id, sensor_id, modality, event_id, frame_number, round(timestamp_s, 6) AS timestamp_s, event_type, severity, track_id, label, round(confidence, 9) AS confidence,
+       CASE WHEN label IS NOT NULL THEN frame_number % 50 END AS bx1, CASE WHEN label IS NOT NULL THEN track_id % 30 END AS by1,
+       CASE WHEN label IS NOT NULL THEN track_id % 30 + 20 END AS by2 FROM v_evidence""")
+def evidence_of_run_folders(spark, d):
+    """What ``write_runs`` wrote, in folders and parts, read by ``read_evidence``."""
+    evidence = IO.read_evidence(spark, stored_runs(spark, d))
+    return evidence.select(
+        "run_id", "sensor_id", "modality", "event_id", "frame_number", r6("timestamp_s").alias("timestamp_s"), "event_type", "severity", "track_id", "label",
+        r6("confidence", 9).alias("confidence"), *[F.col(f"bbox.{c}").cast("long").alias(f"b{c}") for c in ("x1", "y1", "y2")])
+
+
+@query("run_folders_fused", FUSE_SQL + """
+SELECT event_id, round(t, 2) AS timestamp_s, event_type, label, support_count, sensor_ids, contributor_event_ids FROM fused""")
+def run_folders_fused(spark, d):
+    """Written, read, checked and fused as a user would chain them."""
+    root = stored_runs(spark, d)
+    manifests = IO.read_manifests(spark, f"{root}/*/run_manifest.json")
+    fused = pipelines.fuse_runs(IO.read_evidence(spark, root), manifests, CONFIG).events
+    return fused.select(
+        "event_id", r6("timestamp_s", 2).alias("timestamp_s"), "event_type", "label", "support_count",
+        F.array_join("sensor_ids", ",").alias("sensor_ids"), F.array_join("contributor_event_ids", ",").alias("contributor_event_ids"))
+
+
+@query("run_files", """
+SELECT run_id, name, count(*) AS rows, CAST(ceil(count(*) / 1000e0) AS BIGINT) AS files, true AS digests_match
+FROM (SELECT run_id, 'events.csv' AS name FROM v_sensor_events UNION ALL SELECT run_id, 'tracks.csv' FROM v_sensor_events WHERE label IS NOT NULL) r GROUP BY run_id, name""")
+def run_files(spark, d):
+    """The files that manifests list, held against the digests of the files there are."""
+    root = stored_runs(spark, d)
+    listed = spark.read.option("wholetext", True).text(f"{root}/*/run_manifest.json").select(F.from_json(
+        "value", "metadata struct<run_id:string>, files array<struct<name:string, rows:bigint, sha256:string>>").alias("m")).select("m.metadata.run_id", F.inline("m.files"))
+    place = r"/([^/]+)/([^/]+\.csv(/[^/]+)?)$"
+    found = spark.read.format("binaryFile").load(f"{root}/*/*.csv").select(
+        F.regexp_extract("path", place, 1).alias("run_id"), F.regexp_extract("path", place, 2).alias("name"), F.sha2("content", 256).alias("found"))
+    both = listed.join(found, ["run_id", "name"], "left").withColumn("name", F.substring_index("name", "/", 1))
+    return both.groupBy("run_id", "name").agg(F.sum("rows").alias("rows"), F.count("*").alias("files"), F.bool_and(F.coalesce(F.col("sha256") == F.col("found"), F.lit(False))).alias("digests_match"))
+
+
 # --------------------------------------------------------------------------
 # Extension points.
 
@@ -1336,6 +1389,45 @@ def hook_tracker(spark, d):
     return hooks.track_with(detections, make, fields)
 
 
+class LaneTracker:
+    """Follows boxes that move little; its state are the live tracks' places, oldest first."""
+
+    def __init__(self):
+        self.live: list[list] = []  # id, left edge, last frame
+        self.issued = 0
+
+    def dump(self):
+        return ";".join(f"{x}:{at}" for _, x, at in self.live), [t[0] for t in self.live], self.issued
+
+    def load(self, text, ids):
+        places = [[int(v) for v in p.split(":")] for p in text.split(";")]
+        self.live, self.issued = [[i, *p] for i, p in zip(ids, places, strict=True)], 0
+
+    def update(self, frame):
+        now = int(frame["frame_ordinal"].iloc[0])
+        self.live = [t for t in self.live if now - t[2] <= 3]
+        ids = []
+        for x in frame["x1"].tolist():
+            track = min((t for t in self.live if abs(t[1] - x) < 40), key=lambda t: abs(t[1] - x), default=None)
+            if track is None:
+                self.issued += 1
+                track = [self.issued, x, now]
+                self.live.append(track)
+            track[1:] = [x, now]
+            ids.append(track[0])
+        return frame[["run_id", "label", "frame_ordinal", "detection_index"]].assign(track_id=ids)
+
+
+@query("hook_tracker_in_chunks", TRACKS_SQL + """
+SELECT run_id, label, frame_ordinal, x1, dense_rank() OVER (PARTITION BY run_id, label ORDER BY first_frame_number, track_id) AS track_id FROM tracks""")
+def hook_tracker_in_chunks(spark, d):
+    """Chunks of 40 frames of one key run at once and give the ids of one tracker that sees all."""
+    fields = T.StructType.fromDDL("run_id string, label string, frame_ordinal bigint, detection_index bigint, track_id bigint")
+    detections = view(spark, d, "v_detections").select("run_id", "label", "frame_ordinal", "detection_index", "x1")
+    found = hooks.track_with(detections, LaneTracker, fields, chunk_frames=40, warmup_frames=10)
+    return found.join(detections, ["run_id", "label", "frame_ordinal", "detection_index"]).select("run_id", "label", "frame_ordinal", "x1", "track_id")
+
+
 @query("hook_rules_and_policy", """
 SELECT event_id, event_type AS alert_type, severity FROM v_sensor_events WHERE severity <> 'info' AND confidence > 0.1""")
 def hook_rules_and_policy(spark, d):

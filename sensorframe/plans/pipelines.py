@@ -7,7 +7,13 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 
 from ..operators.anomaly import fit_reference, score_anomalies
-from ..operators.contracts import ContractError, evaluation_scope_violations, require_fusion_inputs
+from ..operators.contracts import (
+    ContractError,
+    evaluation_scope_violations,
+    known_severities,
+    require_fusion_inputs,
+    require_sensor_runs,
+)
 from ..operators.evaluation import Evaluation, evaluate, restrict_to_frames
 from ..operators.events import (
     alerts_from_events,
@@ -90,8 +96,9 @@ def run_summary(tables: dict[str, DataFrame]) -> DataFrame:
 def fuse_runs(evidence: DataFrame, manifests: DataFrame, config: FusionConfig | None = None) -> Fusion:
     """Check the sensor contract of the runs, then fuse their events."""
     config = config or FusionConfig()
+    require_sensor_runs(manifests)
     require_fusion_inputs(manifests, min_sensors=config.min_sensors)
-    return fuse_events(evidence, config)
+    return fuse_events(known_severities(evidence), config)
 
 
 def evaluate_runs(

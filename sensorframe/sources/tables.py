@@ -5,15 +5,19 @@ Parquet is the table format; CSV and JSON are read and written for exchange.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-from functools import reduce
+import re
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import empty_to_null, nan_to_null
 from ..operators.anomaly import check_reference
+from ..operators.contracts import EVENT_COLUMNS, ContractError, require_sensor_runs
 from ..operators.fusion import attach_boxes
 from ..schemas import EVIDENCE, FRAMES, REFERENCE, SEVERITIES, TABLES, conform
 
@@ -30,19 +34,56 @@ METADATA = ["run_id", "ground_truth_scope"]
 CSV = {"header": True, "quote": '"', "escape": '"', "multiLine": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Text columns of CSV files by name, whatever their order in each file, with ``_position`` for the row order.
-
-    Files are read in one job for each distinct header line; a column that a file lacks is null there.
+#: The most columns a CSV file may have.
+WIDEST = 64
+PART = re.compile(r"part-(\d+)\.csv$")
+
+
+def _by_name(columns: Sequence[str] | None, required: Sequence[str]):
+    """Cells under the names of their file's first row; with ``columns`` None, the names themselves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, names, row = None, {}, 0
+        for batch in batches:
+            files = batch.column("_file")
+            changed = pc.not_equal(files.slice(1), files.slice(0, max(len(files) - 1, 0))).to_numpy(zero_copy_only=False)
+            edges = [0, *(np.flatnonzero(changed) + 1).tolist(), len(files)] if len(files) else [0]
+            for lo, hi in zip(edges[:-1], edges[1:]):
+                if files[lo].as_py() != file:
+                    file, part = files[lo].as_py(), PART.search(files[lo].as_py())
+                    row = int(part.group(1)) << 40 if part else 0
+                    head = [(batch.column(i)[lo].as_py() or "").lstrip("\ufeff") for i in range(WIDEST + 1)]
+                    if head[WIDEST]:
+                        raise ContractError(f"{file} has more than {WIDEST} columns")
+                    names = {name: i for i, name in reversed(list(enumerate(head))) if name}
+                    missing = sorted(set(required) - set(names))
+                    if missing:
+                        raise ContractError(f"{file} is missing required columns: {', '.join(missing)}")
+                    if columns is None:
+                        yield pa.RecordBatch.from_arrays([pa.array(list(names), pa.string())], ["name"])
+                    lo += 1
+                if columns is not None and hi > lo:
+                    cells = [batch.column(names[c]).slice(lo, hi - lo) if c in names else pa.nulls(hi - lo, pa.string()) for c in columns]
+                    place = pa.array(np.arange(row, row + hi - lo))
+                    yield pa.RecordBatch.from_arrays([*cells, files.slice(lo, hi - lo), place], [*columns, "_file", "_position"])
+                row += hi - lo
+
+    return run
+
+
+def read_csv(spark: SparkSession, path: str, columns: Sequence[str] | None = None, required: Sequence[str] = ()) -> DataFrame:
+    """Text columns of CSV files by name, whatever their order in each file, with ``_file`` and ``_position`` (the row).
+
+    One pass: a file is read by one task in its order, and its first row names the columns for the rows behind it, so
+    there is neither a job per header nor a list of paths.  A column that a file lacks is null there, or an error if
+    it is among ``required``.  Without ``columns`` the names are found by a pass of their own.
     """
-    files = spark.read.format("binaryFile").load(path).filter("length > 0")
-    first = F.regexp_replace(F.substring_index(F.col("content").cast("string"), "\n", 1), "\r$", "")
-    heads = files.select("path", first.alias("head")).groupBy("head").agg(F.collect_list("path").alias("paths")).orderBy("head").collect()
-    parts = [spark.read.options(**CSV).csv(sorted(h["paths"])).withColumn("_file", F.col("_metadata.file_path")) for h in heads]
-    if not parts:
-        return spark.createDataFrame([], "_file string, _position bigint")
-    parts = [p.withColumn("_position", F.monotonically_increasing_id()) for p in parts]  # rows of a file stay in order
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    cells = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(WIDEST + 1)])
+    raw = spark.read.options(**{**CSV, "header": False}).schema(cells).csv(path).withColumn("_file", F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B"))))
+    if columns is None:
+        columns = sorted(r.name for r in raw.mapInArrow(_by_name(None, required), "name string").distinct().collect())
+    fields = T.StructType([*(T.StructField(c, T.StringType()) for c in columns), T.StructField("_file", T.StringType()), T.StructField("_position", T.LongType())])
+    return raw.mapInArrow(_by_name(list(columns), list(required)), fields)
 
 
 def read_table(spark: SparkSession, name: str, path: str, *, fmt: str = "parquet") -> DataFrame:
@@ -50,14 +91,14 @@ def read_table(spark: SparkSession, name: str, path: str, *, fmt: str = "parquet
     schema = TABLES[name]
     if fmt == "parquet":
         return spark.read.schema(schema).parquet(path)
-    return conform(read_csv(spark, path), schema)
+    return conform(read_csv(spark, path, schema.names), schema)
 
 
 def read_frames(spark: SparkSession, path: str, *, fmt: str = "parquet") -> DataFrame:
     """Frame manifests."""
     if fmt == "parquet":
         return spark.read.schema(FRAMES).parquet(path)
-    return conform(read_csv(spark, path), FRAMES)
+    return conform(read_csv(spark, path, FRAMES.names), FRAMES)
 
 
 def write_evidence(tables: Mapping[str, DataFrame], path: str, *, fmt: str = "parquet", mode: str = "errorifexists"):
@@ -188,18 +229,23 @@ def _usable() -> Column:
 
 
 def read_evidence(spark: SparkSession, root: str) -> DataFrame:
-    """Evidence of every run below ``root/<run>/`` (events.csv, tracks.csv, run_manifest.json)."""
+    """Evidence of every run below ``root/<run>/`` (events.csv, tracks.csv, run_manifest.json).
+
+    A table may be a folder of ``part-*.csv`` files.  Manifests are checked at once (V2): a sensor, a known modality and
+    an ``events.csv`` for each; a file without a required column or an event of unknown severity raises when read.
+    """
     manifests = read_manifests(spark, f"{root}/*/run_manifest.json")
+    folder = F.regexp_extract("path", r"/([^/]+)/events\.csv(/[^/]+)?$", 1)
+    listed = spark.read.format("binaryFile").load(f"{root}/*/events.csv").select(folder.alias("_dir")).distinct()
+    ids = manifests.select("run_id", F.element_at(F.split("run_dir", "/"), -1).alias("_dir"))
+    require_sensor_runs(manifests, ids.join(listed, "_dir", "left_anti"))
 
-    def table(name: str) -> DataFrame:
-        return read_csv(spark, f"{root}/*/{name}.csv").withColumn("_dir", F.regexp_extract("_file", r"/([^/]+)/[^/]+$", 1))
+    def table(name: str, columns: Sequence[str], required: Sequence[str]) -> DataFrame:
+        found = read_csv(spark, f"{root}/*/{name}.csv", [c for c in columns if c != "run_id"], required)
+        return found.withColumn("_dir", F.regexp_extract("_file", rf"/([^/]+)/{name}\.csv(/[^/]+)?$", 1))
 
-    ids = manifests.select("run_id", F.element_at(F.split("run_dir", "/"), -1).alias("_dir"))
-    found = table("events").drop("run_id").join(ids, "_dir", "left").withColumn("run_id", F.coalesce("run_id", "_dir"))
-    events = found.withColumn("frame_number", F.col("frame_number").cast("long"))
-    tracks = (
-        table("tracks").drop("run_id").join(ids, "_dir")
-        .withColumns({c: F.col(c).cast("double").cast("long") for c in ("frame_number", "track_id")})
-    )
-    events = events.withColumn("track_id", F.col("track_id").cast("double").cast("long"))
-    return evidence_from_runs(events, manifests, tracks)
+    found = table("events", TABLES["events"].names, EVENT_COLUMNS).join(ids, "_dir", "left").withColumn("run_id", F.coalesce("run_id", "_dir"))
+    whole = {c: F.col(c).cast("double").cast("long") for c in ("frame_number", "track_id")}
+    events = found.withColumns({"frame_number": F.col("frame_number").cast("long"), "track_id": whole["track_id"]})
+    boxes = ("frame_number", "track_id", "x1", "y1", "x2", "y2")
+    return evidence_from_runs(events, manifests, table("tracks", boxes, boxes).join(ids, "_dir").withColumns(whole))
