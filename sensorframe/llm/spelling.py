@@ -38,7 +38,7 @@ from sensorframe.llm.common import materialize, texts_of
 
 LEAST_LETTERS, LEAST_COUNT, RATIO, SLIPS = 6, 5, 5, 199
 LONGEST, HALF = 64, 32
-WORDS_HELD = 400_000
+WORDS_HELD = 100_000
 # Symbols of reduced words; any distinct characters do.
 SYMBOLS = "0123456789abcdef"
 
