@@ -9,8 +9,8 @@ in the pool.  The last window of a shard is dealt out to sequences whose lengths
 padding.
 
 A task holds one shard.  Equal rare tokens (a hot group) are told apart by the id's hash, so they are many shards.
-Statistics are an array over the vocabulary, which is of fixed size.  Ids are found by word, with the results kept for
-the words met lately; texts with unusual white space are encoded as a whole.
+Statistics are an array over the vocabulary, which is of fixed size.  The distinct words of a batch are encoded once;
+texts with unusual white space are encoded as a whole.
 
 Defined results: a null or empty text is its separator alone.  Equal texts are packed each by itself.  Ids may be null
 or repeat: every row is packed once.  An empty table gives no sequence.  Extra columns are ignored.
@@ -19,7 +19,6 @@ or repeat: every row is packed once.  An empty table gives no sequence.  Extra c
 from __future__ import annotations
 
 import base64
-import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -27,6 +26,7 @@ from functools import cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -38,34 +38,14 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 WINDOW, SEPARATOR, SHARD = 1024, 0, 1024
 LEAST_CUT = 8
 K1, B = 1.2, 0.75
-WORDS_KEPT = 700_000
 TOKENISED = "doc_id long, doc_tokens long, whole array<long>, tail binary, rare int, second int"
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, role string"
-#: A space that no visible character follows; elsewhere a space begins a token, so words can be encoded alone.
-ODD_SPACE = re.compile(r" (?!\S)")
+#: A space that no visible character follows (more characters are taken for spaces than need be); elsewhere a space
+#: begins a token, so words can be encoded apart from each other.
+ODD_SPACES = r" ([\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]|\z)"
 END_OF_TEXT = "<|endoftext|>"
 
 
-class _Words(dict):
-    """Ids of a space and a word, kept for the words met lately."""
-
-    def __init__(self, coder: tiktoken.Encoding):
-        self.coder = coder
-        self.marks = {m: self.plain(m) for m in ",."}
-
-    def plain(self, text: str) -> bytes:
-        return np.array(self.coder.encode_ordinary(text), "<u2").tobytes()
-
-    def __missing__(self, word: str) -> bytes:
-        mark = self.marks.get(word[-1:])
-        if mark and word[-2:-1].isalnum():  # a comma or stop after a letter or digit is a token of its own
-            value = self[word[:-1]] + mark
-        else:
-            value = self.plain(f" {word}")
-        self[word] = value
-        return value
-
-
 class Tokenizer:
     """Ids of texts as little-endian 16-bit numbers; the vocabulary must have fewer than 65,536."""
 
@@ -74,16 +54,46 @@ class Tokenizer:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.size = len(ranks) + 1
         self.coder = tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={END_OF_TEXT: len(ranks)})
-        self.words = _Words(self.coder)
+        self.widths = np.zeros(self.size, np.int64)
+        for token, rank in ranks.items():
+            self.widths[rank] = len(token)
+
+    def plain(self, text: str) -> np.ndarray:
+        return self.coder.encode_to_numpy(text, disallowed_special=()).astype("<u2")
 
     def ids(self, text: str) -> np.ndarray:
-        if not text or ODD_SPACE.search(text) or END_OF_TEXT in text:
-            return np.array(self.coder.encode(text, allowed_special="all"), "<u2")
-        first, *rest = text.split(" ")
-        words = self.words
-        if len(words) > WORDS_KEPT:
-            words.clear()
-        return np.frombuffer(words.plain(first) + b"".join([words[w] for w in rest]), "<u2")
+        return np.array(self.coder.encode(text, allowed_special="all"), "<u2")
+
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, each behind a space, in one go; and where each word's begin and the last ends."""
+        if not len(words):
+            return np.zeros(0, "<u2"), np.zeros(1, np.int64)
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), " ")[0].as_py()
+        ids = self.plain(f" {joined}")
+        ends = np.cumsum(pc.binary_length(words).to_numpy().astype(np.int64) + 1)
+        return ids, np.concatenate([[0], np.searchsorted(np.cumsum(self.widths[ids]), ends) + 1])
+
+    def batch(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text of a batch: every distinct word is encoded once, and its ids are gathered by offsets."""
+        texts = texts.cast(pa.string()).fill_null("")
+        odd = pc.or_(pc.match_substring_regex(texts, ODD_SPACES), pc.match_substring(texts, END_OF_TEXT))
+        parts = pc.split_pattern(pc.if_else(odd, "", texts), " ")
+        ends, flat = parts.offsets.to_numpy().astype(np.int64), parts.flatten()
+        ends -= ends[0]
+        behind = np.ones(len(flat), bool)
+        behind[ends[:-1]] = False
+        coded = flat.filter(pa.array(behind)).dictionary_encode()
+        pool, begin = self.words(coded.dictionary)
+        at = coded.indices.to_numpy()
+        n = (begin[1:] - begin[:-1])[at]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        ids = pool[np.repeat(begin[at] - upto[:-1], n) + np.arange(upto[-1])]
+        cuts = upto[ends - np.arange(len(ends))]  # a text's words but its first
+        firsts = flat.filter(pa.array(~behind)).to_pylist()
+        return [
+            self.ids(texts[k].as_py()) if apart else np.concatenate([self.plain(first), ids[cuts[k] : cuts[k + 1]]])
+            for k, (first, apart) in enumerate(zip(firsts, odd.to_pylist(), strict=True))
+        ]
 
 
 @cache
@@ -100,8 +110,8 @@ def _tokenised(path: str, window: int):
         coder = tokenizer(path)
         for batch in batches:
             n, whole, tails, rare = [], [], [], []
-            for text in batch.column("text").to_pylist():
-                ids = np.append(coder.ids(text or ""), np.uint16(SEPARATOR))
+            for ids in coder.batch(batch.column("text")):
+                ids = np.append(ids, np.uint16(SEPARATOR))
                 cut = len(ids) // window * window
                 n.append(len(ids))
                 whole.append([crc(ids[i : i + window]) for i in range(0, cut, window)])
