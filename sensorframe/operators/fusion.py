@@ -10,6 +10,7 @@ set of events near it that are already consumed.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..functions.geometry import iou, struct_box
 from ..functions.text import sorted_json
 from ..runtime import materialize
 from ..schemas import EVENTS, EVIDENCE, FUSION_CONTRIBUTORS, SEVERITIES, conform
@@ -34,6 +36,8 @@ from .sequence import number_rows
 SOURCE = "temporal_consensus"
 ORDER = ["timestamp_s", "sensor_id", "event_id", "run_id"]
 CHUNK_ROWS = 50_000
+LEAST_REACHES = 4.0
+CELL_ROWS = 20_000
 LATE_START = "%late"  # no event's name, as names have % only before two digits
 
 
@@ -90,20 +94,19 @@ def group_keys(config: FusionConfig, scope: Sequence[str]) -> list[str]:
     return [*scope, "event_type", *(["label"] if config.require_matching_label else [])]
 
 
-def chunk_width(evidence: DataFrame, keys: Sequence[str], delta: float, rows: int) -> tuple[float, float]:
-    """(width, warm-up) in seconds: about ``rows`` events of the densest group per chunk.
+def chunk_widths(evidence: DataFrame, keys: Sequence[str], delta: float, rows: int) -> DataFrame:
+    """``keys, _width`` in seconds per group: about ``rows`` events of it per chunk, but ``LEAST_REACHES`` at least.
 
-    Groups that fit one chunk anyway don't narrow it, however dense they are.
+    A group that fits one chunk has one; how dense other groups are doesn't matter to it.
     """
-    spans = evidence.groupBy(*keys).agg(
-        F.count("*").alias("n"), (F.max("timestamp_s") - F.min("timestamp_s")).alias("span")
-    )
-    large = F.when(F.col("n") > rows, F.col("n") / F.greatest(F.col("span"), F.lit(1e-9)))
-    densest, longest = spans.agg(F.max(large), F.max("span")).first()
-    reach = delta if delta > 0 else 1e-6
-    wanted = rows / densest if densest else (longest or 0.0) + reach
-    width = max(wanted, 16.0 * reach)
-    return width, 4.0 * reach
+    spans = materialize(evidence.groupBy(*keys).agg(
+        F.count("*").alias("_n"), (F.max("timestamp_s") - F.min("timestamp_s")).alias("_span")), "fusion-spans")
+    longest = spans.agg(F.max("_span")).first()[0]
+    if longest is not None and not math.isfinite(longest):
+        raise ValueError("timestamps must be finite")
+    reach = padded_reach(delta)
+    wanted = F.when(F.col("_n") > rows, F.col("_span") * rows / F.col("_n")).otherwise(F.col("_span") + reach)
+    return spans.select(*keys, F.greatest(wanted, F.lit(LEAST_REACHES * reach)).alias("_width"))
 
 
 def padded_reach(delta: float) -> float:
@@ -148,6 +151,54 @@ def corroborating(i: int, window: Iterable[int], t, sensor, label, boxes, consum
     return sorted(best.values())
 
 
+class Nearest:
+    """What :func:`corroborating` finds, for events of one group in order of time, without a pass over the window.
+
+    Each sensor's events are walked outwards from the anchor, over links that leave out the consumed ones; the walk
+    ends at the first gap at which one fits.  So the work grows with the events, not with how many lie within reach.
+    """
+
+    def __init__(self, t, sensor, boxes, consumed: list[bool], config: FusionConfig):
+        self.t, self.sensor, self.boxes, self.consumed = t, sensor, boxes, consumed
+        self.delta, self.gate = config.max_time_delta_s, config.spatial_iou_threshold
+        self.at: dict[str, list[int]] = {}
+        for i, s in enumerate(sensor):
+            self.at.setdefault(s, []).append(i)
+        self.links = {s: (list(range(-1, len(p) - 1)), list(range(1, len(p) + 1))) for s, p in self.at.items()}
+
+    def _free(self, s: str, k: int, right: bool) -> int:
+        """The first free place from ``k`` on to one side."""
+        places, link, end = self.at[s], self.links[s][right], k
+        while 0 <= end < len(places) and self.consumed[places[end]]:
+            end = link[end]
+        while k != end:  # those passed lead there from now on
+            link[k], k = end, link[k]
+        return end
+
+    def of(self, i: int) -> list[tuple[float, float, int]]:
+        best = []
+        for s, places in self.at.items():
+            if s == self.sensor[i]:
+                continue
+            cut, found = bisect_left(places, i), None
+            side = [self._free(s, cut - 1, False), self._free(s, cut, True)]
+            while found is None:
+                gaps = [abs(self.t[i] - self.t[places[k]]) if 0 <= k < len(places) else math.inf for k in side]
+                gap = min(gaps)
+                if gap > self.delta or gap == math.inf:
+                    break
+                for right in (0, 1):
+                    while 0 <= side[right] < len(places) and abs(self.t[i] - self.t[places[side[right]]]) == gap:
+                        j = places[side[right]]
+                        value = overlap(self.boxes[i], self.boxes[j])
+                        if self.gate is None or (value != -1.0 and value >= self.gate):
+                            found = min(found, (float(gap), -value, j)) if found else (float(gap), -value, j)
+                        side[right] = self._free(s, side[right] + (1 if right else -1), bool(right))
+            if found:
+                best.append(found)
+        return sorted(best)
+
+
 def _escaped(value) -> str:
     """Text of a part of an event's name, free of the characters that separate parts and names."""
     return str(value).replace("%", "%25").replace(";", "%3B").replace("\x1f", "%1F")
@@ -156,8 +207,9 @@ def _escaped(value) -> str:
 class _Chunk:
     """All rows of one time chunk with its margins, as plain columns."""
 
-    def __init__(self, table: pa.Table, config: FusionConfig, keys, width: float, warm: float, margin: float):
+    def __init__(self, table: pa.Table, config: FusionConfig, keys, margin: float):
         self.table, self.config = table, config
+        width, warm = (table.column(c)[0].as_py() for c in ("_width", "_warm"))
         self.head = {k: table.column(k)[0].as_py() for k in (*keys, "_chunk")}
         self.start = self.head["_chunk"] * width
         self.stop = (self.head["_chunk"] + 1) * width
@@ -180,13 +232,13 @@ class _Chunk:
 
     def run(self) -> tuple[list[tuple[list[int], list[float]]], str, str]:
         """Groups of row positions (anchor first) with anchor IoUs, and boundary states."""
-        n, delta = len(self.t), self.config.max_time_delta_s
+        n = len(self.t)
         consumed = [False] * n
         late, cold = self.init == LATE_START, self.init is None or self.init == LATE_START
         if not cold:
             taken = set(filter(None, self.init.split(";")))
             consumed = [name in taken for name in self.name]
-        lows, highs = candidate_windows(self.time, delta)
+        nearest = Nearest(self.t, self.sensor, self.box, consumed, self.config)
         groups, used, entered = [], "", False
         for i in range(n):
             if self.own[i] and not entered:
@@ -204,9 +256,7 @@ class _Chunk:
                     continue
             if consumed[i]:
                 continue
-            chosen = corroborating(
-                i, range(lows[i], highs[i]), self.t, self.sensor, self.label, self.box, consumed, self.config
-            )
+            chosen = nearest.of(i)
             if len(chosen) + 1 < self.config.min_sensors:
                 continue
             members = [i, *[c[2] for c in chosen]]
@@ -217,7 +267,7 @@ class _Chunk:
         return groups, used, self._near(self.stop, consumed)
 
 
-def _kernel(config: FusionConfig, keys: list[str], width: float, warm: float, margin: float, schema):
+def _kernel(config: FusionConfig, keys: list[str], margin: float, schema):
     out_schema = to_arrow_schema(schema)
     chunk_keys = [*keys, "_chunk"]
 
@@ -225,7 +275,7 @@ def _kernel(config: FusionConfig, keys: list[str], width: float, warm: float, ma
         table = pa.concat_tables(pieces).combine_chunks()
         if not any(table.column("_own").to_pylist()):
             return
-        chunk = _Chunk(table, config, keys, width, warm, margin)
+        chunk = _Chunk(table, config, keys, margin)
         groups, used, end = chunk.run()
         take, extra = [], {c: [] for c in ("anchor_run", "anchor_sensor", "anchor_event", "anchor_t",
                                           "member_order", "anchor_iou", "fused_t")}
@@ -283,15 +333,24 @@ def _kernel(config: FusionConfig, keys: list[str], width: float, warm: float, ma
     return scan
 
 
-def _with_margins(base: DataFrame, keys, width: float, lower: float, upper: float) -> DataFrame:
-    """Assign time chunks; copy rows near a boundary to the neighbour."""
-    t = F.col("timestamp_s")
+def _sized(rows: DataFrame, keys: Sequence[str], delta: float, width_s: float | None = None) -> DataFrame:
+    """``rows`` with the ``_width`` of their group's chunks."""
+    if width_s is not None:
+        return rows.withColumn("_width", F.lit(max(float(width_s), 2.0 * padded_reach(delta))))
+    widths = chunk_widths(rows, keys, delta, CHUNK_ROWS).select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_width")
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+    return rows.join(widths, same).select(*rows.columns, "_width")
+
+
+def _with_margins(base: DataFrame, reach: float) -> DataFrame:
+    """Assign time chunks of ``_width`` seconds; copy rows near a boundary to the neighbour."""
+    t, width = F.col("timestamp_s"), F.col("_width")
     home = F.floor(t / width)
     none = F.array().cast("array<int>")
     shifts = F.concat(
         F.array(F.lit(0)),
-        F.when(t >= (home + 1) * width - lower, F.array(F.lit(1))).otherwise(none),
-        F.when(t <= home * width + upper, F.array(F.lit(-1))).otherwise(none),
+        F.when(t >= (home + 1) * width - (F.col("_warm") + reach), F.array(F.lit(1))).otherwise(none),
+        F.when(t <= home * width + reach, F.array(F.lit(-1))).otherwise(none),
     )
     return (
         base.withColumn("_home", home.cast("long"))
@@ -309,16 +368,12 @@ def fuse_contributors(
     """Member rows of every fused group, keyed by their anchor event."""
     keys = group_keys(config, scope)
     delta = config.max_time_delta_s
-    width, warm = chunk_width(evidence, keys, delta, CHUNK_ROWS)
     reach = padded_reach(delta)
-    if width_s is not None:
-        width = max(float(width_s), 2.0 * reach)
-        warm = min(warm, width - reach)
-    if not math.isfinite(width):
-        raise ValueError("timestamps must be finite")
     base = conform(evidence, T.StructType([*[evidence.schema[c] for c in scope], *EVIDENCE.fields]))
+    sized = _sized(base, keys, delta, width_s)
+    sized = sized.withColumn("_warm", F.least(F.lit(4.0 * (delta if delta > 0 else 1e-6)), F.col("_width") - reach))
     # stored, so that whatever made the evidence runs once, however many rounds follow
-    rows = materialize(_with_margins(base, keys, width, warm + reach, reach), "fusion-rows")
+    rows = materialize(_with_margins(sized, reach), "fusion-rows")
     schema = T.StructType(
         [
             *nullable(base.schema),
@@ -334,7 +389,7 @@ def fuse_contributors(
             *SUMMARY_FIELDS,
         ]
     )
-    kernel = _kernel(config, keys, width, warm, reach, schema)
+    kernel = _kernel(config, keys, reach, schema)
     args = (keys, ORDER, kernel, schema, "fusion")
     results, _ = settle(rows, run_chunks(rows, *args), *args, variant=LATE_START)
     return results.filter(F.col("kind") == "row").drop("kind", "_chunk", "_own", *[f.name for f in SUMMARY_FIELDS])
@@ -479,9 +534,7 @@ def consensus_support(
     config = config or FusionConfig()
     keys = group_keys(config, scope)
     delta = float(config.max_time_delta_s)
-    width, _ = chunk_width(evidence, keys, delta, CHUNK_ROWS)
-    reach = padded_reach(delta)
-    rows = _with_margins(evidence, keys, width, reach, reach)
+    rows = _with_margins(_sized(evidence, keys, delta).withColumn("_warm", F.lit(0.0)), padded_reach(delta))
     if config.spatial_iou_threshold is not None:
         schema = T.StructType([*nullable(evidence.schema), T.StructField("compatible_events", T.LongType())])
         return rows.groupBy(*keys, "_chunk").applyInArrow(_gated_support(config, evidence.columns), schema)
@@ -495,10 +548,54 @@ def consensus_support(
     return (
         counted.filter("_own")
         .withColumn("compatible_events", F.col("_all") - F.col("_same"))
-        .drop("_all", "_same", "_own", "_chunk", "_init")
+        .drop("_all", "_same", "_own", "_chunk", "_init", "_width", "_warm")
     )
 
 
+def compatible_pairs(
+    evidence: DataFrame, config: FusionConfig | None = None, *, scope: Sequence[str] = (), cell_rows: int = CELL_ROWS
+) -> DataFrame:
+    """Pairs of events that could corroborate each other (J2), each once.
+
+    ``a_*`` and ``b_*`` hold the key (``run_id``, ``sensor_id``, ``event_id``, ``timestamp_s``) of either, the first in
+    the order of time, sensor, event and run as ``a``; ``time_gap_s``, and ``iou`` (null without two boxes).
+
+    A band join over cells of one reach: every event asks its own cell and the next as ``a``, so a pair has one owner.
+    In a cell above ``cell_rows`` rows both sides are dealt by a hash, and each part of one meets each part of the
+    other, so no task holds a cell.
+    """
+    config = config or FusionConfig()
+    keys = group_keys(config, scope)
+    reach = padded_reach(float(config.max_time_delta_s))
+    names = ["run_id", "sensor_id", "event_id", "timestamp_s"]
+    rows = evidence.select(*keys, *[c for c in (*names, "bbox") if c not in keys], F.floor(F.col("timestamp_s") / reach).cast("long").alias("_cell"))
+    group = F.to_json(F.struct(*keys))  # null keys are left out, so equal nulls meet
+    rows = materialize(rows.withColumn("_group", group), "pair-rows")
+    sizes = rows.groupBy("_group", "_cell").agg(F.count("*").alias("_n")).select("_group", "_cell", F.ceil(F.col("_n") / cell_rows).cast("int").alias("_copies"))
+
+    def side(prefix: str) -> list[Column]:
+        return [F.col(c).alias(f"{prefix}_{c}") for c in (*names, "bbox")]
+
+    part, every = F.pmod(F.xxhash64(*names), F.col("_copies")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("_copies") - 1))
+    asks = rows.withColumn("_ask", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("_cell", F.col("_cell") + F.col("_ask"))
+    asks = asks.join(sizes, ["_group", "_cell"]).withColumn("_asker", part).withColumn("_asked", every)
+    held = rows.join(sizes, ["_group", "_cell"]).withColumn("_asked", part).withColumn("_asker", every)
+    cell = ["_group", "_cell", "_asker", "_asked"]
+    left = asks.select(*cell, "_ask", *side("a"), *[F.col(k).alias(f"_key_{k}") for k in scope])
+    right = held.select(*cell, *side("b"))
+    a, b = (F.struct(*[F.col(f"{p}_{c}") for c in ("timestamp_s", "sensor_id", "event_id", "run_id")]) for p in "ab")
+    gap = F.abs(F.col("a_timestamp_s") - F.col("b_timestamp_s"))
+    # of two events in one cell the earlier asks; across cells only the one in the earlier cell does
+    first = (F.col("_ask") == 1) | (a < b)
+    apart = ~F.col("a_sensor_id").eqNullSafe(F.col("b_sensor_id"))
+    pairs = left.join(right, cell).where(first & apart & (gap <= float(config.max_time_delta_s)))
+    boxes = [struct_box(F.col(f"{p}_bbox")) for p in "ab"]
+    pairs = pairs.withColumn("iou", F.when(F.col("a_bbox").isNotNull() & F.col("b_bbox").isNotNull(), iou(*boxes)))
+    if config.spatial_iou_threshold is not None:
+        pairs = pairs.where(F.col("iou") >= float(config.spatial_iou_threshold))
+    return pairs.select(*[F.col(f"_key_{k}").alias(k) for k in scope], *[f"{p}_{c}" for p in "ab" for c in names], gap.alias("time_gap_s"), "iou")
+
+
 def _gated_support(config: FusionConfig, columns: Sequence[str]):
     """Counts one chunk's compatible events: other sensor, within reach, both boxes known and overlapping enough."""
     delta, gate = float(config.max_time_delta_s), float(config.spatial_iou_threshold)

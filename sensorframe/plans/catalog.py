@@ -660,6 +660,16 @@ def evaluation_matches(spark, d):
     )
 
 
+@query("evaluation_matches_of_crowds", EVAL_SQL + """
+SELECT run_id, frame_number, shared_class, status, prediction_index, ground_truth_index, round(iou, 6) AS iou FROM matches""")
+def evaluation_matches_of_crowds(spark, d):
+    """The way of pictures that are too crowded for one task, taken by every picture with more than two boxes."""
+    p, g = prepared(spark, d)
+    inside = F.col("shared_class").isNotNull()
+    found = evaluation.match_predictions(p.filter(inside), g.filter(inside & ~F.col("ignored_flag")), crowd=2)
+    return found.select("run_id", "frame_number", "shared_class", "status", "prediction_index", "ground_truth_index", r6("iou").alias("iou"))
+
+
 @query("class_metrics", EVAL_SQL + f"""
 SELECT run_id, shared_class, true_positive + false_positive AS predictions, true_positive + false_negative AS ground_truth,
        true_positive, false_positive, false_negative, {RATIO_SQL} FROM counts""")
@@ -864,6 +874,31 @@ def consensus_support_of_boxes(spark, d):
     return fusion.consensus_support(evidence, gated).select("event_id", "compatible_events")
 
 
+PAIRS_SQL = """
+WITH e AS (SELECT *, CAST(frame_number % 50 AS DOUBLE) AS x FROM v_evidence), p AS (
+SELECT a.event_id AS a_event_id, b.event_id AS b_event_id, a.sensor_id AS a_sensor_id, b.sensor_id AS b_sensor_id, round(abs(a.timestamp_s - b.timestamp_s), 3) AS time_gap_s,
+       round(greatest(0, 30 - abs(a.x - b.x)) * 20 / (1200 - greatest(0, 30 - abs(a.x - b.x)) * 20), 6) AS iou
+FROM e a JOIN e b ON a.event_type = b.event_type AND a.label IS NOT DISTINCT FROM b.label AND a.sensor_id <> b.sensor_id AND abs(a.timestamp_s - b.timestamp_s) <= 1800
+ AND (a.timestamp_s < b.timestamp_s OR (a.timestamp_s = b.timestamp_s AND a.sensor_id < b.sensor_id))) SELECT * FROM p"""
+
+
+def paired(spark: SparkSession, d: str, **options) -> DataFrame:
+    evidence = view(spark, d, "v_evidence").withColumn("bbox", F.expr(EVENT_BOX))
+    pairs = fusion.compatible_pairs(evidence, replace(CONFIG, **options), cell_rows=3)
+    return pairs.select("a_event_id", "b_event_id", "a_sensor_id", "b_sensor_id", r6("time_gap_s", 3).alias("time_gap_s"), r6("iou").alias("iou"))
+
+
+@query("compatible_pairs", PAIRS_SQL)
+def compatible_pairs(spark, d):
+    """Every cell with more than three events is hot here, so the dealt way is the one that is checked."""
+    return paired(spark, d)
+
+
+@query("compatible_pairs_of_boxes", PAIRS_SQL + " WHERE iou >= 0.3")
+def compatible_pairs_of_boxes(spark, d):
+    return paired(spark, d, spatial_iou_threshold=0.3)
+
+
 @query("evidence_of_runs", TRACKS_SQL + """
 SELECT r.run_id, concat('CAM_', r.run_id) AS sensor_id, r.event_id, r.frame_number, r.track_id, t.x1 AS bx1, t.x2 AS bx2
 FROM (SELECT run_id, frame_number, track_id, concat('role', CAST(track_id AS STRING), '_', CAST(frame_number AS STRING)) AS event_id
@@ -1328,7 +1363,7 @@ FROM (SELECT run_id, 'events.csv' AS name FROM v_sensor_events UNION ALL SELECT
 def run_files(spark, d):
     """The files that manifests list, held against the digests of the files there are."""
     root = stored_runs(spark, d)
-    listed = spark.read.option("wholetext", True).text(f"{root}/*/run_manifest.json").select(F.from_json(
+    listed = spark.read.text(f"{root}/*/run_manifest.json", wholetext=True).select(F.from_json(
         "value", "metadata struct<run_id:string>, files array<struct<name:string, rows:bigint, sha256:string>>").alias("m")).select("m.metadata.run_id", F.inline("m.files"))
     place = r"/([^/]+)/([^/]+\.csv(/[^/]+)?)$"
     found = spark.read.format("binaryFile").load(f"{root}/*/*.csv").select(
