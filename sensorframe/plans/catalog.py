@@ -37,6 +37,7 @@ from ..sources import datasets as D
 from ..sources import run_folders
 from ..sources import tables as IO
 from ..streaming import fusion as stream_fusion
+from ..streaming import ledger as stream_ledger
 from ..streaming import runs as stream_runs
 from ..streaming import tracker as stream_tracker
 from . import pipelines
@@ -1576,3 +1577,27 @@ def streaming_fused_alerts(spark, d):
     alerts = stream_fusion.fused_alert_rows(stream_fusion.fused_event_rows(fused_stream(spark, d), CONFIG), CONFIG)
     return stream_runs.drain(alerts, "stream-fused-alerts").select(
         "alert_id", "frame_number", r6("timestamp_s", 2).alias("timestamp_s"), "alert_type", "severity", "label")
+
+
+@query("streaming_evidence_tables", """
+WITH s AS (SELECT run_id, count(*) AS anomaly_observations_emitted, count(CASE WHEN is_anomaly THEN 1 END) AS anomalies_flagged,
+  count(CASE WHEN margin > 0.3 THEN 1 END) AS events_emitted, count(CASE WHEN margin > 0.5 THEN 1 END) AS alerts_emitted, round(sum(score), 6) AS score FROM v_anomalies GROUP BY run_id)
+SELECT *, events_emitted AS stored_events FROM s""")
+def streaming_evidence_tables(spark, d):
+    """Three tables and the counters of one stream; its last batch is sent again, which must change nothing."""
+    stream = replay(spark, view(spark, d, "v_anomalies"), "evidence-stream")
+
+    def derive(batch: DataFrame) -> dict[str, DataFrame]:
+        found = batch.filter("margin > 0.3").withColumns({
+            "event_id": F.concat_ws(":", F.lit("score"), "track_id", "frame_ordinal"), "event_type": F.lit("score"), "confidence": F.col("score"), "source": F.lit("test"),
+            "severity": F.when(F.col("margin") > 0.5, "warning").otherwise("info"), "message": F.lit(""), "metadata": F.lit("{}")})
+        return {"anomalies": batch, "events": found, "alerts": E.alerts_from_events(found)}
+
+    ledger = stream_ledger.EvidenceLedger(spark, scratch_path(spark, "ledger"))
+    stream_ledger.evidence_sink(stream, derive, ledger, scratch_path(spark, "ledger-checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    last = ledger.commits().agg(F.max("batch")).first()[0]
+    ledger.write(last, derive(view(spark, d, "v_anomalies")))
+    scores = ledger.table("anomalies").groupBy("run_id").agg(r6(F.sum("score")).alias("score"))
+    events = ledger.table("events").groupBy("run_id").agg(F.count("*").alias("stored_events"))
+    names = ["anomaly_observations_emitted", "anomalies_flagged", "events_emitted", "alerts_emitted"]
+    return ledger.counters().select("run_id", *names).join(scores, "run_id").join(events, "run_id")
