@@ -1310,6 +1310,39 @@ def run_manifest_documents(spark, d):
     )
 
 
+@query("run_manifest_of_parts", """
+SELECT run_id, count(*) AS frames_processed, max(sensor_id) AS sensor_id, 'iou' AS tracker_backend, CAST(NULL AS VARCHAR) AS alert_policy, 12.5 AS render_fps FROM v_frames GROUP BY run_id""")
+def run_manifest_of_parts(spark, d):
+    frames = view(spark, d, "v_frames")
+    runs = frames.groupBy("run_id").agg(F.max("sensor_id").alias("sensor_id"))
+    document = IO.run_manifest(M.run_counters(frames), runs, backends={"tracker_backend": "iou", "detector_backend": "given"}, render_fps=12.5)
+    return document.select("run_id", "frames_processed", "sensor_id", "tracker_backend", "alert_policy", "render_fps")
+
+
+@query("representation_manifest", """
+SELECT run_id, true AS enabled, count(*) AS observations, count(DISTINCT track_id) AS represented_tracks, 64 AS embedding_dimension, 'float32' AS embedding_dtype FROM v_reps GROUP BY run_id
+UNION ALL SELECT 'idle', true, 0, 0, NULL, 'float32'""")
+def representation_manifest(spark, d):
+    reps = view(spark, d, "v_reps").withColumn("embedding_dim", F.size("embedding"))
+    runs = reps.select("run_id").distinct().union(spark.sql("SELECT 'idle'"))
+    document = IO.representation_manifest(reps, runs, analyzer="given", configuration={"min_hits": "3"})
+    return document.select("run_id", "enabled", "observations", "represented_tracks", "embedding_dimension", "embedding_dtype")
+
+
+@query("fusion_manifest", FUSE_SQL + """
+SELECT e.run_id, max(e.sensor_id) AS sensor_id, count(*) AS events, 'temporal_consensus' AS strategy, (SELECT count(*) FROM ev) AS input_events, (SELECT count(DISTINCT sensor_id) FROM ev) AS distinct_sensors,
+       (SELECT count(*) FROM fused) AS fused_events, (SELECT count(*) FROM full_rows) AS contributors, '1800.0' AS max_time_delta_s, false AS pixels FROM v_evidence e GROUP BY e.run_id""")
+def fusion_manifest(spark, d):
+    evidence = view(spark, d, "v_evidence")
+    document = IO.fusion_manifest(evidence, view(spark, d, "v_manifests"), fusion.fuse_events(evidence, CONFIG), CONFIG, fusion_id="f1")
+    path = scratch_path(spark, "fusion-manifest")
+    IO.write_document(document, path)
+    back = spark.read.schema(document.schema).json(path)
+    return back.select("strategy", "input_events", "distinct_sensors", "fused_events", "contributors", F.col("effective_config")["max_time_delta_s"].alias("max_time_delta_s"),
+                       F.col("assumptions.raw_pixels_fused").alias("pixels"), F.inline("inputs")).select(
+        "run_id", "sensor_id", "events", "strategy", "input_events", "distinct_sensors", "fused_events", "contributors", "max_time_delta_s", "pixels")
+
+
 @query("manifests_read_back", """
 SELECT run_id, max(sensor_id) AS sensor_id, max(modality) AS modality, 'completed' AS status, 64 AS digest_length FROM v_frames GROUP BY run_id""")
 def manifests_read_back(spark, d):

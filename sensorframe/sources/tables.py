@@ -5,8 +5,11 @@ Parquet is the table format; CSV and JSON are read and written for exchange.
 
 from __future__ import annotations
 
+import hashlib
+import json
 import re
 from collections.abc import Iterator, Mapping, Sequence
+from dataclasses import asdict
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +21,7 @@ from pyspark.sql import types as T
 from ..functions.text import empty_to_null, nan_to_null
 from ..operators.anomaly import check_reference
 from ..operators.contracts import EVENT_COLUMNS, ContractError, require_sensor_runs
-from ..operators.fusion import attach_boxes
+from ..operators.fusion import SOURCE, Fusion, FusionConfig, attach_boxes, fusion_counters
 from ..schemas import EVIDENCE, FRAMES, REFERENCE, SEVERITIES, TABLES, conform
 
 # Column order of the exchange tables (without the vector column).
@@ -30,6 +33,13 @@ EXCHANGE = {
 
 # Fields of a manifest's metadata
 METADATA = ["run_id", "ground_truth_scope"]
+# The parts of a run, the layout of packed vectors and what a fusion takes for granted, as manifests name
+# them (None: whether a spatial gate is set)
+BACKENDS = ["detector_backend", "tracker_backend", "representation_analyzer", "anomaly_analyzer", "event_detector", "anomaly_event_detector", "alert_policy"]
+VECTOR_LAYOUT = {"embedding_dtype": "float32", "byte_order": "little-endian", "storage_order": "row-major"}
+ASSUMPTIONS = {
+    "fusion_level": "semantic_event_late_fusion", "raw_pixels_fused": False, "feature_vectors_fused": False, "pixel_registration_required": None, "confidence_recalibrated": False,
+}
 # RFC 4180 quoting, for readers and writers
 CSV = {"header": True, "quote": '"', "escape": '"', "multiLine": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
@@ -126,11 +136,53 @@ def write_document(row: DataFrame, path: str, *, mode: str = "errorifexists") ->
     row.write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 
-def run_manifest(counters: DataFrame, runs: DataFrame, *, options: Mapping[str, str] | None = None) -> DataFrame:
-    """Counters joined with run metadata and the options used (K5)."""
+def run_manifest(
+    counters: DataFrame, runs: DataFrame, *, options: Mapping[str, str] | None = None, backends: Mapping[str, str] | None = None, render_fps: float | None = None
+) -> DataFrame:
+    """Counters joined with run metadata, the options and the parts that made the run (K5).
+
+    ``backends`` names them by :data:`BACKENDS`; a part that isn't named is null, as one that wasn't used.
+    """
+    unknown = sorted(set(backends or {}) - set(BACKENDS))
+    if unknown:
+        raise ValueError(f"unknown parts of a run: {unknown}")
     fields = [F.lit(v) for kv in sorted((options or {}).items()) for v in kv]
     chosen = F.create_map(*fields) if fields else F.create_map().cast(T.MapType(T.StringType(), T.StringType()))
-    return runs.join(counters, "run_id", "left").withColumn("options", chosen)
+    named = {} if backends is None else {b: F.lit(backends.get(b)).cast("string") for b in BACKENDS}
+    if render_fps is not None:
+        named["render_fps"] = F.lit(float(render_fps))
+    return runs.join(counters, "run_id", "left").withColumns({"options": chosen, **named})
+
+
+def representation_manifest(representations: DataFrame, runs: DataFrame, *, analyzer: str | None, configuration: Mapping[str, str] | None = None) -> DataFrame:
+    """One document per run of ``runs`` on its representations (K5), also for runs without any."""
+    tracks = representations.groupBy("run_id", "track_id").agg(F.count("*").alias("_n"), F.max("embedding_dim").alias("_dim"))
+    counted = tracks.groupBy("run_id").agg(F.sum("_n").alias("observations"), F.count("track_id").alias("represented_tracks"), F.max("_dim").alias("embedding_dimension"))
+    settings = [F.lit(v) for kv in sorted((configuration or {}).items()) for v in kv]
+    none = F.lit(None).cast("map<string,string>")
+    return runs.select("run_id").join(counted, "run_id", "left").select(
+        "run_id", F.lit(1).alias("format_version"), F.lit(analyzer is not None).alias("enabled"), F.lit(analyzer).cast("string").alias("analyzer"),
+        (F.create_map(*settings) if settings else none).alias("configuration"), F.coalesce("observations", F.lit(0)).cast("long").alias("observations"),
+        F.coalesce("represented_tracks", F.lit(0)).cast("long").alias("represented_tracks"), "embedding_dimension", *[F.lit(v).alias(k) for k, v in VECTOR_LAYOUT.items()])
+
+
+def fusion_manifest(evidence: DataFrame, manifests: DataFrame, fusion: Fusion, config: FusionConfig, *, fusion_id: str) -> DataFrame:
+    """The document of one fusion as one row (K5): inputs with their digests, counts, options and assumptions.
+
+    ``inputs`` has an entry per run, so the row grows with the number of runs, not of events.
+    """
+    events = evidence.groupBy("run_id").agg(F.count("*").alias("events"))
+    given = [c for c in ("run_dir", "run_id", "sensor_id", "modality", "manifest_sha256") if c in manifests.columns]
+    each = manifests.select(*given).join(events, "run_id", "left").select(*given, F.coalesce("events", F.lit(0)).alias("events"))
+    inputs = each.agg(F.sort_array(F.collect_list(F.struct("run_id", *[c for c in given if c != "run_id"], "events"))).alias("inputs"))
+    options = {k: "" if v is None else str(v) for k, v in sorted(asdict(config).items())}
+    effective = F.create_map(*[F.lit(v) for kv in options.items() for v in kv])
+    digest = hashlib.sha256(json.dumps(options, sort_keys=True).encode()).hexdigest()
+    registered = config.spatial_iou_threshold is not None
+    assumed = F.struct(*[F.lit(registered if v is None else v).alias(k) for k, v in ASSUMPTIONS.items()])
+    return fusion_counters(evidence, fusion).crossJoin(inputs).select(
+        F.lit(fusion_id).alias("fusion_id"), F.lit(SOURCE).alias("strategy"), "inputs", "distinct_sensors", "input_events", "fused_events", "fused_alerts", "contributors",
+        effective.alias("effective_config"), F.lit(digest).alias("config_sha256"), assumed.alias("assumptions"))
 
 
 def write_manifests(manifests: DataFrame, path: str, *, mode: str = "errorifexists") -> None:
