@@ -34,7 +34,7 @@ from ..operators import (
 from ..operators.sequence import previous
 from ..runtime import materialize, scratch_path
 from ..sources import datasets as D
-from ..sources import run_folders
+from ..sources import packs, run_folders
 from ..sources import tables as IO
 from ..streaming import fusion as stream_fusion
 from ..streaming import ledger as stream_ledger
@@ -1031,6 +1031,19 @@ def inventory_digest(spark, d):
     return D.inventory_digest(view(spark, d, "v_files").select("path", F.sha2("text", 256).alias("sha256")))
 
 
+@query("vector_pack_round_trip", """
+SELECT vec_id, row_number() OVER (ORDER BY frame_ordinal, confidence DESC, track_id) - 1 AS embedding_row, round(CAST(embedding[1] AS DOUBLE), 6) AS first_value,
+       round(CAST(embedding[64] AS DOUBLE), 6) AS last_value FROM v_reps WHERE run_id = 'run_0'""")
+def vector_pack_round_trip(spark, d):
+    """A pack of several files, read in ranges of a few rows, meets its index again by row."""
+    rows = materialize(R.number_embeddings(view(spark, d, "v_reps").filter("run_id = 'run_0'")), "pack-index")
+    path = scratch_path(spark, "pack")
+    packs.write_vectors(rows, path, 64, rows_per_file=100)
+    back = D.join_vectors(rows.select("vec_id", "embedding_row"), packs.read_vectors(spark, path, 64, range_bytes=4 * 64 * 30))
+    ends = {"first_value": F.get("embedding", F.lit(0)), "last_value": F.get("embedding", F.lit(63))}
+    return back.select("vec_id", "embedding_row", *[r6(c.cast("double")).alias(n) for n, c in ends.items()])
+
+
 @query("vectors_of_representations", "SELECT vec_id, run_id, round(CAST(embedding[1] AS DOUBLE), 6) AS first_value FROM v_reps")
 def vectors_of_representations(spark, d):
     rows = view(spark, d, "v_reps")

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +12,7 @@ from ..functions.text import IMAGE_SUFFIXES, SEQUENCE_SUFFIXES, natural_key, suf
 from ..operators.contracts import ContractError, require_columns
 from ..operators.sampling import order_frames, timestamp_of
 from ..schemas import DETECTIONS, FRAMES, GROUND_TRUTH, NATIVE_ANNOTATIONS, conform
+from .packs import read_vectors
 
 
 def list_files(spark: SparkSession, root: str, *, recursive: bool = True, glob: str | None = None) -> DataFrame:
@@ -243,16 +240,7 @@ def summarise_sources(frames: DataFrame, *, sequence_limit: int = 500, annotatio
 
 def read_embedding_pack(spark: SparkSession, path: str, dim: int) -> DataFrame:
     """Packed little-endian float32 rows as (``embedding_row``, ``embedding``)."""
-    records = spark.sparkContext.binaryRecords(path, 4 * dim).zipWithIndex()
-    rows = spark.createDataFrame(records.map(lambda kv: (kv[1], bytearray(kv[0]))), "embedding_row bigint, packed binary")
-
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            flat = np.frombuffer(b"".join(batch.column("packed").to_pylist()), dtype="<f4")
-            ends = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * dim)
-            yield pa.RecordBatch.from_arrays([batch.column("embedding_row"), pa.ListArray.from_arrays(ends, pa.array(flat))], ["embedding_row", "embedding"])
-
-    return rows.mapInArrow(unpack, "embedding_row bigint, embedding array<float>")
+    return read_vectors(spark, path, dim)
 
 
 def join_vectors(index: DataFrame, vectors: DataFrame, keys: list[str] | None = None) -> DataFrame:
