@@ -1,16 +1,16 @@
 """Lexical retrieval packing: documents into sequences of one window, each filled with lexically near pieces.
 
 A document's ids end with a separator.  Whole windows of a long document are sequences of their own; what is left of
-it (or a short document) is its tail.  Tails are dealt by their rarest tokens into shards of bounded size, and each
+it (or a short document) is its tail.  Tails are dealt by their largest token ids into shards of bounded size, and each
 shard has an inverted index with BM25 weights, whose document frequencies and mean length are those of the corpus.
 The longest unused tail of a shard seeds a window; the index ranks the unused others by BM25 against it, and they fill
 the window in that order where they fit.  Room that none fits is filled by the head of the best one, whose rest stays
 in the pool.  The last window of a shard is dealt out to sequences whose lengths are powers of two, so it needs no
 padding.
 
-A task holds one shard.  Equal rare tokens (a hot group) are told apart by the id's hash, so they are many shards.
-Statistics are an array over the vocabulary, which is of fixed size.  The distinct words of a batch are encoded once;
-texts with unusual white space are encoded as a whole.
+A task holds one shard, and a seed retrieves from its own shard only.  Equal tokens (a hot group) are told apart by the
+id's hash, so they are many shards.  Statistics are an array over the vocabulary, which is of fixed size.  The distinct
+words of a batch are encoded once; texts with unusual white space are encoded as a whole.
 
 Defined results: a null or empty text is its separator alone.  Equal texts are packed each by itself.  Ids may be null
 or repeat: every row is packed once.  An empty table gives no sequence.  Extra columns are ignored.

@@ -2,7 +2,8 @@
 
 A store is a folder with two additive tables, one sub-folder per batch in each: ``ledger`` has, for each document and
 version, the signed tokens and characters a batch added or took; ``totals`` has the batch's sums by source, language
-and tokenizer version.  Current totals are the sum over all batches, so a batch costs its own size and never a recount.
+and tokenizer version.  Current totals are the sum over all batches, so texts are never counted again; a commit reads
+the ledgers of all earlier batches to look up what it deletes or revises.
 
 ``commit`` takes changes (``op`` of insert, delete or revise, and the document's fields).  Deletes and revisions look
 up what the ledger holds of the document, and take exactly that away.  A batch is committed by the success mark that

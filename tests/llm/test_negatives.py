@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 from sensorframe.llm import negatives
 
 SCHEMA = "vec_id long, embedding array<double>, label long"
-ANCHORS = F.col("vec_id") % 10 == 0
+
+
+def anchors():
+    return F.col("vec_id") % 10 == 0
 
 
 def brute(rows, positives=5, most=5, low=80, high=100):
@@ -43,7 +46,7 @@ def clustered(n, dim, labels, seed, spread=0.3):
 def test_equals_brute_force(spark):
     for rows in (clustered(900, 16, 4, 1), clustered(300, 3, 2, 2), [(i, [float(i % 3), 1.0], i % 2) for i in range(200)]):
         df = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit("x") for c in ("block", "key", "gid", "Slot", "dim")})
-        assert answer(negatives.hard_negatives(df, ANCHORS, size=32)) == brute(rows)
+        assert answer(negatives.hard_negatives(df, anchors(), size=32)) == brute(rows)
 
 
 def test_odd_rows(spark):
@@ -51,15 +54,15 @@ def test_odd_rows(spark):
     rows = clustered(60, 4, 2, 3) + [(100, None, 1), (110, [nan, 1.0, 1.0, 1.0], 1), (120, [1.0, inf, 0.0, 0.0], 0), (130, [1.0, None, 0.0, 0.0], 0), (140, [], 0), (150, [0.0] * 4, 0),
                                      (160, [1.0, 2.0], 1), (170, [2.0, 1.0], 1), (180, [1.5, 1.0], 0), (None, [1.0] * 4, 0), (190, [1.0] * 4, None), (20, [1.0] * 4, 5), (200, [-3.0] * 4, 7), (210, [1e5] * 4, 0),
                                      (220, [9e4] * 4, 1), (230, [0.001, -0.001, 0.0, -0.0], 0), (-10, [0.5] * 4, 0)]
-    assert answer(negatives.hard_negatives(spark.createDataFrame(rows, SCHEMA), ANCHORS, size=8)) == brute(rows)
+    assert answer(negatives.hard_negatives(spark.createDataFrame(rows, SCHEMA), anchors(), size=8)) == brute(rows)
     with_large = rows + [(240, [1e300] * 4, 0)]  # out of range: takes no part
-    assert answer(negatives.hard_negatives(spark.createDataFrame(with_large, SCHEMA), ANCHORS, size=8)) == brute(rows)
-    assert answer(negatives.hard_negatives(spark.createDataFrame([], SCHEMA), ANCHORS)) == []
+    assert answer(negatives.hard_negatives(spark.createDataFrame(with_large, SCHEMA), anchors(), size=8)) == brute(rows)
+    assert answer(negatives.hard_negatives(spark.createDataFrame([], SCHEMA), anchors())) == []
 
 
 def test_long_vectors(spark):
     rows = clustered(40, 5000, 2, 4)
-    assert answer(negatives.hard_negatives(spark.createDataFrame(rows, SCHEMA), ANCHORS)) == brute(rows)
+    assert answer(negatives.hard_negatives(spark.createDataFrame(rows, SCHEMA), anchors())) == brute(rows)
 
 
 def test_hilbert_is_a_walk_through_all_points():
@@ -77,13 +80,11 @@ def test_bounds_hold_and_prune(spark):
     found = negatives.scores(a, block)
     assert (found >= least).all() and (found <= most).all()
     rows = clustered(2000, 4, 20, 6, 0.05)
-    blocks = negatives.blocks_of(spark.createDataFrame(rows, SCHEMA), ANCHORS, size=16)
+    blocks = negatives.blocks_of(spark.createDataFrame(rows, SCHEMA), anchors(), size=16)
     groups, pages = negatives.packed(blocks, 5)
     how = (5, 5, 80, 100)
     known = negatives.with_positives(groups, pages, blocks, *how)
-    anchors, all_blocks = 200, blocks.count()
-    for stage in (groups, known):
-        plan = negatives.reading_plan(stage, pages, *how).select(F.bit_count(F.conv(F.hex("chosen"), 16, 10).cast("decimal(38,0)").cast("long"))).count()
-        assert plan < stage.count() * all_blocks
-    bits = sum(bin(int.from_bytes(r.chosen)).count("1") for r in negatives.reading_plan(groups, pages, *how).collect())
-    assert bits < 0.1 * anchors * all_blocks
+    n_anchors, all_blocks = 200, blocks.count()
+    for stage in (groups, known):  # positives, then windows
+        bits = sum(bin(int.from_bytes(r.chosen)).count("1") for r in negatives.reading_plan(stage, pages, *how).collect())
+        assert 0 < bits < 0.2 * n_anchors * all_blocks
