@@ -734,11 +734,12 @@ def ontology_mapping(spark, d):
 
 
 @query("invalid_boxes", """
-SELECT count(*) AS invalid FROM v_native WHERE floor(bbox_left + bbox_width) <= floor(bbox_left)""")
+SELECT count(*) AS invalid FROM v_native WHERE floor(bbox_left + bbox_width) <= floor(bbox_left) OR floor(bbox_top + bbox_height - 1) <= floor(bbox_top)""")
 def invalid_boxes(spark, d):
+    """Boxes without width or height, once a pixel is taken off the height."""
     n = view(spark, d, "v_native")
-    x1, _, x2, _ = G.xywh_to_xyxy(F.col("bbox_left"), F.lit(0), F.col("bbox_width"), F.lit(1))
-    boxes = n.select(x1.alias("x1"), F.lit(0).alias("y1"), x2.alias("x2"), F.lit(1).alias("y2"))
+    corners = G.xywh_to_xyxy(F.col("bbox_left"), F.col("bbox_top"), F.col("bbox_width"), F.col("bbox_height") - 1)
+    boxes = n.select(*[c.alias(name) for c, name in zip(corners, ("x1", "y1", "x2", "y2"))])
     return boxes.agg(F.count_if(G.invalid_box(G.box())).alias("invalid"))
 
 

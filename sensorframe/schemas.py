@@ -82,10 +82,6 @@ GROUND_TRUTH = _s(
     "run_id string, frame_index bigint, target_id bigint, label string, object_category int, score double, "
     "truncation int, occlusion int, ignored boolean, x1 int, y1 int, x2 int, y2 int"
 )
-RUN_MANIFEST = _s(
-    "run_id string, sensor_id string, modality string, input_source string, status string, "
-    "created_at string, ground_truth_scope string"
-)
 REFERENCE = _s(
     "format_version int, embedder_name string, centroid array<double>, embedding_dim int, threshold double, "
     "sample_count bigint, quantile double, metadata labels"
