@@ -3,7 +3,9 @@
 Each of several tables projects the normalised vector to eight dimensions by a random orthonormal map, scales it and
 decodes it to the nearest point of the E8 lattice (the densest packing in eight dimensions, so cells are as round as
 they can be).  A vector is stored under its own cell and looked up under its own cell and those neighbours of it, out
-of the 240 that touch it, that lie nearest.  Pairs found are verified by the cosine in double precision.
+of the 240 that touch it, that lie nearest.  Pairs found are verified by the cosine in double precision.  The scale
+follows the threshold: it makes the distance of a pair *at* the threshold ``REACH`` on average, a little less than the
+cells' width, so that 16 tables find such a pair with 0.98 or more in 2 dimensions as in 768.
 
 Equal vectors are stored once with their number, so a group of copies costs one row.  Links between different vectors
 are all found out and counted; none are capped.  Cells hold ids alone; candidates meet their vectors once each and are
@@ -27,7 +29,9 @@ from pyspark.sql import functions as F
 
 from sensorframe.llm.common import components, materialize, mix, ordered
 
-TABLES, PROBES, SCALE, SEED = 16, 8, 7.0, 20210
+TABLES, PROBES, SEED = 16, 8, 20210
+#: Mean distance, after scaling, of a pair at the threshold; neighbouring lattice points are ``sqrt(2)`` apart.
+REACH = 1.15
 CELLS = "rep long, label int, home boolean, cell long"
 
 
@@ -67,6 +71,11 @@ def projections(dim: int, tables: int, seed: int) -> np.ndarray:
     return np.stack(maps[:tables])
 
 
+def scale_of(least: float) -> float:
+    """Factor that brings unit vectors with this cosine to a distance of ``REACH``."""
+    return REACH / np.sqrt(max(2 - 2 * least, 1e-6))
+
+
 def cells(vectors: np.ndarray, tables: int, probes: int, scale: float, seed: int) -> np.ndarray:
     """Keys (row, table, 1 + probes): the own cell first."""
     unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
@@ -130,8 +139,9 @@ def _as_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("label"), pa.array(out, pa.binary())], ["vec_id", "label", "vector"])
 
 
-def vector_links(vectors: DataFrame, least: float = 0.98, tables: int = TABLES, probes: int = PROBES, scale: float = SCALE, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+def vector_links(vectors: DataFrame, least: float = 0.98, tables: int = TABLES, probes: int = PROBES, scale: float | None = None, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """Classes of equal vectors (``vec_id``, ``rep``, ``copies``) and links ``a``, ``b`` between representatives."""
+    scale = scale_of(least) if scale is None else scale
     raw = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("int"), F.col("embedding").cast("array<double>").alias("v"))
     top = F.array_max(F.transform("v", F.abs))
     fine = F.forall("v", lambda x: x.isNotNull() & (F.abs(x) < float("inf")) & ~F.isnan(x)) & (top > 0)

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 
 from sensorframe.llm import lattice
 
@@ -44,6 +45,37 @@ def test_recall_and_counts(spark):
     assert got[2007].n_links >= 50 and got[2007].component_id == got[0].component_id and not got[2007].kept
 
 
+def at_cosine(n, dim, cosine):
+    """Unit vectors and, for each, one at this cosine in a random direction."""
+    r = np.random.default_rng(dim)
+    a, b = r.normal(size=(2, n, dim))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    return a, cosine * a + math.sqrt(1 - cosine**2) * b
+
+
+@pytest.mark.parametrize("least", [0.9, 0.98])
+@pytest.mark.parametrize("dim", [2, 3, 4, 8, 13, 64, 768])
+def test_pairs_at_the_threshold_meet(dim, least):
+    x, y = (lattice.cells(v, lattice.TABLES, lattice.PROBES, lattice.scale_of(least), lattice.SEED) for v in at_cosine(600, dim, least + 1e-4))
+    meet = (x == y[:, :, :1]).any((1, 2)) | (y == x[:, :, :1]).any((1, 2))
+    assert meet.mean() >= 0.98
+
+
+def test_links_of_short_and_long_vectors(spark):
+    rows = []
+    for dim in (2, 8, 768):
+        for k, (a, b) in enumerate(zip(*at_cosine(60, dim, 0.9802), strict=True)):
+            # one label a pair, so the pair is the only link
+            rows += [(1000 * dim + 2 * k + j, v.tolist(), 100 * dim + k) for j, v in enumerate((a, b))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = lattice.near_vectors(df).collect()
+    assert len(got) == len(rows) and {r.n_links for r in got} <= {0, 1}
+    for dim in (2, 8, 768):
+        assert sum(r.n_links for r in got if 1000 * dim <= r.vec_id < 1000 * dim + 120) >= 0.97 * 120
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0], 1), (2, [2.0, 0.0], 1), (3, None, 1), (4, [0.0, 0.0], 1), (5, [nan, 1.0], 1), (6, [inf, 1.0], 1), (7, [None, 1.0], 1),
