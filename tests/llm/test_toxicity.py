@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 
 from sensorframe.llm import toxicity
 
@@ -19,13 +20,24 @@ def labelled(n=1500, seed=4):
     return rows
 
 
-def test_machine_learns_the_interaction():
-    rows = labelled()
+@pytest.mark.parametrize("rule", ["both", "either", "one"])
+def test_machine_learns_the_interaction(rule):
+    """With the shipped settings; ``one`` is exclusive or, where neither term tells anything alone."""
+    toxic = {"both": lambda a, b: a and b, "either": lambda a, b: a or b, "one": lambda a, b: a != b}[rule]
+    rows = [(i, t, int(toxic("vermin" in t, "foreigners" in t))) for i, t, _ in labelled(2200)]
     x = [np.array(toxicity.features(t, 20)) for _, t, _ in rows]
-    m = toxicity.train(x[:1200], [y for *_, y in rows[:1200]], shrink=0.03, epochs=30)
-    place = {int(b): k for k, b in enumerate(m.buckets)}
-    guess = [m.score(np.array([place[b] for b in f.tolist() if b in place], int)) >= 0.5 for f in x[1200:]]
-    assert np.mean([g == bool(y) for g, (*_, y) in zip(guess, rows[1200:], strict=True)]) > 0.95
+    m = toxicity.train(x[:1800], [y for *_, y in rows[:1800]])
+    places = toxicity._Places(m)
+    guess = [m.score(places.active(t)) >= 0.5 for _, t, _ in rows[1800:]]
+    assert np.mean([g == bool(y) for g, (*_, y) in zip(guess, rows[1800:], strict=True)]) > 0.95
+
+
+def test_terms_of_a_text_are_the_same_in_fitting_and_scoring():
+    text = "Trashes trashing trashed TRASH, a trasher of old; scums scum"
+    all_buckets = toxicity.Machine(20, 0.0, np.array(toxicity.features(text, 20)), np.empty(0), np.empty((0, 2)))
+    assert len(toxicity._Places(all_buckets).active(text)) == len(all_buckets.buckets)
+    fewer = set(toxicity.features("trashes trashing", 20)) - set(toxicity.features("trashes", 20))
+    assert fewer == {toxicity.bucket("trashing", 20), toxicity.bucket("tras\x00\x00", 20)}
 
 
 def test_pairwise_part_equals_the_double_sum():
