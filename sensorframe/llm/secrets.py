@@ -8,6 +8,10 @@ explain costs few bytes per character; a random key costs about as many as its e
 characters is less.  Copies of the candidate around it don't explain it, unless one stood before it without a sensitive
 word.
 
+Words of sensitive context count whole, or as parts of a name: *key* in ``api_key`` and ``privateKey``, not *sign* in
+*design*.  A path, a URL or a dotted name is judged without the pieces between separators that are words or short
+numbers; fewer than ``LEAST_LEFT`` other characters are no secret.
+
 The dictionary is learned from the corpus: the parts of compound names (snake_case, dotted, kebab-case) in all whole
 texts, counted once per document with partial sums in each task.  The ``most`` most frequent go to the driver.
 
@@ -20,9 +24,10 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 from math import log2
 
 import pyarrow as pa
@@ -39,13 +44,24 @@ LONG_HEX = re.compile(r"[0-9a-f]{24,}")
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 KINDS = ["assign", "access", "hex", "novel"]
 
-SENSITIVE = re.compile(r"auth|bearer|cert|credential|key|login|pass|private|pwd|secret|sign|token", re.IGNORECASE | re.ASCII)
+# Words that announce a secret; each counts as a whole word or as a part of a name (api_key, privateKey)
+WORDS = (
+    "accesskey apikey auth authentication authorization bearer cert certificate credential credentials key keys login pass "
+    "passphrase password private privatekey pwd secret secretkey secrets signature signing token tokens"
+).split()
+ANY = "|".join(sorted(WORDS, key=len, reverse=True))
+CAPITAL = "|".join(w.capitalize() for w in sorted(WORDS, key=len, reverse=True))
+SENSITIVE = re.compile(rf"(?<![A-Za-z])(?i:{ANY})(?![A-Za-z])|(?<![A-Za-z])(?:{ANY}|{CAPITAL})(?=[A-Z][a-z])|(?<=[a-z0-9])(?:{CAPITAL})(?![a-z])", re.ASCII)
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
 #: What stands between single ``=`` of a candidate; signs at its end pad the last value.
 VALUE = re.compile(r"[A-Za-z0-9+/_.-]{16,}(?:=+\Z)?")
 #: A compound name, such as snake_case, dotted.name or kebab-case; possessive, so long runs are read once.
 COMPOUND = re.compile(r"(?<![A-Za-z0-9_.-])[A-Za-z][A-Za-z0-9]*+(?:[_.-][A-Za-z0-9]++)++")
 PART = re.compile(r"[A-Z]?[a-z]{3,15}")
+#: Between separators of a path, URL or dotted name: words (also in camelCase), years and other short numbers.
+PIECE = re.compile(r"[^+/_.=-]+")
+PLAIN = re.compile(r"(?:[A-Z]?[a-z]{2,15}|[A-Z]{2,15})+[0-9]{0,4}|[0-9]{1,8}|[A-Za-z]")
+LEAST_LEFT = 12
 # What the dictionary begins with, before the corpus's own names
 COMMON = (
     "account address application attribute authorization base64 bearer boolean branch bucket buffer cache callback certificate "
@@ -99,10 +115,17 @@ def least_rate(value: str) -> float:
     return min(LEAST_RATE, LEAST_SHARE * log2(size) / 8)
 
 
+def unexplained(value: str) -> str:
+    """The value without pieces that are words or short numbers; all of it where nothing separates pieces."""
+    pieces = PIECE.findall(value)
+    return value if len(pieces) < 2 else "".join(p for p in pieces if not PLAIN.fullmatch(p))
+
+
 def novel_spans(text: str, base: list[tuple[int, int, str]], novelty: Novelty) -> list[tuple[int, int, str]]:
     """Candidates in sensitive context, outside the base spans, that cost too many bytes to be a name or a word."""
-    out, taken = [], iter([*base, (len(text) + 1, len(text) + 1, "")])
-    ends, now = 0, next(taken)
+    out = []
+    begins = [b for b, _, _ in base]
+    reach = list(accumulate((e for _, e, _ in base), max))
     sensitive = [m.end() for m in SENSITIVE.finditer(text)]
     if not sensitive:
         return out
@@ -111,11 +134,14 @@ def novel_spans(text: str, base: list[tuple[int, int, str]], novelty: Novelty) -
     def is_novel(begin: int, end: int) -> bool:
         k = bisect_right(sensitive, begin)
         value = text[begin:end]
-        if ends > begin or not k or sensitive[k - 1] <= begin - NEAR:
+        taken = bisect_left(begins, end)
+        if (taken and reach[taken - 1] > begin) or not k or sensitive[k - 1] <= begin - NEAR:
             unasked[value] = begin
             return False
         if value.isalpha() and (value.islower() or value[1:].islower()):  # a word
             return False
+        if len(unexplained(value)) < LEAST_LEFT:  # a path, a URL or a name
+            return False
         # copies at the places of the window are blanked, those cut by its edge too
         blank, far = "\n" * len(value), AROUND + len(value)
         before = text[max(0, begin - far) : begin]
@@ -125,8 +151,6 @@ def novel_spans(text: str, base: list[tuple[int, int, str]], novelty: Novelty) -
         return cost >= LEAST_BYTES and cost >= least_rate(value) * len(value)
 
     for m in CANDIDATE.finditer(text):
-        while now[0] < m.end():
-            ends, now = max(ends, now[1]), next(taken)
         # values behind a leading name, whose words are context, else the whole
         values = [(m.start() + v.start(), m.start() + v.end()) for v in VALUE.finditer(m[0]) if m[0].find("=", 0, v.start()) >= 0]
         found = [v for v in values if is_novel(*v)] or [v for v in [m.span()] if is_novel(*v)]

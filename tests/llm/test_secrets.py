@@ -1,7 +1,10 @@
 import hashlib
+import os
 import random
 import re
 
+import pytest
+
 from sensorframe.llm import secrets
 
 
@@ -77,3 +80,41 @@ def test_long_keys_over_small_alphabets():
             key = "".join(r.choices(letters, k=n))
             assert novel(f"private key {key} end") == [key], (letters, n)
     assert novel("private key " + "0123456789" * 30) == [] and novel("private " + "configuration_connection_manager_instance_" * 4) == []
+
+
+def test_paths_and_prose_are_no_secrets():
+    for text in (
+        "see the login page https://www.example.com/articles/2023/07/interesting-story-about-bridges.html",
+        "the design src/main/java/org/example/boot/SecurityAutoConfiguration.java",
+        "private src/main/java/org/example/boot/SecurityAutoConfiguration.java",
+        "a passage 978-3-16-148410-0/2021-2022", "private key 978-3-16-148410-0/2021-2022",
+    ):
+        assert novel(text) == [], text
+    key = "Zk3vQ9xT7pLm2RwY8sBn4HdF"
+    for word in ("design", "passage", "monkey", "assign", "Authors"):
+        assert novel(f"{word} {key}") == [], word
+    for word in ("api_key", "privateKey", "AWS_SECRET", "authToken is", "Bearer", "keys:", "signing"):
+        assert novel(f"{word} {key}") == [key], word
+
+
+def test_a_later_base_span_does_not_hide_a_value():
+    key = "Zk3vQ9xT7pLm2RwY8sBn4HdF"
+    assert novel(f"private_key={key}=token=abcdefgh") == [key]
+    other = "hT5cW1jR8uVb6NqD3yKe0GsX"
+    assert novel(f"token={key} private {other}") == [other]
+
+
+def test_random_keys_are_found():
+    r = random.Random(9)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    for alphabet in (letters, letters + "+/", letters + "-_"):
+        keys = ["".join(r.choices(alphabet, k=r.randrange(20, 41))) for _ in range(200)]
+        found = sum(key.strip("+/-_") in "".join(novel(f"the private key {key} is kept")) for key in keys)
+        assert found >= 194, (alphabet, found)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="test tables are absent")
+def test_urls_of_pages_are_no_secrets(spark):
+    urls = [r.url for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("url").where("url is not null").collect()]
+    reported = [u for u in urls if novel(f"see the login page {u} for more")]
+    assert len(urls) > 100 and not reported, reported[:5]
