@@ -20,6 +20,15 @@ def _positive(**values: int) -> None:
             raise ValueError(f"{name} must be positive")
 
 
+def check_sampling(min_track_hits: int, sample_every_n_hits: int, max_per_frame: int, pad_px: int, min_crop_size: int) -> None:
+    _positive(
+        min_track_hits=min_track_hits, sample_every_n_hits=sample_every_n_hits,
+        max_per_frame=max_per_frame, min_crop_size=min_crop_size,
+    )
+    if pad_px < 0:
+        raise ValueError(f"pad_px {pad_px}: want 0 or more")
+
+
 def mature_crops(
     tracks: DataFrame,
     *,
@@ -63,12 +72,7 @@ def sample_tracks(
     The cap is a ``row_number`` filter, which Spark applies per task before the
     shuffle, so a crowded frame never moves more than the cap per task.
     """
-    _positive(
-        min_track_hits=min_track_hits, sample_every_n_hits=sample_every_n_hits,
-        max_per_frame=max_per_frame, min_crop_size=min_crop_size,
-    )
-    if pad_px < 0:
-        raise ValueError(f"pad_px {pad_px}: want 0 or more")
+    check_sampling(min_track_hits, sample_every_n_hits, max_per_frame, pad_px, min_crop_size)
     due = tracks.filter(
         (F.col("hits") >= min_track_hits)
         & label_in(labels)
@@ -99,12 +103,18 @@ def representation_changes(sampled: DataFrame, *, source: str = "embedder", buck
     """
     unit = sampled.withColumn("_unit", unit_vectors("embedding"))
     linked = previous(unit, ["run_id", "track_id"], "frame_ordinal", ["_unit"], "_before", bucket)
+    rows = change_rows(linked.withColumn("_before", F.col("_before._unit")), source)
+    return conform(number_embeddings(rows, bucket=bucket), REPRESENTATIONS)
+
+
+def change_rows(linked: DataFrame, source: str) -> DataFrame:
+    """Measures of unit vectors ``_unit`` against the track's previous one, ``_before`` (null for a first sample)."""
     has_before = F.col("_before").isNotNull()
     # The UDF sees every row of a batch; a first sample is paired with itself.
-    partner = F.coalesce(F.col("_before._unit"), F.col("_unit"))
+    partner = F.coalesce("_before", "_unit")
     scored = linked.withColumn("_distance", cosine_scores(F.col("_unit"), partner))
     similarity = F.when(has_before, 1.0 - F.col("_distance"))
-    rows = scored.select(
+    return scored.select(
         *[c for c in scored.columns if c not in ("embedding", "source")],
         F.col("hits").alias("track_hits"),
         F.size("_unit").alias("embedding_dim"),
@@ -114,7 +124,6 @@ def representation_changes(sampled: DataFrame, *, source: str = "embedder", buck
         F.lit(source).alias("source"),
         F.col("_unit").cast("array<float>").alias("embedding"),
     )
-    return conform(number_embeddings(rows, bucket=bucket), REPRESENTATIONS)
 
 
 def number_embeddings(rows: DataFrame, *, bucket: int = BUCKET) -> DataFrame:
