@@ -141,9 +141,13 @@ class PreviousProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         now = pd.concat(list(rows)).sort_values(["frame_ordinal", "embedding_row"], kind="stable")
         stored = self.value.get() if self.value.exists() else (None, None)
-        units = [None if u is None else list(u) for u in now["unit_vector"]]
-        now["vector_before"] = pd.Series([stored[0] and list(stored[0]), *units[:-1]], index=now.index, dtype=object)
-        until = _ms(now["event_time"].max()) + self.idle_ms
+        units = [list(u) for u in now["unit_vector"]]
+        at = [_ms(t) for t in now["event_time"]]
+        before = [(stored[0] and list(stored[0]), stored[1]), *((u, t + self.idle_ms) for u, t in zip(units, at, strict=True))]
+        # the timer only frees state; whether a track was idle too long follows from the rows' times
+        linked = [u if until is not None and t <= until else None for (u, until), t in zip(before[:-1], at, strict=True)]
+        now["vector_before"] = pd.Series(linked, index=now.index, dtype=object)
+        until = at[-1] + self.idle_ms
         if stored[1] is not None:
             self.handle.deleteTimer(stored[1])
         self.handle.registerTimer(until)
